@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprints, langid, mixing, near_dedup, substring_dedup, toxicity
+from . import ann, bpe, fingerprints, html_extract, langid, mixing, near_dedup, substring_dedup, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
