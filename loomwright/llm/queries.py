@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprints, html_extract, langid, mixing, near_dedup, substring_dedup, toxicity
+from . import ann, bpe, fingerprints, gru_lm, html_extract, langid, mixing, near_dedup, substring_dedup, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_gru_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
