@@ -58,15 +58,19 @@ def only(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def grouped(batches: Iterator, column: str, limit: int) -> Iterator[list]:
-    """Lists of record batches whose column holds at least ``limit`` bytes together, or what is left."""
+    """Lists of slices of record batches whose column holds about ``limit`` bytes together, or what is left."""
     held, size = [], 0
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(b)
-        size += b.column(b.schema.get_field_index(column)).nbytes
-        if size >= limit:
-            yield held
-            held, size = [], 0
+        at = b.schema.get_field_index(column)
+        step = max(1, int(limit / 4 * b.num_rows / max(1, b.column(at).nbytes)))
+        for lo in range(0, b.num_rows, step):
+            part = b.slice(lo, step)
+            held.append(part)
+            size += part.column(at).nbytes
+            if size >= limit:
+                yield held
+                held, size = [], 0
     if held:
         yield held

@@ -8,7 +8,7 @@ a block's earliest start of each window travels.  Where a factor ends, the next
 windows that straddle factor boundaries are judged too; with every window looked up, the factors cover exactly the words
 of the windows that start earlier elsewhere.
 
-Keys are 64-bit window hashes within 64-bit minimizer hashes: two different windows are confused only if both agree.
+Keys are 48-bit window hashes within 64-bit minimizer hashes: two different windows are confused only if both agree.
 """
 
 from __future__ import annotations
@@ -27,11 +27,16 @@ from .common import grouped, only, shuffle_partitions
 WINDOW = 20
 GRAM = 6
 #: Bytes of text in a block, and words hashed at once: bounds of memory, not of work.
-BLOCK_BYTES, HASH_WORDS = 24 << 20, 1 << 19
-
-SENT = "key long, doc_id long, dh long, start int, words int, source_doc long, source_start int, windows array<long>"
-FACTOR = "doc_id long, dh long, start int, words int, source_doc long, source_start int"
+BLOCK_BYTES, HASH_WORDS = 12 << 20, 1 << 18
+
+#: What travels: under a minimizer its windows of one stretch of a document, packed as the first one's start (4 bytes)
+#: and the hashes (6 bytes each); or, with an odd length, a finished factor.
+SENT = "key long, doc_id long, dh int, body binary"
+FACTOR = "doc_id long, dh int, start int, words int, source_doc long, source_start int"
+HASH_BYTES = 6
+DONE = np.dtype([("start", "<i4"), ("words", "<i4"), ("source_doc", "<i8"), ("source_start", "<i4"), ("end", "u1")])
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @lru_cache(1)
@@ -57,8 +62,10 @@ def _span_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
     power = np.cumprod(power)
     prefix = np.zeros(len(part) + 1, np.uint64)
     np.cumsum(_byte_values()[part] * power[:-1], out=prefix[1:])
-    # raised to a common power: times M^(length - begin) instead of M^-begin
-    return _mixed((prefix[end - base] - prefix[begin - base]) * power[len(part) - (begin - base)] + (end - begin).astype(np.uint64) * MULTIPLIER)
+    # times the inverse power of where it begins, so that equal spans have equal hashes wherever they stand
+    power[1:] = INVERSE
+    np.cumprod(power, out=power)
+    return _mixed((prefix[end - base] - prefix[begin - base]) * power[begin - base] + (end - begin).astype(np.uint64) * MULTIPLIER)
 
 
 def _window_keys(text: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,44 +122,63 @@ def _parse_block(doc_ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], wi
         return
     text = np.frombuffer(b" ".join(norms), np.uint8)
     del norms
-    gaps = np.flatnonzero(text == 32)
-    begin, end = np.r_[0, gaps + 1], np.r_[gaps, len(text)]
+    narrow = np.int32 if len(text) < 1 << 31 else np.int64
+    gaps = np.flatnonzero(text == 32).astype(narrow)
+    begin, end = np.r_[narrow(0), gaps + narrow(1)], np.r_[gaps, narrow(len(text))]
     counts = np.array(counts)
-    word_doc = np.repeat(np.arange(len(docs)), counts)
-    position = np.arange(len(begin)) - np.repeat(np.cumsum(counts) - counts, counts)
+    word_doc = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
+    position = (np.arange(len(begin)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
     keys, minimizers = _window_keys(text, begin, end, window, gram)
     valid = np.flatnonzero(position[: len(keys)] + window <= counts[word_doc[: len(keys)]])
     del begin, end, gaps
-    keys, minimizers, position, word_doc = keys[valid], minimizers[valid], position[valid].astype(np.int32), word_doc[valid]
+    keys, minimizers, position, word_doc = keys[valid], minimizers[valid], position[valid], word_doc[valid]
     docs = np.array(docs)
     doc, dh = doc_ids[docs][word_doc], hashes[docs][word_doc]
+    del text, word_doc, valid
     # windows stand in order of (doc_id, dh, position); of one id's rows with different texts the earlier start counts
     source = _earliest((doc, position), (keys, minimizers))
     later = (doc[source] != doc) | (position[source] != position)
     found = _factors(doc[later], dh[later], position[later], doc[source[later]], position[source[later]], window)
+    names = [x.split()[0] for x in SENT.split(", ")]
     if len(found[0]):
-        empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(found[0]) + 1, np.int32)), pa.array([], pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(_mixed(found[0].view(np.uint64) + found[2].astype(np.uint64)).view(np.int64)), *map(pa.array, found), empty], names=[x.split()[0] for x in SENT.split(", ")])
+        packed = np.zeros(len(found[0]), DONE)
+        packed["start"], packed["words"], packed["source_doc"], packed["source_start"] = found[2:]
+        key = _mixed(found[0].view(np.uint64) + found[2].astype(np.uint64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(found[0]), pa.array(found[1]), _binary(packed.view(np.uint8), np.arange(len(packed) + 1) * DONE.itemsize)], names=names)
     first = np.flatnonzero(source == np.arange(len(source)))
+    del source, later, found
     if not len(first):
         return
     doc, dh, position, keys, minimizers = doc[first], dh[first], position[first], keys[first], minimizers[first]
     goes_on = (doc[1:] == doc[:-1]) & (dh[1:] == dh[:-1]) & (position[1:] == position[:-1] + 1) & (minimizers[1:] == minimizers[:-1])
     at = np.flatnonzero(np.r_[True, ~goes_on])
-    offsets = np.r_[at, len(doc)].astype(np.int32)
+    stops = np.r_[at[1:], len(doc)]
     for lo in range(0, len(at), 1 << 16):
-        hi = min(len(at), lo + (1 << 16))
-        part = offsets[lo : hi + 1]
-        lists = pa.ListArray.from_arrays(pa.array(part - part[0]), pa.array(keys[part[0] : part[-1]].view(np.int64)))
-        none = np.full(hi - lo, -1, np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(minimizers[at[lo:hi]].view(np.int64)), pa.array(doc[at[lo:hi]]), pa.array(dh[at[lo:hi]]), pa.array(position[at[lo:hi]]), pa.array(none), pa.array(none.astype(np.int64)), pa.array(none), lists],
-            names=[x.split()[0] for x in SENT.split(", ")],
-        )
+        own, stop = at[lo : lo + (1 << 16)], stops[lo : lo + (1 << 16)]
+        offsets = np.r_[0, np.cumsum(4 + (stop - own) * HASH_BYTES)]
+        body = np.empty(offsets[-1], np.uint8)
+        head = (offsets[:-1, None] + np.arange(4)).ravel()
+        rest = np.ones(len(body), bool)
+        rest[head] = False
+        body[head] = position[own].astype("<i4").view(np.uint8)
+        body[rest] = keys[own[0] : stop[-1]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(minimizers[own].view(np.int64)), pa.array(doc[own]), pa.array(dh[own]), _binary(body, offsets)], names=names)
+
+
+def _binary(body: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(body))])
+
+
+def _bodies(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of the bodies of a batch."""
+    column = batch.column(3)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return offsets.astype(np.int64), np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
 
 def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, dh (xxhash64 of the text), start, words, source_doc, source_start: factors of ``window`` words or more
+    """doc_id, dh (hash of the text), start, words, source_doc, source_start: factors of ``window`` words or more
     whose windows all start earlier at the source (a smaller doc_id, or the same id and an earlier start).
 
     Rows with null ids or texts, or fewer words than the window, have none.
@@ -163,31 +189,48 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             ids = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
             dh = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held])
             texts = [t for b in held for t in b.column(2).to_pylist()]
-            yield from _parse_block(ids.astype(np.int64), dh.astype(np.int64), texts, window, gram)
+            del held
+            yield from _parse_block(ids.astype(np.int64), dh.astype(np.int32), texts, window, gram)
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FACTOR.split(", ")]
         held = []
         for b in batches:
-            done = b.filter(pa.compute.greater_equal(b.column(4), 0))
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays(done.columns[1:7], names=names)
-            sent = b.filter(pa.compute.less(b.column(4), 0))
-            if sent.num_rows:
-                held.append(sent)
+            offsets, _ = _bodies(b)
+            done = np.diff(offsets) % 2 == 1
+            if done.any():
+                part = b.filter(pa.array(done))
+                offsets, data = _bodies(part)
+                rows = data[offsets[0] : offsets[-1]].view(DONE)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *(pa.array(np.ascontiguousarray(rows[x])) for x in names[2:])], names=names)
+            if not done.all():
+                held.append(b.filter(pa.array(~done)))
         if not held:
             return
-        sizes = np.concatenate([np.diff(b.column(7).offsets.to_numpy()) for b in held])
-        keys = np.concatenate([b.column(7).flatten().to_numpy(zero_copy_only=False) for b in held])
-        minimizer, doc, dh, start = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(4))
-        del held
         # most minimizers have one start and cannot repeat
+        minimizer = np.concatenate([b.column(0).to_numpy() for b in held])
         _, which, times = np.unique(minimizer, return_inverse=True, return_counts=True)
         shared = times[which] > 1
-        keys = keys[np.repeat(shared, sizes)]
-        which, doc, dh, start, sizes = which[shared], doc[shared], dh[shared], start[shared], sizes[shared]
-        if not len(keys):
+        del minimizer, times
+        ends = np.cumsum([b.num_rows for b in held])
+        held = [b.filter(pa.array(m)) for b, m in zip(held, np.split(shared, ends[:-1]))]
+        which = which[shared]
+        if not len(which):
             return
+        starts, sizes, hashes = [], [], []
+        for b in held:
+            offsets, data = _bodies(b)
+            starts.append(data[(offsets[:-1, None] + np.arange(4)).ravel()].view("<i4"))
+            sizes.append((np.diff(offsets) - 4) // HASH_BYTES)
+            rest = np.ones(offsets[-1], bool)
+            rest[: offsets[0]] = False
+            rest[(offsets[:-1, None] + np.arange(4)).ravel()] = False
+            wide = np.zeros((int(sizes[-1].sum()), 8), np.uint8)
+            wide[:, :HASH_BYTES] = data[: offsets[-1]][rest].reshape(-1, HASH_BYTES)
+            hashes.append(wide.view("<u8").ravel())
+        doc, dh = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2))
+        start, sizes, keys = np.concatenate(starts), np.concatenate(sizes), np.concatenate(hashes)
+        del held, starts, hashes
         run = np.repeat(np.arange(len(sizes)), sizes)
         position = start[run] + np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         source = _earliest((doc[run], position), (which[run], keys))
@@ -198,7 +241,7 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             yield pa.RecordBatch.from_arrays([*map(pa.array, found)], names=names)
 
     rows = only(docs, ["doc_id", "text"]).filter("doc_id is not null and text is not null")
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dh"), F.col("text").cast("binary").alias("text"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("dh"), F.col("text").cast("binary").alias("text"))
     sent = rows.mapInArrow(parse, SENT)
     return sent.repartition(shuffle_partitions(docs.sparkSession), "key").mapInArrow(cross, FACTOR)
 
@@ -219,7 +262,7 @@ def with_factors(docs: DataFrame, columns: list[str], window: int = WINDOW, gram
     """The columns, the text as bytes, and ``starts`` and ``lengths`` of the document's factors (null if none)."""
     found = factors(docs, window, gram).groupBy("doc_id", "dh").agg(F.collect_list(F.struct("start", "words")).alias("_f"))
     found = found.select("doc_id", "dh", F.col("_f.start").alias("starts"), F.col("_f.words").alias("lengths"))
-    rows = only(docs, list(dict.fromkeys([*columns, "doc_id", "text"]))).withColumn("dh", F.xxhash64("text"))
+    rows = only(docs, list(dict.fromkeys([*columns, "doc_id", "text"]))).withColumn("dh", F.hash("text"))
     out = rows.join(found, ["doc_id", "dh"], "left")
     return out.select(*[F.col(c) for c in columns if c != "text"], F.col("text").cast("binary").alias("text"), "starts", "lengths")
 
