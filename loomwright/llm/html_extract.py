@@ -124,11 +124,11 @@ def _path_bucket(name: str) -> int:
 
 
 @lru_cache(1 << 17)
-def _word_bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % WORD_BUCKETS
+def _word_bucket(word: bytes) -> int:
+    return zlib.crc32(word) % WORD_BUCKETS
 
 
-_MARKS = str.maketrans("", "", ".,;:!?\"'()[]{}©·|«»")
+_MARKS = b".,;:!?\"'()[]{}|"
 
 
 class Coded:
@@ -144,7 +144,7 @@ class Coded:
                 names.append(_path_bucket("leaf " + next((x for x in reversed(b.path) if x[0] != "."), "html")))
                 path += names
                 path_n.append(len(names))
-                words = [_word_bucket(w) for w in b.text.lower().translate(_MARKS).split()] or [0]
+                words = list(map(_word_bucket, b.text.lower().encode("utf-8", "replace").translate(None, _MARKS).split())) or [0]
                 word += words
                 word_n.append(len(words))
                 size = len(b.text)
