@@ -96,6 +96,15 @@ def code_blocks(text: Column) -> Column:
     return F.when(good, F.transform(F.arrays_zip(tags.alias("t"), codes.alias("c")), lambda x: F.struct(x["t"].alias("language"), x["c"].alias("code"))))
 
 
+def _error_row(name: str, groups: list[str], advice: str):
+    def row(m: Column) -> Column:
+        details = F.map_from_arrays(F.array(*map(F.lit, groups)), F.array(*[m[f"g{i + 1}"] for i in range(len(groups))]))
+        suggestion = fill(F.lit(advice), {g: m[f"g{i + 1}"] for i, g in enumerate(groups)})
+        return F.struct(F.lit(name).alias("error_type"), m["g0"].alias("match_text"), details.alias("details"), suggestion.alias("suggestion"))
+
+    return row
+
+
 def package_errors(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, ord, error_type, match_text, details map, suggestion, context: one row per match, in pattern order.
 
@@ -106,17 +115,9 @@ def package_errors(texts: DataFrame, key: str, text: str) -> DataFrame:
         rx = F.lit("(?im)" + pattern)
         columns = [F.regexp_extract_all(F.col(text), rx, F.lit(i)) for i in range(len(groups) + 1)]
         zipped = F.arrays_zip(*[c.alias(f"g{i}") for i, c in enumerate(columns)])
-
-        def row(m, name=name, groups=groups, advice=advice):
-            suggestion = F.lit(advice)
-            for i, g in enumerate(groups):
-                suggestion = F.replace(suggestion, F.lit("{" + g + "}"), m[f"g{i + 1}"])
-            details = F.map_from_arrays(F.array(*map(F.lit, groups)), F.array(*[m[f"g{i + 1}"] for i in range(len(groups))]))
-            return F.struct(F.lit(name).alias("error_type"), m["g0"].alias("match_text"), details.alias("details"), suggestion.alias("suggestion"))
-
-        found.append(F.transform(zipped, row))
+        found.append(F.transform(zipped, _error_row(name, groups, advice)))
     out = texts.select(key, F.col(text).alias("_text"), F.posexplode(F.concat(*found)).alias("ord", "e")).select(key, "ord", "e.*", "_text")
-    before = F.substring_index(F.col("_text"), F.col("match_text"), 1)
+    before = F.call_function("substring_index", F.col("_text"), F.col("match_text"), F.lit(1))
     at = F.size(lines(before)) - 1
     span = F.size(lines(F.col("match_text")))
     begin = F.greatest(at - 3, F.lit(0))

@@ -161,6 +161,10 @@ def compact(messages: Column, summary: Column, tail: int) -> Column:
     return F.when(F.size(messages) > tail + 1, F.concat(F.slice(messages, 1, 1), F.array(note), F.slice(messages, -tail, tail))).otherwise(messages)
 
 
+def _has_role(role: str) -> Callable[[Column], Column]:
+    return lambda m: F.coalesce(m["role"] == role, F.lit(False))
+
+
 def summary(rows: DataFrame, key: str) -> DataFrame:
     """key, role counts and numbers of calls and responses, one row per conversation."""
     m = F.col("messages")
@@ -168,7 +172,7 @@ def summary(rows: DataFrame, key: str) -> DataFrame:
     total = lambda field: F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.size(x[field]), F.lit(0)))
     return rows.select(
         key, F.size(m).cast("long").alias("total"),
-        *[count(lambda x, r=r: x["role"] == r).alias(f"n_{r}") for r in ("system", "user", "assistant", "tool", "function")],
+        *[count(_has_role(r)).alias(f"n_{r}") for r in ("system", "user", "assistant", "tool", "function")],
         count(lambda x: x["role"].isNull()).alias("n_unknown"), total("tool_calls").alias("tool_calls"),
         (total("tool_responses") + count(lambda x: x["role"] == "tool")).alias("tool_responses"),
         count(lambda x: x["function_call"].isNotNull()).alias("function_calls"),

@@ -39,7 +39,8 @@ def word_pattern(word: str) -> str:
 def complexity(content: Column) -> Column:
     """Branching lines (a line counts once for each kind of branch) and the deepest definition."""
     lines = F.split(content, "\n")
-    branches = sum((F.size(F.filter(lines, lambda x, w=w: x.rlike(word_pattern(w)))) for w in ("if", "for", "while", "except")), F.lit(0))
+    holds = lambda word: lambda x: x.rlike(word_pattern(word))
+    branches = sum((F.size(F.filter(lines, holds(w))) for w in ("if", "for", "while", "except")), F.lit(0))
     indents = F.transform(F.filter(lines, lambda x: x.rlike(r"^[ \t]*def ")), lambda x: F.length(F.regexp_extract(x, r"^([ \t]*)", 1)))
     return F.least(branches / 50.0, F.lit(1.0)) + capped(F.coalesce(F.array_max(indents), F.lit(0)) / 4.0, 5, 0.3)
 

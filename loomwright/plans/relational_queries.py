@@ -72,14 +72,14 @@ def path_search(s, d):
 
 @query(
     "flt_05",
-    """WITH e AS (SELECT p_partkey, 'exact' AS match_kind FROM part WHERE p_name = 'part_7'), q AS (SELECT p_partkey, 'partial' AS match_kind FROM part WHERE contains(p_name, '7') AND NOT EXISTS (SELECT 1 FROM e)),
+    """WITH e AS (SELECT p_partkey, 'exact' AS match_kind FROM part WHERE p_name = 'ring'), q AS (SELECT p_partkey, 'partial' AS match_kind FROM part WHERE contains(p_name, 'ring') AND NOT EXISTS (SELECT 1 FROM e)),
 u AS (SELECT * FROM e UNION ALL SELECT * FROM q) SELECT p_partkey, match_kind, (count(*) OVER ())::BIGINT AS n_matches FROM u ORDER BY p_partkey LIMIT 5""",
 )
 def find_part(s, d):
     parts = table(s, d, "part")
-    exact = parts.filter("p_name = 'part_7'").select("p_partkey", F.lit("exact").alias("match_kind"))
+    exact = parts.filter("p_name = 'ring'").select("p_partkey", F.lit("exact").alias("match_kind"))
     has = exact.agg(F.count(F.lit(1)).alias("has"))
-    partial = parts.filter(F.col("p_name").contains("7")).join(F.broadcast(has)).filter("has = 0").select("p_partkey", F.lit("partial").alias("match_kind"))
+    partial = parts.filter(F.col("p_name").contains("ring")).join(F.broadcast(has)).filter("has = 0").select("p_partkey", F.lit("partial").alias("match_kind"))
     both = exact.unionByName(partial)
     n = both.agg(F.count(F.lit(1)).alias("n_matches"))
     return both.orderBy("p_partkey").limit(5).join(F.broadcast(n))
@@ -427,12 +427,19 @@ def relative_times(s, d):
     return table(s, d, "events").select("event_id", D.ago(F.lit(AS_OF), F.col("ts")).alias("label"))
 
 
+_KEYS = "|".join(scoring.KEYWORDS)
+_NAMES = "CASE p_size % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'event_handler' WHEN 2 THEN 'utils' ELSE 'thing' END"
+
+
 @query(
     "grf_06",
-    "SELECT p_partkey, round(least(CASE WHEN regexp_matches(lower(p_type), '" + "|".join(scoring.KEYWORDS) + "') THEN 0.3 ELSE 0.0 END + CASE WHEN p_type IN ('main') THEN 0.7 ELSE 0.0 END, 1.0), 6) AS score FROM part",
+    f"""WITH p AS (SELECT p_partkey, lower(p_type) AS a, {_NAMES} AS b FROM part),
+s AS (SELECT p_partkey, {" + ".join(f"0.5 * least(CASE WHEN regexp_matches({c}, '{_KEYS}') THEN 0.3 ELSE 0.0 END + CASE WHEN {c} IN ('main', '__main__') THEN 0.7 ELSE 0.0 END + CASE WHEN {c} IN ('__init__', 'app', 'settings', 'config', 'utils', 'constants') THEN 0.5 ELSE 0.0 END, 1.0)" for c in "ab")} AS score FROM p)
+SELECT p_partkey, round(least(score, 1.0)::DOUBLE, 6) AS score FROM s""",
 )
 def name_scores(s, d):
-    return table(s, d, "part").select("p_partkey", F.round(scoring.name_semantics(F.col("p_type")), 6).alias("score"))
+    ids = F.concat_ws(".", F.lower("p_type"), F.expr(_NAMES))
+    return table(s, d, "part").select("p_partkey", F.round(scoring.id_semantics(ids), 6).alias("score"))
 
 
 @query("grf_07", "SELECT doc_id, round(least(least(len(text) / 200.0, 1.0) * 0.7 + CASE WHEN contains(lower(text), 'args') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(text), 'returns') THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(text), 'example') THEN 0.1 ELSE 0 END, 1.0), 6) AS documentation, round(least(n_chars / 500.0, 1.0), 6) AS size FROM documents")
