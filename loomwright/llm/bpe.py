@@ -143,7 +143,7 @@ class Tokenizer:
         position = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.db.register("tok", pa.table({"wp": (word << 10) | position, "id": self.byte_ids[text]}))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE ended AS {CONTRACT}")
-        if self.db.execute(UNSETTLED).fetchone()[0]:
+        if self.db.execute(UNSETTLED).fetchall()[0][0]:
             raise RuntimeError("pieces were left before their fixpoint")
         got = self.db.execute(GATHER).fetchnumpy()
         self.db.execute("DROP TABLE ended")
@@ -202,7 +202,7 @@ class Tokenizer:
         if not len(ids):
             return b""
         self.db.register("tok_in", pa.table({"pos": np.arange(len(ids)), "id": np.array(ids, np.int64)}))
-        got, n = self.db.execute("SELECT unhex(string_agg(hex, '' ORDER BY pos)), count(*) FROM tok_in JOIN vocabulary USING (id)").fetchone()
+        got, n = self.db.execute("SELECT unhex(string_agg(hex, '' ORDER BY pos)), count(*) FROM tok_in JOIN vocabulary USING (id)").fetchall()[0]
         if n != len(ids):
             raise ValueError("an id is not in the vocabulary")
         return bytes(got)
@@ -252,12 +252,12 @@ def tokenizer(path: str) -> Tokenizer:
     return _TOKENIZERS[path]
 
 
-def segments(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
+def segments(text: str, size: int | None = None) -> Iterator[str]:
     """Cut a long text before white space that follows other text, where no piece goes on, into parts of about ``size``
     characters (longer where there is no such place)."""
     import regex
 
-    at = 0
+    at, size = 0, size or BLOCK_CHARS
     while len(text) - at > 2 * size:
         m = regex.compile(r"(?<=\P{White_Space})\p{White_Space}").search(text, at + size)
         if m is None:
