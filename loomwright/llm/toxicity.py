@@ -91,15 +91,13 @@ def features(text: bytes | None, lexicon: Lexicon) -> list[float]:
         near, nearest = int((gap <= NEAR).sum()), float(min(gap.min(), 99))
     kind = np.bincount(_KIND[np.frombuffer(text, np.uint8)], minlength=9)
     letters, size = max(1, int(kind[1] + kind[2])), max(1, len(text))
-    inside = apart = disguised = 0
-    if kind[3] + kind[4] + kind[6] + kind[7]:
-        lower = text.lower()
-        inside = len(_INSIDE.findall(lower))
-        apart = len(_APART.findall(lower))
-        if inside or apart:
-            undone = _APART.sub(lambda m: re.sub(rb"[ ._*-]", b"", m[0]), lower) if apart else lower
-            again = undone.translate(_UNDONE, _DROPPED).translate(_SPACED).split()
-            disguised = max(0, sum(1 for w in map(get, again) if w is not None and (w[0] or w[2] > 0)) - len(hits))
+    disguised, lower = 0, text.lower()
+    inside = len(_INSIDE.findall(lower)) if kind[3] + kind[4] + kind[6] + kind[7] else 0
+    apart = len(_APART.findall(lower))
+    if inside or apart:
+        undone = _APART.sub(lambda m: re.sub(rb"[ ._*-]", b"", m[0]), lower) if apart else lower
+        again = undone.translate(_UNDONE, _DROPPED).translate(_SPACED).split()
+        disguised = max(0, sum(1 for w in map(get, again) if w is not None and (w[0] or w[2] > 0)) - len(hits))
     shouted = len(_SHOUTED.findall(text)) if kind[1] else 0
     return [
         seeds / n, len(hits) / n, weight / n, peak, float(len(kinds)), near / n, len(persons) / n, nearest, kind[1] / letters, shouted / n,
@@ -116,7 +114,7 @@ class Boosted:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         n, k = x.shape
-        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(k)]
+        self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if n else np.zeros(0) for j in range(k)]
         binned = self._binned(x)
         rate = np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3)
         self.base = float(np.log(rate / (1 - rate)))
