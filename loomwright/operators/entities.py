@@ -10,6 +10,7 @@ import ast
 import warnings
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +91,6 @@ def parse(module_id: str, source: str) -> list[dict]:
 
 def extract(modules: DataFrame) -> DataFrame:
     """Entity rows of modules (module_id, content).  Of equal ids the last one counts; see :func:`latest`."""
-    import pandas as pd
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [r for m, c in zip(b["module_id"], b["content"]) for r in parse(m, c or "")]
@@ -142,8 +141,6 @@ def outline(source: str, limit: int = 20) -> str:
 
 def outlines(modules: DataFrame) -> DataFrame:
     """module_id, outline."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def each(content: pd.Series) -> pd.Series:
         return content.fillna("").map(outline)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def scan(spark: SparkSession, root: str, content: bool = True, glob: str | None = None) -> DataFrame:
-    """path (below the root), length, modified (and content as bytes).  Without content no file is opened."""
+    """path (below the root), length, modified (and content as bytes).  Without content no file is opened.  Spark's file index leaves
+    out names that begin with "_" or "."."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,6 @@ RESULT = "title string, snippet string, link string"
 
 def search(queries: DataFrame, engine: Callable[[str, int], list[dict]], most: int = 10) -> DataFrame:
     """query, title, snippet, link; rows without title or snippet go."""
-    import pandas as pd
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [{"query": q, **r} for q in b["query"] for r in engine(q, most)[:most]]
@@ -26,8 +25,6 @@ def search(queries: DataFrame, engine: Callable[[str, int], list[dict]], most: i
 
 def fetched(links: DataFrame, link: str, fetch: Callable[[str], str | None]) -> DataFrame:
     """The rows with ``content``, the cleaned page; a page that cannot be had is empty, the row stays."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def get(urls: pd.Series) -> pd.Series:
         def one(u):
