@@ -5,12 +5,14 @@ words are rare and say more).  Votes are summed as 32 columns that each hold two
 aggregate with map-side sums suffices and no document's words ever meet before they are summed.
 
 :func:`near_pairs` finds all fingerprints within a Hamming radius r by permuted block tables: 64 bits are cut into
-r + 1 blocks, table i holds the fingerprints with block i moved to the front, and two fingerprints within r agree on
-the front of some table at least.
+r + 2 blocks, each table holds the fingerprints with two of the blocks moved to the front, and two fingerprints within
+r agree on the front of some table at least.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +58,19 @@ def likeness(a: Column, b: Column) -> Column:
 
 def near_pairs(prints: DataFrame, radius: int) -> DataFrame:
     """(a, b) with a < b for every two distinct fingerprints that differ in 1 to ``radius`` bits; equal fingerprints are
-    one class and are not expanded.  Complete: r + 1 blocks cannot all hold one of r differences.
+    one class and are not expanded.  Complete: of r + 2 blocks, r differences leave two at least untouched, and there is a
+    table for every two.
 
-    Meant for a radius that is small beside log2 of the number of fingerprints; a block shared by very many distinct
-    fingerprints is compared within the join, whose large partitions Spark splits.
+    Two blocks of 64 / (r + 2) bits make keys that few unrelated fingerprints share; what a group of near copies shares is
+    compared within the join, whose large partitions Spark splits.
     """
     distinct = prints.select(F.col("fingerprint").alias("f")).filter(F.col("f").isNotNull()).distinct()
-    cuts = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    front = F.array(*[F.struct(F.lit(i).alias("t"), F.shiftrightunsigned(F.col("f"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("k")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]) if radius else F.array(F.struct(F.lit(0).alias("t"), F.col("f").alias("k")))
-    tables = distinct.select("f", F.explode(front).alias("e")).select("f", "e.t", "e.k")
+    cuts = [round(i * 64 / (radius + 2)) for i in range(radius + 3)]
+    block = [F.shiftrightunsigned(F.col("f"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
+    front = F.array(*[F.struct(F.lit(n).alias("t"), block[i].alias("k"), block[j].alias("l")) for n, (i, j) in enumerate(combinations(range(radius + 2), 2))])
+    tables = distinct.select("f", F.explode(front).alias("e")).select("f", "e.*")
     left, right = tables.withColumnRenamed("f", "a"), tables.withColumnRenamed("f", "b")
-    found = left.join(right, ["t", "k"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    found = left.join(right, ["t", "k", "l"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return found.select("a", "b").distinct()
 
 
