@@ -74,3 +74,22 @@ def grouped(batches: Iterator, column: str, limit: int) -> Iterator[list]:
                 held, size = [], 0
     if held:
         yield held
+
+
+def least_hashed(rows: DataFrame, salt: str, key: str, n: int) -> DataFrame:
+    """The rows whose salted 64-bit hash of the key is among the n least (more only if keys are equal).
+
+    On large tables a bound on the hash comes first, under which about 4 n rows are expected, so that the rows that
+    are sorted do not grow with the number of partitions; the result is the same with and without it.
+    """
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(salt), key))
+    total = rows.count()
+    near = rows
+    if total > 16 * n:
+        bound = -(1 << 63) + int((1 << 64) * (4 * n / total))
+        near = rows.filter(F.col("_hash") <= F.lit(bound))
+    for tried in (near, rows):
+        got = tried.select("_hash").orderBy("_hash").limit(n).agg(F.max("_hash").alias("m"), F.count(F.lit(1)).alias("n")).first()
+        if got["n"] >= min(n, total):
+            break
+    return rows.filter(F.col("_hash") <= F.lit(got["m"])).drop("_hash") if got["n"] else rows.limit(0).drop("_hash")

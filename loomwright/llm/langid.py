@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, fold_of, grouped, only
+from .common import fold, fold_of, grouped, least_hashed, only
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
@@ -166,15 +166,11 @@ def train(texts: list[str], labels: list[str], seed: int = 3) -> Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the table's labelled texts outside the held-out fold: at most ``sample`` rows, those of least digest
-    of text and id, so that the choice does not depend on partitions."""
-    rows = only(docs, ["doc_id", "text", "lang"]).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    rows = rows.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", F.xxhash64(F.lit("langid"), "doc_id").alias("_k"), "doc_id")
-    # keys first, texts of the chosen rows afterwards: the sort moves no text
-    cut = rows.select("_k").orderBy("_k").limit(sample).agg(F.max("_k").alias("m")).first()["m"]
-    if cut is None:
-        return train([], [])
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["lang"]) for r in rows.filter(F.col("_k") <= cut).limit(2 * sample).collect())
+    """A model of the table's labelled texts outside the held-out fold: at most ``sample`` rows, those of least hash
+    of their id, so that the choice does not depend on partitions."""
+    rows = only(docs, ["doc_id", "text", "lang"]).filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
+    chosen = least_hashed(rows, "langid", "doc_id", sample).filter(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["lang"]) for r in chosen.limit(2 * sample).collect())
     return train([t for _, t, _ in got], [x for _, _, x in got])
 
 
