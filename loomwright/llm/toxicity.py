@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fold, fold_of, only
+from .common import durable, fold, fold_of, least_hashed, only
 
 #: Labelled rows fitted on: a bound of the sample.
 SAMPLE = 12_000
@@ -217,10 +217,10 @@ def learned_lexicon(sample: DataFrame) -> dict[bytes, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of at most ``sample`` labelled rows outside the held-out fold, those of least digest."""
+    """A model of at most ``sample`` labelled rows outside the held-out fold, those of least hash."""
     marked = only(labels, ["doc_id", "toxic"]).filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id"), 5) != 0)
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
-    chosen = marked.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(sample)
+    chosen = least_hashed(marked, "toxicity", "doc_id", sample)
     rows = only(docs, ["doc_id", "text"]).join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "toxic")
     rows = durable(rows, "labelled")
     # the lexicon's rows and the trees' are apart, else the trees would trust it too much
