@@ -11,9 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _catalogs():
-    from . import graph_queries, message_queries, relational_queries, text_queries
+    from . import graph_queries, message_queries, more_queries, relational_queries, text_queries
 
-    return [relational_queries.CATALOG, text_queries.CATALOG, message_queries.CATALOG, graph_queries.CATALOG]
+    return [relational_queries.CATALOG, text_queries.CATALOG, message_queries.CATALOG, graph_queries.CATALOG, more_queries.CATALOG]
 
 
 def queries() -> dict[str, Query]:
