@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ WIDTH = 1.5
 #: Share of the 3^k perturbations that a query visits in each table, and the most of them.
 VISITED, MOST_PROBES = 0.5, 4096
 SEED = 11
+#: Entries by whose visited ones a query learns early which scores cannot be among its best (a bound of the sample).
+SCOUTS = 4096
 #: Queries answered at once: a bound of memory.
-BLOCK = 256
+BLOCK = 64
 
 
 @dataclass
@@ -61,30 +64,24 @@ class Hashes:
         at = self._projected(vectors, True)
         cell = np.floor(at)
         low = at - cell
-        # squared distance to the boundary that a step down or up in each projection crosses, times its width
+        # squared distance to the boundary that a step down or up in each projection crosses
         cost = np.concatenate([low**2, (1 - low) ** 2], axis=2)
-        step = np.concatenate([-np.ones_like(low), np.ones_like(low)], axis=2).astype(np.int64)
-        k = low.shape[2]
+        n, tables, k = low.shape
         # all 3^k sets of perturbations are few here; the best are the answer of the heap of the original method
-        sets = _perturbations(k)
-        score = np.einsum("nlj,sj->nls", cost, sets)
+        sets, moves = _perturbations(k)
+        score = cost.reshape(n * tables, 2 * k) @ sets.T
         probes = min(self.probes, len(sets))
-        best = np.argpartition(score, probes - 1, axis=2)[:, :, :probes]
-        best = np.take_along_axis(best, np.argsort(np.take_along_axis(score, best, axis=2), axis=2, kind="stable"), axis=2)
-        moves = np.einsum("sj,nlj->nlsj", sets, step)[..., :k] + np.einsum("sj,nlj->nlsj", sets, step)[..., k:]
-        chosen = np.take_along_axis(moves.astype(np.int64), best[..., None], axis=2)
-        return _pack(cell.astype(np.int64)[:, :, None, :] + chosen)
+        best = np.argpartition(score, probes - 1, axis=1)[:, :probes]
+        best = np.take_along_axis(best, np.argsort(np.take_along_axis(score, best, axis=1), axis=1, kind="stable"), axis=1)
+        return _pack(cell.astype(np.int64)[:, :, None, :] + moves[best].reshape(n, tables, probes, k))
 
 
-def _perturbations(k: int) -> np.ndarray:
-    """(3^k, 2k) which of the k steps down and k steps up each set takes, never both of one projection."""
-    out = np.zeros((3**k, 2 * k))
-    codes = np.arange(3**k)
-    for j in range(k):
-        digit = (codes // 3**j) % 3
-        out[digit == 1, j] = 1
-        out[digit == 2, k + j] = 1
-    return out
+@lru_cache(4)
+def _perturbations(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(3^k, 2k) which of the k steps down and k steps up each set takes, never both of one projection; (3^k, k) the
+    steps themselves."""
+    digits = (np.arange(3**k)[:, None] // 3 ** np.arange(k)) % 3
+    return np.concatenate([digits == 1, digits == 2], axis=1).astype(float), np.array([0, -1, 1])[digits]
 
 
 def _pack(cells: np.ndarray) -> np.ndarray:
@@ -146,6 +143,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, hashes: Hashes |
     entries = durable(_distinct(rows, k + 1), "ann-entries")
     questions = durable(asked.groupBy("v").agg(F.min("vec_id").alias("first")), "ann-questions")
     n = shuffle_partitions(spark)
+    scouts = entries.select("v").orderBy(F.xxhash64("v")).limit(SCOUTS).collect()
+    scouting = np.array([r["v"] for r in scouts], np.float64)
+    ahead = spark.sparkContext.broadcast((scouting, hashes.keys(scouting)) if len(scouting) else None)
+
+    places = _places(spark, n)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,20 +165,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, hashes: Hashes |
             head[offsets[:-1]] = True
             flat[head] = (keys ^ np.arange(tables)).ravel()
             flat[~head] = ids.take(pa.array(row)).flatten().to_numpy()
-            to = (keys.ravel().view(np.uint64) % np.uint64(n)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(row), -1)), b.column(0).take(pa.array(row)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["task", "query", "v", "ids"])
+            to = places[keys.ravel().view(np.uint64) % np.uint64(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(row), -1)), b.column(0).take(pa.array(row)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.zeros(len(row)))], names=["task", "query", "v", "ids", "floor"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A query's visits are sent as one row per task: the keys of its buckets there."""
         for b in batches:
             for lo in range(0, b.num_rows, 16):
                 part = b.slice(lo, 16)
-                keys = shared.value.probe_keys(_matrix(part.column(0)))
+                vectors = _matrix(part.column(0))
+                keys = shared.value.probe_keys(vectors)
                 first = part.column(1).to_numpy()
                 for q in range(part.num_rows):
-                    yield from _visits(keys[q], int(first[q]), part.column(0).slice(q, 1))
-
-    def _visits(keys: np.ndarray, first: int, v: pa.Array) -> Iterator[pa.RecordBatch]:
+                    yield from _visits(keys[q], int(first[q]), part.column(0).slice(q, 1), floor_of(keys[q], vectors[q]))
+
+    def floor_of(keys: np.ndarray, q: np.ndarray) -> float:
+        """The k + 1st best score among the scouts that the query visits: what scores less cannot be an answer."""
+        v, own = ahead.value
+        seen = np.zeros(len(v), bool)
+        for t in range(keys.shape[0]):
+            seen |= np.isin(own[:, t], keys[t])
+        score = (v[seen] * q).sum(axis=1)
+        return float(np.partition(score, len(score) - k - 1)[len(score) - k - 1]) if len(score) > k else -np.inf
+
+    def _visits(keys: np.ndarray, first: int, v: pa.Array, floor: float) -> Iterator[pa.RecordBatch]:
         t = np.repeat(np.arange(keys.shape[0], dtype=np.int32), keys.shape[1])
         where = keys.ravel()
         to = where.view(np.uint64) % np.uint64(n)
@@ -185,8 +197,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, hashes: Hashes |
         cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
         offsets = np.r_[cut, len(to)].astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(to[cut].astype(np.int32)), pa.array(np.full(len(cut), first)), v.take(pa.array(np.zeros(len(cut), np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(where ^ t.astype(np.int64)))],
-            names=["task", "query", "v", "ids"],
+            [pa.array(places[to[cut]]), pa.array(np.full(len(cut), first)), v.take(pa.array(np.zeros(len(cut), np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(where ^ t.astype(np.int64))), pa.array(np.full(len(cut), floor))],
+            names=["task", "query", "v", "ids", "floor"],
         )
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +211,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, hashes: Hashes |
         yield from _visit(members, asks, k)
 
     # a bucket's rows go to the task that its key names; a query goes once to each task that holds a bucket of its own
-    sent = "task int, query long, v array<float>, ids array<long>"
+    sent = "task int, query long, v array<float>, ids array<long>, floor double"
     both = entries.select("v", "ids").mapInArrow(index, sent).unionByName(questions.select("v", "first").mapInArrow(probe, sent))
     found = both.repartition(n, "task").mapInArrow(visit, "query long, vec_id long, score double")
     best = found.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("_r") <= k + 1)
@@ -210,6 +222,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, hashes: Hashes |
     return own.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query_id").cast("long"), F.col("rank").cast("int"), F.col("vec_id").cast("long"), "score")
 
 
+def _places(spark, n: int) -> np.ndarray:
+    """For each of n partitions a number that hash partitioning sends there, so that tasks are dealt out one each."""
+    tried = spark.range(64 * n).select(F.col("id").cast("int").alias("i")).groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("p")).agg(F.min("i").alias("i")).collect()
+    found = {r["p"]: r["i"] for r in tried}
+    return np.array([found.get(p, p) for p in range(n)], np.int32)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -230,21 +249,24 @@ def _visit(members: list[pa.RecordBatch], asks: list[pa.RecordBatch], k: int) ->
     # a vector's entries of several tables meet here at times: they count as one
     same = {v: i for i, v in reversed(list(enumerate(flat[begin].tolist())))}
     entry = np.array([same[v] for v in flat[begin].tolist()])
-    bucket, first = np.unique(keys, return_index=True)
-    last = np.r_[first[1:], len(keys)]
+    bucket, of = np.unique(keys, return_inverse=True)
     queries = np.concatenate([b.column(1).to_numpy() for b in asks])
     q = np.concatenate([_matrix(b.column(2)) for b in asks])
-    visits = [x for b in asks for x in b.column(3).to_pylist()]
+    visits = [v for b in asks for v in np.split(b.column(3).flatten().to_numpy(), np.cumsum(np.diff(b.column(3).offsets.to_numpy()))[:-1])]
+    floors = np.concatenate([b.column(4).to_numpy() for b in asks])
+    floors = floors - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(floors), floors, 1.0)))
     for lo in range(0, len(q), BLOCK):
         hi = min(len(q), lo + BLOCK)
         near = q[lo:hi] @ data.T  # to tell which can be among the best; their scores are computed one way for all
         for i in range(lo, hi):
-            at = np.searchsorted(bucket, visits[i])
-            at = at[(at < len(bucket)) & (bucket[np.minimum(at, len(bucket) - 1)] == visits[i])]
-            if not len(at):
+            at = np.minimum(np.searchsorted(bucket, visits[i]), len(bucket) - 1)
+            at = at[bucket[at] == visits[i]]
+            visited = np.zeros(len(bucket), bool)
+            visited[at] = True
+            mine = np.flatnonzero(visited[of] & (near[i - lo] >= floors[i]))
+            mine = mine[np.unique(entry[mine], return_index=True)[1]]
+            if not len(mine):
                 continue
-            size = last[at] - first[at]
-            mine = np.unique(entry[np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
             rough = near[i - lo, mine]
             if len(mine) > k + 1:
                 least = np.partition(rough, len(mine) - k - 1)[len(mine) - k - 1]
