@@ -27,6 +27,8 @@ from .common import durable, only, shuffle_partitions
 TABLES, PROJECTIONS = 4, 8
 #: Cells are this many root mean squares of the norm wide.
 WIDTH = 1.5
+#: Vectors below which cells grow notably, so that all of a very small table are found.
+FEW = 256
 #: Share of the 3^k perturbations that a query visits in each table, and the most of them.
 VISITED, MOST_PROBES = 0.5, 4096
 SEED = 11
@@ -113,7 +115,8 @@ def fit(rows: DataFrame, tables: int = TABLES, projections: int = PROJECTIONS, s
     norm, d = float(np.sqrt(got["most"])) * (1 + 1e-12), int(got["d"])
     directions = rng.normal(size=(tables, projections, d + 1))
     # a projection's standard deviation is about the root mean square of the norm
-    width = np.full((tables, projections), WIDTH * np.sqrt(got["mean"]))
+    # wider where vectors are few: what lies between them is then no reason to leave one out
+    width = np.full((tables, projections), WIDTH * (1 + FEW / got["n"]) * np.sqrt(got["mean"]))
     offsets = rng.uniform(0, 1, size=(tables, projections)) * width
     probes = int(min(MOST_PROBES, max(1, VISITED * 3**projections)))
     return Hashes(directions, offsets, width, norm, probes)

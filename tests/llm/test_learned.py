@@ -262,6 +262,9 @@ def test_few_or_no_vectors(spark):
     assert got == [(0, 1, 20, 1.0), (0, 2, 3, 0.5), (20, 1, 0, 1.0), (20, 2, 3, 0.5)]
     empty = make([])
     assert ann.search(empty, empty, 20).collect() == []
+    rng = np.random.default_rng(5)
+    few = make([(i, [float(x) for x in rng.normal(size=32)]) for i in range(15)])
+    assert ann.search(few, few.filter("vec_id = 0"), 20).count() == 14
     one = make([(0, [1.0])])
     assert ann.search(one, one, 20).collect() == []
 
