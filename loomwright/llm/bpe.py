@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import grouped, only
 
 #: Characters handled at once, pieces remembered by a worker: bounds of memory, not of work.
-BLOCK_CHARS, REMEMBERED = 4 << 20, 400_000
+BLOCK_CHARS, REMEMBERED = 3 << 19, 200_000
 #: Longer pieces (in bytes) are contracted with a heap instead: one contraction a round would be quadratic in them.
 LONG_PIECE = 1 << 10
 OTHER, SPACE, LETTER, NUMBER = range(4)
@@ -129,7 +129,7 @@ class Tokenizer:
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
                     left.append(a), right.append(b), merged.append(rank)
         self.pairs = dict(zip(zip(left, right), merged))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self.db.execute("SET enable_progress_bar = false")
         self.db.register("m", pa.table({"pair": (np.array(left, np.int64) << 20) | np.array(right, np.int64), "m": np.array(merged, np.int64)}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
@@ -147,10 +147,9 @@ class Tokenizer:
             raise RuntimeError("pieces were left before their fixpoint")
         got = self.db.execute(GATHER).fetchnumpy()
         self.db.execute("DROP TABLE ended")
-        out = [(i.encode(), n, bytes.fromhex(d)) for i, n, d in zip(got["ids"].tolist(), got["n"].tolist(), got["decoded"].tolist())]
-        if [x[2] for x in out] != pieces:
+        if [bytes.fromhex(d) for d in got["decoded"].tolist()] != pieces:
             raise RuntimeError("a piece was lost or its tokens were out of order")
-        return out
+        return [(i.encode(), n, p) for i, n, p in zip(got["ids"].tolist(), got["n"].tolist(), pieces)]
 
     def _contract_long(self, piece: bytes) -> tuple[bytes, int, bytes]:
         """The same contractions with a heap of (rank, position) over a linked list."""
@@ -286,6 +285,12 @@ def encode_texts(coder: Tokenizer, texts: list[bytes | None]) -> Iterator[tuple[
     yield from flush()
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches of about as much text as a block, so that few texts are Python objects at once."""
+    for held in grouped(batches, "text", BLOCK_CHARS):
+        yield from held
+
+
 def _rank_path(path: str | None) -> str:
     if path is not None:
         return path
@@ -302,7 +307,7 @@ def encoded_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(_rank_path(ranks))
-        for b in batches:
+        for b in slices(batches):
             n = b.num_rows
             counts, ids, decoded = [0] * n, [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
             for i, ours, back in encode_texts(coder, b.column(1).to_pylist()):
@@ -327,7 +332,7 @@ def encoded_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(_rank_path(ranks))
-        for b in batches:
+        for b in slices(batches):
             parts: list[list[bytes]] = [[] for _ in range(b.num_rows)]
             for i, ours, _ in encode_texts(coder, b.column(3).to_pylist()):
                 parts[i].append(b" ".join(ours))

@@ -29,7 +29,7 @@ SAMPLE, SAMPLE_CHARS = 4000, 1000
 EPOCHS, BATCH, RATE = 4, 64, 0.5
 #: Probability below which a text is rejected.
 ACCEPTED = 0.35
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 UNDETERMINED = "und"
 
 
@@ -220,8 +220,9 @@ def accepted_documents(docs: DataFrame, model: Model) -> DataFrame:
     rows = only(docs, ["doc_id", "text", "lang", "source", "n_chars"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, score, letters = score_texts(shared.value, [t or "" for t in b.column(1).to_pylist()])
-            yield b.filter(pa.array(letters & (score >= ACCEPTED)))
+        for held in grouped(batches, "text", BLOCK_BYTES // 4):
+            for b in held:
+                _, score, letters = score_texts(shared.value, [t or "" for t in b.column(1).to_pylist()])
+                yield b.filter(pa.array(letters & (score >= ACCEPTED)))
 
     return rows.mapInArrow(run, rows.schema)
