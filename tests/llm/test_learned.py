@@ -167,6 +167,49 @@ def test_gradients_of_the_language_model():
         assert math.isclose(_numeric(loss, w, at), g[at], rel_tol=0.05, abs_tol=2e-3)
 
 
+def test_training_covers_whole_documents_with_one_end_each(spark, monkeypatch):
+    # what a document says after its first thousands of characters, and in documents outside the sample, is learned
+    seen = []
+    fit = gru_lm.Network.fit
+    monkeypatch.setattr(gru_lm.Network, "fit", lambda self, texts, **k: seen.append([t.copy() for t in texts]) or fit(self, texts, **k))
+    monkeypatch.setattr(gru_lm, "SAMPLE", 20)
+    rows = [(i, " ".join(["start"] * 400 + ["late", "later"] * 200)) for i in range(60)]
+    rows += [(100 + i, " ".join(["late", "later"] * 200)) for i in range(40)]
+    got = {r["doc_id"]: r for r in gru_lm.scores(documents(spark, rows)).collect()}
+    assert len(seen) == 1 and len(seen[0]) >= 20
+    assert {len(t) for t in seen[0]} <= {801, 401} and all((t == gru_lm.END).sum() == 1 and t[-1] == gru_lm.END for t in seen[0])
+    held = [got[i] for i, _ in rows if got[i]["held_out"]]
+    assert held and all(r["score"] / r["n_tokens"] > -0.1 for r in held)
+
+
+def test_every_training_document_is_dealt_to_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "SHARD", 500)
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(1, 250, int(rng.integers(1, 120))).astype(np.uint8)) + b"\0" for _ in range(120)]
+    df = spark.createDataFrame([(i if i % 9 else None, len(t), t) for i, t in enumerate(texts)], "doc_id long, n_tokens long, symbols binary")
+    frames = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: frames.append(collect(self)) or frames[-1])
+    net = gru_lm.Network()
+    before = net.packed()
+    gru_lm.train(net, df)
+    sums = [f for f in frames if f and "w" in f[0].__fields__]
+    assert len(sums) == gru_lm.ROUNDS and sum(r["n"] for f in sums for r in f) == sum(map(len, texts))
+    assert not np.array_equal(before, net.packed()) and np.isfinite(net.packed()).all()
+
+
+def test_states_are_cleared_where_a_text_begins():
+    net, rng = gru_lm.Network(), np.random.default_rng(7)
+    texts = [rng.integers(0, 256, n) for n in (5, 9)]
+    together, begins = np.concatenate(texts)[:, None], np.zeros((14, 1), bool)
+    begins[[0, 5]] = True
+    zero = np.zeros((1, gru_lm.HIDDEN), np.float32)
+    got, _, loss = net._window(together, np.ones((14, 1), np.float32), zero, begins)
+    want = [net._window(t[:, None], np.ones((len(t), 1), np.float32), zero) for t in texts]
+    assert math.isclose(loss, sum(w[2] for w in want), rel_tol=1e-5)
+    assert all(np.allclose(g * 14, a * 5 + b * 9, atol=1e-4) for g, a, b in zip(got, want[0][0], want[1][0]))
+
+
 # ---- pages ----
 def test_gradients_of_the_labeller():
     pages, labels = [], []
