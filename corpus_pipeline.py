@@ -23,14 +23,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the one of the smallest doc_id; of its repeated rows, one."""
-    classes = near_dedup.near_duplicate_classes(docs)
-    kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = only(docs, COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    # rows that share an id: the smallest text stands for the document
-    ids = only(docs, ["doc_id"]).filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    single = rows.join(ids, "doc_id", "left_anti").select(*COLUMNS)
-    several = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_r")).select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in COLUMNS[1:]])
+    """One row of each class of near copies stays: the one of the smallest doc_id (a null one last), and of rows that
+    share it the one whose text has the smallest hash.  Rows are told apart by id and text, so rows without an id and
+    different texts of one id are documents of their own."""
+    rows = only(docs, COLUMNS).withColumn("_k", F.xxhash64("text"))
+    prints = durable(near_dedup.row_fingerprints(docs), "pipeline-simhash").groupBy("doc_id", "_k", "fp").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k", "_n")
+    kept = prints.join(near_dedup.fingerprint_classes(prints.select("fp").distinct()), "fp").groupBy("class").agg(F.min(order).alias("x"))
+    kept = durable(kept.select(F.col("x.doc_id").alias("_id"), F.col("x._k").alias("_h"), F.col("x._n").alias("_n")), "pipeline-kept")
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h"))
+    single = rows.join(kept.filter("_n = 1"), here, "left_semi").select(*COLUMNS)
+    # repeated rows of one id and text: one stands for all
+    several = rows.join(kept.filter("_n > 1"), here, "left_semi").groupBy("doc_id", "_k").agg(F.min(F.struct(*COLUMNS[1:])).alias("_r")).select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in COLUMNS[1:]])
     return single.unionByName(several)
 
 

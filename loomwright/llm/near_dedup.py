@@ -61,16 +61,26 @@ def _bit_sums(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+def _printed(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, _k, text) -> doc_id, _k, fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints)], names=["doc_id", "_k", "fp"])
+
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_k", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, _k long, fp long")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of every row."""
+    return _printed(only(docs, ["doc_id", "text"]).withColumn("_k", F.lit(0).cast("long"))).drop("_k")
+
 
-    rows = only(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+def row_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, _k (the hash of the text), fp of every row."""
+    return _printed(only(docs, ["doc_id", "text"]).withColumn("_k", F.xxhash64("text")))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -197,3 +207,9 @@ def near_duplicate_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes = distinct.join(tied, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = prints.join(classes, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def fingerprint_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints (fp), distinct -> (fp, class): fingerprints tied within the radius have one class, whatever their rows' ids."""
+    tied = components(links(prints.select("fp", F.col("fp").alias("node")), radius))
+    return prints.join(tied, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("class"))

@@ -67,6 +67,23 @@ def test_stages_keep_the_columns_and_bear_odd_rows(spark):
         docs.count()
 
 
+def test_near_dedup_keeps_one_row_of_each_class(spark):
+    def kept(rows):
+        return sorted(((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, documents(spark, rows, extra=True), "").collect()), key=str)
+
+    a, b, c = words(21, 80), words(22, 80), words(23, 80)
+    # without an id, and different texts of one id
+    assert kept([(None, a), (None, a), (None, b), (5, c), (5, words(24, 80))]) == sorted([(None, a), (None, b), (5, c), (5, words(24, 80))], key=str)
+    # a copy under a smaller id stands for the class, the other text of the shared id stays
+    assert kept([(1, a), (5, a), (5, b), (None, b), (None, a)]) == sorted([(1, a), (5, b)], key=str)
+    odd = kept(ODD)
+    classes = slow_components([(n, slow_fingerprint(t)) for n, (_, t, *_) in enumerate(ODD)])
+    members = {}
+    for n, (i, t, *_) in enumerate(ODD):
+        members.setdefault(classes[n], []).append((i, t))
+    assert len(odd) == len(members) and {x[0] for x in odd} == {min((i for i, _ in m if i is not None), default=None) for m in members.values()}
+
+
 def test_stages_bear_an_empty_table(spark):
     docs = spark.createDataFrame([], DOCUMENTS)
     for name, stage in P.STAGES:
