@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import bpe, langid, mixing, near_dedup, substring_dedup
-from loomwright.llm.common import durable, only, table
+from loomwright.llm.common import discard, durable, only, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,18 +24,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near copies stays: the one of the smallest doc_id (a null one last), and of rows that
-    share it the one whose text has the smallest hash.  Rows are told apart by id and text, so rows without an id and
-    different texts of one id are documents of their own."""
-    rows = only(docs, COLUMNS).withColumn("_k", F.xxhash64("text"))
-    prints = durable(near_dedup.row_fingerprints(docs), "pipeline-simhash").groupBy("doc_id", "_k", "fp").agg(F.count(F.lit(1)).alias("_n"))
+    share it the one whose text has the smallest hash.  Near copies are texts whose 5-word shingles have a Jaccard
+    similarity of about 0.8 or more, by wide fingerprints.  Rows are told apart by id and text, so rows without an id and
+    different texts of one id are documents of their own.
+
+    Who stays is decided on rows without texts; then texts move once."""
+    rows = only(docs, COLUMNS).withColumn("_h", F.xxhash64("text"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k", "_n")
-    kept = prints.join(near_dedup.fingerprint_classes(prints.select("fp").distinct()), "fp").groupBy("class").agg(F.min(order).alias("x"))
-    kept = durable(kept.select(F.col("x.doc_id").alias("_id"), F.col("x._k").alias("_h"), F.col("x._n").alias("_n")), "pipeline-kept")
-    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h"))
-    single = rows.join(kept.filter("_n = 1"), here, "left_semi").select(*COLUMNS)
+    kept = near_dedup.near_copy_classes(docs).groupBy("class").agg(F.min(order).alias("x"))
+    kept = durable(kept.select(F.col("x.doc_id").alias("_id"), F.col("x._k").alias("_k"), F.col("x._n").alias("_n")), "pipeline-kept")
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_k"))
+    out = rows.join(kept.filter("_n = 1"), here, "left_semi").select(*COLUMNS)
+    repeated = kept.filter("_n > 1")
+    if repeated.isEmpty():
+        return out
     # repeated rows of one id and text: one stands for all
-    several = rows.join(kept.filter("_n > 1"), here, "left_semi").groupBy("doc_id", "_k").agg(F.min(F.struct(*COLUMNS[1:])).alias("_r")).select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in COLUMNS[1:]])
-    return single.unionByName(several)
+    one = rows.join(repeated, here, "left_semi").groupBy("doc_id", "_h").agg(F.min(F.struct(*COLUMNS[1:])).alias("_r"))
+    return out.unionByName(one.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in COLUMNS[1:]]))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +74,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = durable(docs, f"pipeline-{name}")
+            discard(before)
     return docs

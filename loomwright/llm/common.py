@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where the session has none (tests)."""
+    """The folder that all executors share, as the session names it.  A local one is set only in local mode (tests),
+    where one machine runs everything; on a cluster a session without one is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         where = f"file://{tempfile.gettempdir()}/loomwright-shared"
@@ -30,19 +33,68 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs no recomputation
     and both readers of a result see the same rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomwright/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (out, path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of :func:`durable` that nothing will read again."""
+    _, path = _WRITTEN.pop(id(df), (None, None))
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a partition by the optimizer's estimate, beyond which rows are dealt to more partitions than the session says.
+PARTITION_BYTES = 64 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions to deal the rows of a frame to: the session's number, or more if the optimizer's estimate of the
+    frame's size asks for them, so that what a task reads does not grow with the input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 50 else 0  # what the optimizer says of rows that it knows nothing about
+    return max(shuffle_partitions(df.sparkSession), min(known // PARTITION_BYTES, 100_000))
+
+
+def trimmed(run):
+    """A function for mapInArrow that hands freed memory back to the system when its rows end: workers live on between
+    stages, and what an allocator keeps would count against the executor."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def fold_of(doc_id, n: int):
     """crc32 of the decimal text of an id, modulo n (null ids: fold of the empty text)."""
     return zlib.crc32(b"" if doc_id is None else str(int(doc_id)).encode()) % n

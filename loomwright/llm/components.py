@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == state or not seen["n"]:
             break
         state = seen
-        now = durable(_star(_star(now, True), False), "stars")
+        before, now = now, durable(_star(_star(now, True), False), "stars")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import grouped, only, shuffle_partitions
+from .hashing import mixed, span_hashes
 
 WINDOW = 20
 GRAM = 6
@@ -35,37 +35,6 @@ SENT = "key long, doc_id long, dh int, body binary"
 FACTOR = "doc_id long, dh int, start int, words int, source_doc long, source_start int"
 HASH_BYTES = 6
 DONE = np.dtype([("start", "<i4"), ("words", "<i4"), ("source_doc", "<i8"), ("source_start", "<i4"), ("end", "u1")])
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
-@lru_cache(1)
-def _byte_values() -> np.ndarray:
-    return np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits that spreads each bit over all (the finalizer of MurmurHash3)."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _span_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of text[begin:end] for each pair: differences of prefix sums of a polynomial modulo 2^64."""
-    base = int(begin[0])
-    part = text[base : int(end[-1])]
-    power = np.full(len(part) + 1, MULTIPLIER, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    prefix = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_byte_values()[part] * power[:-1], out=prefix[1:])
-    # times the inverse power of where it begins, so that equal spans have equal hashes wherever they stand
-    power[1:] = INVERSE
-    np.cumprod(power, out=power)
-    return _mixed((prefix[end - base] - prefix[begin - base]) * power[begin - base] + (end - begin).astype(np.uint64) * MULTIPLIER)
 
 
 def _window_keys(text: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +44,8 @@ def _window_keys(text: np.ndarray, begin: np.ndarray, end: np.ndarray, window: i
     for at in range(0, n, HASH_WORDS):
         to = min(n, at + HASH_WORDS)
         b, e = begin[at : to + window - 1], end[at : to + window - 1]
-        hashes[at:to] = _span_hashes(text, b[: to - at], e[window - 1 :])
-        grams = _span_hashes(text, b[: len(b) - gram + 1], e[gram - 1 :])
+        hashes[at:to] = span_hashes(text, b[: to - at], e[window - 1 :])
+        grams = span_hashes(text, b[: len(b) - gram + 1], e[gram - 1 :])
         width, least = 1, grams
         while 2 * width <= window - gram + 1:
             least = np.minimum(least[:-width], least[width:])
@@ -143,7 +112,7 @@ def _parse_block(doc_ids: np.ndarray, hashes: np.ndarray, texts: list[bytes], wi
     if len(found[0]):
         packed = np.zeros(len(found[0]), DONE)
         packed["start"], packed["words"], packed["source_doc"], packed["source_start"] = found[2:]
-        key = _mixed(found[0].view(np.uint64) + found[2].astype(np.uint64)).view(np.int64)
+        key = mixed(found[0].view(np.uint64) + found[2].astype(np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(found[0]), pa.array(found[1]), _binary(packed.view(np.uint8), np.arange(len(packed) + 1) * DONE.itemsize)], names=names)
     first = np.flatnonzero(source == np.arange(len(source)))
     del source, later, found

@@ -8,6 +8,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -47,6 +48,31 @@ def slow_components(prints):
     return {doc: least[root(i)] for i, (doc, _) in enumerate(prints)}
 
 
+def slow_copy_classes(rows, radius=near_dedup.WIDE_RADIUS):
+    """Classes of rows (number, text) by wide fingerprints that share an upper node and differ in few bits."""
+    nodes = {}
+    for i, t in rows:
+        code, unsure = near_dedup.wide_fingerprint(None if t is None else t.encode())
+        keys = near_dedup.wide_keys(code[None], np.frombuffer(unsure, np.uint8).reshape(1, -1, near_dedup.UNSURE))[0].tolist()
+        nodes.setdefault(code.tobytes(), (code, set(keys), []))[2].append(i)
+    nodes = list(nodes.values())
+    parent = list(range(len(nodes)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(nodes)):
+        for j in range(i):
+            if nodes[i][1] & nodes[j][1] and np.bitwise_count(nodes[i][0] ^ nodes[j][0]).sum() <= radius:
+                parent[root(i)] = root(j)
+    least = {}
+    for k, (_, _, members) in enumerate(nodes):
+        least[root(k)] = min([least.get(root(k), 1 << 60), *members])
+    return {i: least[root(k)] for k, (_, _, members) in enumerate(nodes) for i in members}
+
+
 def test_xxh64_is_sparks(spark):
     got = spark.sql("select xxhash64('a b c') as h").first()["h"]
     assert got & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b c", 42)
@@ -80,6 +106,54 @@ def test_gray_index_finds_every_pair(codes, radius, r):
     assert found == want
 
 
+def test_stars_tie_what_pairs_connect():
+    for seed in range(1500):
+        r = random.Random(seed)
+        n, words, radius = r.randrange(1, 60), r.randrange(1, 4), r.randrange(0, 13)
+        codes = [[r.getrandbits(r.choice([1, 8, 30, 64])) for _ in range(words)] for _ in range(max(1, n // 8))]
+        while len(codes) < n:
+            c = list(r.choice(codes))
+            for _ in range(r.randrange(0, 9)):
+                c[r.randrange(words)] ^= 1 << r.randrange(64)
+            codes.append(c)
+        codes, groups, node = np.array(codes, np.uint64), np.sort(np.array([r.randrange(3) for _ in range(n)])), np.array(r.sample(range(n), n))
+        u, v = near_dedup.stars(groups, node, codes, radius)
+
+        def sets(pairs):
+            parent = list(range(n))
+
+            def root(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in pairs:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+            return [root(x) for x in range(n)]
+
+        near = [(node[i], node[j]) for i in range(n) for j in range(i) if groups[i] == groups[j] and np.bitwise_count(codes[i] ^ codes[j]).sum() <= radius]
+        assert sets(near) == sets(zip(u.tolist(), v.tolist())) and len(u) < n
+
+
+def test_gray_rank_of_several_words_orders_neighbours():
+    codes = [(a << 62, b << 61) for a in range(4) for b in range(8)]
+    at = lambda c: tuple(near_dedup.gray_rank(np.array([c], np.uint64))[0].tolist())
+    codes.sort(key=at)
+    assert all((a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() == 1 for a, b in zip(codes, codes[1:]))
+
+
+def test_keys_that_reach_over_chunks_are_searched_whole(monkeypatch):
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    r = random.Random(3)
+    base = r.getrandbits(63)
+    codes = sorted({base ^ (1 << r.randrange(63)) for _ in range(50)}) + [r.getrandbits(63) for _ in range(90)]
+    key = [1] * len(codes[:-90]) + sorted(r.randrange(2, 40) for _ in range(90))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[at : at + 7], pa.int64()) for x in (key, range(len(key)), codes)], names=["key", "node", "f0"]) for at in range(0, len(key), 7)]
+    got = [set(zip(b.column(0).to_pylist(), b.column(1).to_pylist())) for b in near_dedup._searcher(1, 2)(iter(batches))]
+    u, v = near_dedup.stars(np.array(key), np.arange(len(key)), np.array(codes, np.uint64), 2)
+    assert len(got) == 1 and got[0] == set(zip(u.tolist(), v.tolist())) and len(u) >= len(codes) - 91
+
+
 def test_gray_rank_orders_neighbours():
     codes = np.array(sorted(range(64), key=lambda c: int(near_dedup.gray_rank(np.array([c], np.uint64))[0])), np.uint64)
     assert all(int(a ^ b).bit_count() == 1 for a, b in zip(codes, codes[1:]))

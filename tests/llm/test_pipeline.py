@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -11,7 +12,7 @@ from loomwright.llm import langid, mixing
 from loomwright.llm.common import durable
 
 from .tables import DOCUMENTS, ODD, documents, words
-from .test_pairs_and_spans import slow_components, slow_fingerprint
+from .test_pairs_and_spans import slow_copy_classes
 
 tiktoken = pytest.importorskip("tiktoken")
 public = pytest.importorskip("public_tokenizers")
@@ -31,7 +32,7 @@ def test_run_matches_plain_stages(spark, tmp_path):
     got = P.run(spark, str(tmp_path)).collect()
     # plain stages
     docs = [(i, t, s) for i, t, _, s in [(r + ("en", "s"))[:4] for r in rows] if t and any(c.isalpha() for c in t)]
-    classes = slow_components([(i, slow_fingerprint(t)) for i, t, _ in docs])
+    classes = slow_copy_classes([(i, t) for i, t, _ in docs])
     docs = [(i, t, s) for i, t, s in docs if classes[i] == i]
     seen, stripped = set(), []
     for i, t, s in sorted(docs):
@@ -77,13 +78,34 @@ def test_near_dedup_keeps_one_row_of_each_class(spark):
     # a copy under a smaller id stands for the class, the other text of the shared id stays
     assert kept([(1, a), (5, a), (5, b), (None, b), (None, a)]) == sorted([(1, a), (5, b)], key=str)
     odd = kept(ODD)
-    classes = slow_components([(n, slow_fingerprint(t)) for n, (_, t, *_) in enumerate(ODD)])
+    classes = slow_copy_classes([(n, t) for n, (_, t, *_) in enumerate(ODD)])
     members = {}
     for n, (i, t, *_) in enumerate(ODD):
         members.setdefault(classes[n], []).append((i, t))
     assert len(odd) == len(members) and {x[0] for x in odd} == {min((i for i, _ in m if i is not None), default=None) for m in members.values()}
 
 
+def test_near_dedup_finds_planted_near_copies(spark):
+    """Copies with words replaced, of similarity 0.8 to 0.95, go; texts that share a part alone stay."""
+    r = random.Random(12)
+    rows, copies, shared = [(i, words(i, 300, 4000)) for i in range(150)], [], words(999, 120, 4000)
+    for i in range(150):
+        w = rows[i][1].split()
+        while (similarity := jaccard(rows[i][1], " ".join(w))) > r.uniform(0.8, 0.95):
+            w[r.randrange(len(w))] = f"new{r.randrange(10_000)}"
+        if similarity >= 0.8:
+            copies.append((1000 + i, " ".join(w)))
+    parts = [(2000 + i, words(3000 + i, 180, 4000) + " " + shared) for i in range(30)]
+    kept = {x["doc_id"] for x in P.near_duplicates(spark, documents(spark, rows + copies + parts), "").collect()}
+    assert len(copies) > 100 and {i for i, _ in rows + parts} <= kept
+    assert len({i for i, _ in copies} & kept) <= 0.03 * len(copies)
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
 def test_stages_bear_an_empty_table(spark):
     docs = spark.createDataFrame([], DOCUMENTS)
     for name, stage in P.STAGES:
