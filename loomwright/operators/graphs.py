@@ -8,18 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 CUT_EVERY = 5
 
 
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            import tempfile
-
-            where = f"{tempfile.gettempdir()}/loomwright-checkpoints"  # only where the session names no shared folder
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -99,3 +96,25 @@ def roll_up(tree: DataFrame, own: str, combine, deepest: int) -> DataFrame:
         done = tree.filter(F.col("depth") == depth).join(below, "node", "left").select("node", "parent", combine(F.col(own), F.col("_m"), F.col("_a")).alias("score"))
         out = out.unionByName(done)
     return out.select("node", "score")
+
+
+def personal_pageranks(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alpha: float = 0.85, weight: float = 2.0) -> DataFrame:
+    """s, node, pr: for each node s the PageRank whose teleport goes to s with ``weight`` and to the others with 1.
+
+    What a teleport spreads is linear in it, so one state keyed (s, node) carries all of them through the same rounds; it
+    has nodes^2 rows, so callers rank no more nodes than that allows.
+    """
+    n = nodes.count()
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
+    weighted = edges.join(out, "src").select(F.col("src").alias("node"), "dst", (F.lit(1.0) / F.col("_out")).alias("_w"))
+    sinks = nodes.join(out.select(F.col("src").alias("node"), "_out"), "node", "left").select("node", F.col("_out").isNull().alias("_sink"))
+    every = nodes.select(F.col("node").alias("s"), F.lit(1).alias("_k")).join(sinks.withColumn("_k", F.lit(1)), "_k").drop("_k")  # the result itself
+    p = F.when(F.col("s") == F.col("node"), weight).otherwise(1.0) / F.lit(n - 1 + weight)
+    state = _cut(every.select("s", "node", "_sink", p.alias("p"), F.lit(1.0 / max(n, 1)).alias("pr")))
+    for k in range(rounds):
+        lost = state.groupBy("s").agg(F.coalesce(F.sum(F.when(F.col("_sink"), F.col("pr"))), F.lit(0.0)).alias("_lost"))
+        into = state.join(weighted, "node").groupBy("s", F.col("dst").alias("node")).agg(F.sum(F.col("pr") * F.col("_w")).alias("_in"))
+        state = state.join(into, ["s", "node"], "left").join(lost, "s").select("s", "node", "_sink", "p", (F.lit(1 - alpha) * F.col("p") + F.lit(alpha) * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") * F.col("p"))).alias("pr"))
+        if k % CUT_EVERY == CUT_EVERY - 1:
+            state = _cut(state)
+    return state.select("s", "node", "pr")

@@ -24,3 +24,17 @@ def build(master: str | None = None, app: str = "loomwright", **conf: str) -> Sp
 
 def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir; in local mode a
+    temporary one if it names none, on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
+        where = f"file://{tempfile.gettempdir()}/loomwright-shared"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
