@@ -1,94 +1,122 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Largest inner products are nearest Euclidean neighbours once every vector x is extended by sqrt(M^2 - |x|^2), M the
-largest norm, and every query by 0.  Each of L tables has k Gaussian (2-stable) projections; a vector's key is the k
-numbers floor((a.x + b) / w).  A query visits its own bucket of each table and perturbed buckets, those that differ by
-one step up or down in some projections, in the order of their estimated success (the sum of squared distances to the
-boundaries crossed, Lv et al. 2007).  Candidates of all tables are merged and ranked by exact inner products.
+Largest inner products are nearest Euclidean neighbours on a sphere: vectors are split into ranges of their length (a
+factor of two each), and in a range whose longest vector has length M a vector x becomes (x, sqrt(M^2 - |x|^2)) / M and a
+query q becomes (q, 0) / |q|.  Within a range the added coordinate stays below one cell, so one long vector moves no others.
+
+Each of L tables has k Gaussian (2-stable) projections; a vector's key is the k numbers floor((a.x + b) / w).  A query
+visits its own bucket of each table and perturbed buckets, those that differ by one step up or down in some projections, in
+the order of their estimated success (Lv et al. 2007): a neighbour at distance r projects to a normal distribution of
+deviation r around the query's own projection, and a bucket's success is the product of the shares of that distribution
+that fall in its cells.  How far the k-th neighbour can be is learned from scouts, a sample of the vectors: no answer is
+farther.  A query stops as soon as the buckets visited find a neighbour at that distance with probability TARGET; ranges in
+which no vector can be among the answers are not visited at all.  Candidates of all tables are merged and ranked by exact
+inner products.
 
 Equal vectors are one entry with its smallest ids, which is exact: no more than k + 1 of them can be among the answers.
-The parameters of a fit are bounded; every vector is indexed.  Buckets are dealt to tasks; a task multiplies, bucket by
-bucket, the queries that visit it with its members, and keeps the best of each query.
+Buckets are dealt to tasks, very large ones in slices.  A task holds the queries that visit it, reads its vectors in chunks,
+and multiplies a query with the members of the buckets that it visits, each once.  Queries that meet fewer vectors than
+asked for are answered by an exact pass over all, in blocks of queries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import durable, only, shuffle_partitions
+from .common import durable, only, shuffle_partitions, trimmed
 
-TABLES, PROJECTIONS = 4, 8
-#: Cells are this many root mean squares of the norm wide.
-WIDTH = 1.5
-#: Vectors below which cells grow notably, so that all of a very small table are found.
-FEW = 256
-#: Share of the 3^k perturbations that a query visits in each table, and the most of them.
-VISITED, MOST_PROBES = 0.5, 4096
+TABLES, PROJECTIONS = 7, 10
+#: Width of a cell; projections of the unit sphere have a deviation of 1.
+WIDTH = 2.0
+#: Probability with which a neighbour is to be met, and the most buckets that a query visits in a table.
+TARGET, PROBES = 0.96, 400
 SEED = 11
-#: Entries by whose visited ones a query learns early which scores cannot be among its best (a bound of the sample).
+#: Vectors by which a query learns how near its neighbours are at least (a bound of the sample).
 SCOUTS = 4096
-#: Queries answered at once: a bound of memory.
-BLOCK = 64
+#: Members of a bucket from which it is dealt out in slices; vectors read at once, queries at once: bounds of memory.
+SLICE, CHUNK, BLOCK = 1 << 16, 1 << 14, 64
+#: Queries of an exact pass sent to all tasks at once.
+EXACT_BLOCK = 1024
 
 
-@dataclass
-class Hashes:
-    """``directions`` (L, k, d + 1), ``offsets`` (L, k), ``width``, the largest norm and the probes per table."""
+def _phi(x: np.ndarray) -> np.ndarray:
+    """The normal distribution function (Abramowitz and Stegun 26.2.17, to 1e-7)."""
+    t = 1 / (1 + 0.2316419 * np.abs(x))
+    tail = np.exp(-x * x / 2) / np.sqrt(2 * np.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(x > 0, 1 - tail, tail)
 
-    directions: np.ndarray
-    offsets: np.ndarray
-    width: np.ndarray
-    norm: float
-    probes: int
 
-    @property
-    def tables(self) -> int:
-        return len(self.directions)
+class Hashes:
+    """The hash functions for vectors of ``size`` components, and the longest vector of each range of lengths."""
 
-    def _projected(self, vectors: np.ndarray, query: bool) -> np.ndarray:
-        rest = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(0.0, self.norm**2 - (vectors**2).sum(axis=1)))
-        full = np.concatenate([vectors, rest[:, None]], axis=1)
-        return (np.einsum("nd,lkd->nlk", full, self.directions) + self.offsets) / self.width
+    def __init__(self, size: int, longest: dict[int, float], tables: int = TABLES, projections: int = PROJECTIONS, seed: int = SEED):
+        rng = np.random.default_rng(seed)
+        self.longest, self.tables, self.projections = longest, tables, projections
+        self.directions = rng.normal(size=(tables, projections, size + 1))
+        self.offsets = rng.uniform(0, WIDTH, size=(tables, projections))
 
-    def keys(self, vectors: np.ndarray) -> np.ndarray:
-        """(n, L) bucket keys of data vectors."""
-        return _pack(np.floor(self._projected(vectors, False)).astype(np.int64))
+    def _projected(self, on_sphere: np.ndarray) -> np.ndarray:
+        """(n, L, k) places in cells."""
+        flat = on_sphere @ self.directions.reshape(-1, on_sphere.shape[1]).T
+        return (flat.reshape(len(on_sphere), self.tables, self.projections) + self.offsets) / WIDTH
 
-    def probe_keys(self, vectors: np.ndarray) -> np.ndarray:
-        """(n, L, probes) bucket keys that a query visits, likeliest first."""
-        at = self._projected(vectors, True)
+    def keys(self, vectors: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+        """(n, L) bucket keys of data vectors."""
+        scaled = vectors / np.array([self.longest[r] for r in ranges.tolist()])[:, None]
+        rest = np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))
+        cells = np.floor(self._projected(np.concatenate([scaled, rest[:, None]], axis=1))).astype(np.int64)
+        return _pack(cells, np.arange(self.tables), ranges[:, None])
+
+    def probe_keys(self, queries: np.ndarray, floors: np.ndarray, target: float = TARGET, most: int = PROBES) -> list[np.ndarray]:
+        """Of each query the keys of the buckets that it visits, likeliest first within a table and a range.  ``floors``:
+        inner products that all answers reach."""
+        lengths = np.sqrt((queries**2).sum(axis=1))
+        at = self._projected(np.concatenate([queries / lengths[:, None], np.zeros((len(queries), 1))], axis=1))
         cell = np.floor(at)
-        low = at - cell
-        # squared distance to the boundary that a step down or up in each projection crosses
-        cost = np.concatenate([low**2, (1 - low) ** 2], axis=2)
-        n, tables, k = low.shape
-        # all 3^k sets of perturbations are few here; the best are the answer of the heap of the original method
-        sets, moves = _perturbations(k)
-        score = cost.reshape(n * tables, 2 * k) @ sets.T
-        probes = min(self.probes, len(sets))
-        best = np.argpartition(score, probes - 1, axis=1)[:, :probes]
-        best = np.take_along_axis(best, np.argsort(np.take_along_axis(score, best, axis=1), axis=1, kind="stable"), axis=1)
-        return _pack(cell.astype(np.int64)[:, :, None, :] + moves[best].reshape(n, tables, probes, k))
-
-
-@lru_cache(4)
-def _perturbations(k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(3^k, 2k) which of the k steps down and k steps up each set takes, never both of one projection; (3^k, k) the
-    steps themselves."""
-    digits = (np.arange(3**k)[:, None] // 3 ** np.arange(k)) % 3
-    return np.concatenate([digits == 1, digits == 2], axis=1).astype(float), np.array([0, -1, 1])[digits]
-
-
-def _pack(cells: np.ndarray) -> np.ndarray:
-    """A 64-bit key of the k cell numbers (mixed, so that key collisions only add candidates)."""
-    key = np.zeros(cells.shape[:-1], np.uint64)
+        out: list[list[np.ndarray]] = [[] for _ in queries]
+        for r, longest in sorted(self.longest.items()):
+            nearest = floors / (lengths * longest)
+            live = np.flatnonzero(nearest <= 1 + 1e-9)
+            if not len(live):
+                continue
+            distance = np.sqrt(np.clip(2 - 2 * np.maximum(nearest[live], -1.0), 1e-4, 4.0))
+            moves, chance = best_moves(((at - cell)[live]).reshape(-1, self.projections), np.repeat(distance, self.tables), most)
+            found = 1 - np.prod(1 - np.minimum(np.cumsum(chance.reshape(len(live), self.tables, -1), axis=2), 1 - 1e-12), axis=1)
+            probes = (found < target).sum(axis=1) + 1
+            for n, i in enumerate(live.tolist()):
+                own = moves[n * self.tables : (n + 1) * self.tables, : probes[n]]
+                out[i].append(_pack(cell[i].astype(np.int64)[:, None, :] + own, np.arange(self.tables)[:, None], r).ravel())
+        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+
+
+def best_moves(within: np.ndarray, distance: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """within (n, k): places inside the own cell, 0 to 1; distance (n).  The ``most`` likeliest sets of steps (n, most, k),
+    -1, 0 or 1 in each projection, and the probability of each, falling."""
+    n, k = within.shape
+    spread = (distance / WIDTH)[:, None]
+    edges = [_phi((e - within) / spread) for e in (-1, 0, 1, 2)]
+    log = np.log(np.maximum(np.stack([edges[2] - edges[1], edges[1] - edges[0], edges[3] - edges[2]]), 1e-30))  # stay, down, up
+    total, code = np.zeros((n, 1)), np.zeros((n, 1), np.int64)
+    for j in range(k):  # the best sets of the first projections hold the best of all
+        total = np.concatenate([total + log[s, :, j, None] for s in range(3)], axis=1)
+        code = np.concatenate([code + s * 3**j for s in range(3)], axis=1)
+        if total.shape[1] > most:
+            keep = np.argpartition(-total, most - 1, axis=1)[:, :most]
+            total, code = np.take_along_axis(total, keep, axis=1), np.take_along_axis(code, keep, axis=1)
+    order = np.argsort(-total, axis=1, kind="stable")
+    total, code = np.take_along_axis(total, order, axis=1), np.take_along_axis(code, order, axis=1)
+    return np.array([0, -1, 1])[(code[:, :, None] // 3 ** np.arange(k)) % 3], np.exp(total)
+
+
+def _pack(cells: np.ndarray, table: np.ndarray, ranges) -> np.ndarray:
+    """A 64-bit key of the k cell numbers, the table and the range (mixed, so that key collisions only add candidates)."""
+    key = np.zeros(cells.shape[:-1], np.uint64) + (np.asarray(ranges, np.int64) * 64 + table).astype(np.uint64)
     for j in range(cells.shape[-1]):
         key = (key ^ cells[..., j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
@@ -97,132 +125,192 @@ def _pack(cells: np.ndarray) -> np.ndarray:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) of rows that can take part: an id, a non-empty vector without null, NaN or infinite components,
-    not all zero, and as long as the longest-established one (that of the smallest usable id)."""
-    rows = only(vectors, ["vec_id", "embedding"]).select("vec_id", F.col("embedding").cast("array<float>").alias("v"))
+    not all zero, and as long as the longest-established one (that of the smallest usable id).  Components keep their
+    precision."""
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    rows = only(vectors, ["vec_id", "embedding"]).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("v"))
     fine = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.filter(F.coalesce(fine, F.lit(False)))
     size = rows.agg(F.min_by(F.size("v"), "vec_id").alias("d")).first()["d"]
     return rows.filter(F.size("v") == F.lit(size if size is not None else -1))
 
 
+def _range() -> "F.Column":
+    """The range of a vector's length: a binary logarithm, rounded so that lengths of about 1 share one."""
+    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return F.floor(F.log2(F.sqrt(squared)) + 0.5).cast("int")
+
+
 def fit(rows: DataFrame, tables: int = TABLES, projections: int = PROJECTIONS, seed: int = SEED) -> Hashes | None:
-    """Hash functions for rows of :func:`usable`: one pass for the largest norm and the spread of the vectors."""
-    norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    got = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("most"), F.avg(norm2).alias("mean"), F.max(F.size("v")).alias("d")).first()
-    if not got["n"]:
+    """Hash functions for rows (vec_id, v) of :func:`usable`: one pass for the longest vector of each range (there are
+    no more ranges than a number has exponents)."""
+    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    got = rows.groupBy(_range().alias("r")).agg(F.max(squared).alias("most"), F.max(F.size("v")).alias("d")).collect()
+    if not got:
         return None
-    rng = np.random.default_rng(seed)
-    norm, d = float(np.sqrt(got["most"])) * (1 + 1e-12), int(got["d"])
-    directions = rng.normal(size=(tables, projections, d + 1))
-    # a projection's standard deviation is about the root mean square of the norm
-    # wider where vectors are few: what lies between them is then no reason to leave one out
-    width = np.full((tables, projections), WIDTH * (1 + FEW / got["n"]) * np.sqrt(got["mean"]))
-    offsets = rng.uniform(0, 1, size=(tables, projections)) * width
-    probes = int(min(MOST_PROBES, max(1, VISITED * 3**projections)))
-    return Hashes(directions, offsets, width, norm, probes)
+    return Hashes(int(got[0]["d"]), {r["r"]: float(np.sqrt(r["most"])) * (1 + 1e-12) for r in got}, tables, projections, seed)
 
 
 def _distinct(rows: DataFrame, keep: int) -> DataFrame:
-    """(v, ids): each distinct vector with its ``keep`` smallest ids.  The limit within a window's group is applied
-    before the shuffle too, so a vector with very many copies sends few rows."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("_r") <= keep)
-    return ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    """(v, ids, r): each distinct vector with its ``keep`` smallest distinct ids, and its range.  The limit within a
+    window's group is applied before the shuffle too, so a vector with very many copies sends few rows."""
+    ranked = rows.withColumn("_r", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("_r") <= keep)
+    return ranked.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).withColumn("r", _range())
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, hashes: Hashes | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k vectors of largest inner product found for every usable query, itself
     excluded, ties to the smaller id.
 
-    ``queries`` are rows of ``vectors`` (vec_id, embedding).  Rows that :func:`usable` leaves out neither ask nor answer.
+    ``queries`` are rows of ``vectors`` (vec_id, embedding).  Rows that :func:`usable` leaves out neither ask nor answer;
+    extra columns play no part; an empty table gives an empty result.  Repeated rows count once.  An id with several
+    vectors is as near as its nearest, and asks with all of them.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
     hashes = hashes or fit(rows)
-    schema = "query_id long, rank int, vec_id long, score double"
     if hashes is None:
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(hashes)  # L * k directions: bounded by parameters
-    asked = usable(vectors).join(only(queries, ["vec_id"]).distinct(), "vec_id", "left_semi")
-    entries = durable(_distinct(rows, k + 1), "ann-entries")
-    questions = durable(asked.groupBy("v").agg(F.min("vec_id").alias("first")), "ann-questions")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = rows.schema["v"].dataType.simpleString()
     n = shuffle_partitions(spark)
-    scouts = entries.select("v").orderBy(F.xxhash64("v")).limit(SCOUTS).collect()
-    scouting = np.array([r["v"] for r in scouts], np.float64)
-    ahead = spark.sparkContext.broadcast((scouting, hashes.keys(scouting)) if len(scouting) else None)
+    asked = rows.join(only(queries, ["vec_id"]).distinct(), "vec_id", "left_semi").distinct()
+    entries = durable(_distinct(rows, k + 1), "ann-entries")
+    questions = durable(asked.groupBy("v").agg(F.min("vec_id").alias("first")).repartition(n, "v"), "ann-questions")
+    sample = entries.select("v", F.element_at("ids", 1).alias("id")).orderBy(F.xxhash64("v"), "v").limit(SCOUTS).toArrow()
+    scouts = _matrix_of(sample.column("v"))[np.unique(sample.column("id").to_numpy(), return_index=True)[1]]  # one vector of an id
+    shared = spark.sparkContext.broadcast((hashes, scouts))  # directions and a bounded sample
+    found = _probed(entries, questions, shared, kind, k, n)
+    best = _best(found, k)
+    # a query that is a copy of another shares its answers; its own id goes, then the first k are left
+    to = asked.join(questions, "v").select(F.col("vec_id").alias("query_id"), F.col("first").alias("query"))
+    every = rows.select("vec_id").distinct().limit(k + 2).count()  # what there is to find, if less than k + 1
+    best = durable(best, "ann-best")
+    met = best.groupBy(F.col("query").alias("first")).agg(F.count(F.lit(1)).alias("_n"))
+    few = durable(questions.join(met, "first", "left").filter(F.coalesce("_n", F.lit(0)) < min(k + 1, every)).select("v", "first"), "ann-few")
+    if not few.isEmpty():
+        answered = best.join(few.select(F.col("first").alias("query")), "query", "left_anti")
+        best = answered.unionByName(_best(_exact(entries, few, k), k))
+    own = to.join(best, "query").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return own.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """(query, vec_id, score) -> the k + 1 best ids of each query."""
+    found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1).select("query", "vec_id", "score")
 
+
+def _probed(entries: DataFrame, questions: DataFrame, shared, kind: str, k: int, n: int) -> DataFrame:
+    """(query, vec_id, score) among the buckets that each query visits.
+
+    A bucket's members go to the task that its key names, and from SLICE of them on to several; a query goes once to each
+    task that holds a bucket of its own, with the keys of those."""
+    spark = entries.sparkSession
     places = _places(spark, n)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = _matrix(b.column(0))
-            if not len(v):
-                continue
-            keys = shared.value.keys(v)
-            tables = keys.shape[1]
-            row = np.repeat(np.arange(len(v)), tables)
-            ids = b.column(1)
-            sizes = np.diff(ids.offsets.to_numpy())[row] + 1
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            flat = np.empty(offsets[-1], np.int64)
-            head = np.zeros(len(flat), bool)
-            head[offsets[:-1]] = True
-            flat[head] = (keys ^ np.arange(tables)).ravel()
-            flat[~head] = ids.take(pa.array(row)).flatten().to_numpy()
-            to = places[keys.ravel().view(np.uint64) % np.uint64(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(row), -1)), b.column(0).take(pa.array(row)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.zeros(len(row)))], names=["task", "query", "v", "ids", "floor"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[0].keys(_matrix(b.column(0)), b.column(1).to_numpy()).ravel())], names=["key"])
+
+    sizes = entries.select("v", "r").mapInArrow(only_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE)
+    # at most TABLES * vectors / SLICE rows
+    slices = spark.sparkContext.broadcast({r["key"]: -(-r["n"] // SLICE) for r in sizes.collect()})
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                keys = shared.value[0].keys(_matrix(b.column(0)), b.column(2).to_numpy())
+                row = np.repeat(np.arange(len(keys)), keys.shape[1])
+                keys = keys.ravel()
+                to = (keys.view(np.uint64) % np.uint64(n)).astype(np.int64)
+                begin, _, ids = _lists(b.column(1))
+                for key, parts in slices.value.items():
+                    here = np.flatnonzero(keys == key)
+                    to[here] = (to[here] + ids[begin[row[here]]] % parts) % n
+                take = pa.array(row)
+                nothing = pa.array(np.zeros(len(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(places[to]), pa.array(np.full(len(row), -1)), pa.array(keys), b.column(0).take(take), b.column(1).take(take), nothing], names=["task", "query", "key", "v", "ids", "floor"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A query's visits are sent as one row per task: the keys of its buckets there."""
-        for b in batches:
-            for lo in range(0, b.num_rows, 16):
-                part = b.slice(lo, 16)
-                vectors = _matrix(part.column(0))
-                keys = shared.value.probe_keys(vectors)
-                first = part.column(1).to_numpy()
-                for q in range(part.num_rows):
-                    yield from _visits(keys[q], int(first[q]), part.column(0).slice(q, 1), floor_of(keys[q], vectors[q]))
-
-    def floor_of(keys: np.ndarray, q: np.ndarray) -> float:
-        """The k + 1st best score among the scouts that the query visits: what scores less cannot be an answer."""
-        v, own = ahead.value
-        seen = np.zeros(len(v), bool)
-        for t in range(keys.shape[0]):
-            seen |= np.isin(own[:, t], keys[t])
-        score = (v[seen] * q).sum(axis=1)
-        return float(np.partition(score, len(score) - k - 1)[len(score) - k - 1]) if len(score) > k else -np.inf
-
-    def _visits(keys: np.ndarray, first: int, v: pa.Array, floor: float) -> Iterator[pa.RecordBatch]:
-        t = np.repeat(np.arange(keys.shape[0], dtype=np.int32), keys.shape[1])
-        where = keys.ravel()
-        to = where.view(np.uint64) % np.uint64(n)
-        order = np.lexsort((t, to))
-        t, where, to = t[order], where[order], to[order]
-        cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-        offsets = np.r_[cut, len(to)].astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(places[to[cut]]), pa.array(np.full(len(cut), first)), v.take(pa.array(np.zeros(len(cut), np.int64))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(where ^ t.astype(np.int64))), pa.array(np.full(len(cut), floor))],
-            names=["task", "query", "v", "ids", "floor"],
-        )
+        hashes, scouts = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                q, first = _matrix(b.column(0)), b.column(1).to_numpy()
+                floors = np.full(len(q), -np.inf)
+                if len(scouts) > k:
+                    floors = np.partition(q @ scouts.T, len(scouts) - k - 1, axis=1)[:, len(scouts) - k - 1]
+                for i, keys in enumerate(hashes.probe_keys(q, floors)):
+                    to, keys = _visited(keys)
+                    if len(to):
+                        cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+                        lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(to)].astype(np.int32)), pa.array(keys))
+                        m = len(cut)
+                        yield pa.RecordBatch.from_arrays([pa.array(places[to[cut]]), pa.array(np.full(m, first[i])), pa.array(np.zeros(m, np.int64)), b.column(0).take(pa.array(np.full(m, i))), lists, pa.array(np.full(m, floors[i]))], names=["task", "query", "key", "v", "ids", "floor"])
+
+    def _visited(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = (keys.view(np.uint64) % np.uint64(n)).astype(np.int64)
+        hot = [(key, parts) for key, parts in slices.value.items() if (keys == key).any()] if slices.value else []
+        for key, parts in hot:  # the other slices of a large bucket
+            more = (key % (1 << 64) % n + np.arange(1, min(parts, n))) % n
+            to, keys = np.r_[to, more], np.r_[keys, np.full(len(more), key)]
+        order = np.lexsort((keys, to))
+        return to[order], keys[order]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: list[pa.RecordBatch] = []
         asks: list[pa.RecordBatch] = []
-        for b in batches:
-            mine = pa.compute.less(b.column(1), 0)
-            members.append(b.filter(mine))
-            asks.append(b.filter(pa.compute.invert(mine)))
-        yield from _visit(members, asks, k)
-
-    # a bucket's rows go to the task that its key names; a query goes once to each task that holds a bucket of its own
-    sent = "task int, query long, v array<float>, ids array<long>, floor double"
-    both = entries.select("v", "ids").mapInArrow(index, sent).unionByName(questions.select("v", "first").mapInArrow(probe, sent))
-    found = both.repartition(n, "task").mapInArrow(visit, "query long, vec_id long, score double")
-    best = found.distinct().withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("_r") <= k + 1)
-    # a query that is a copy of another shares its answers; its own id goes, then the first k are left
-    to = asked.join(questions, "v").select(F.col("vec_id").alias("query_id"), F.col("first").alias("query"))
-    own = to.join(best.select("query", "vec_id", "score"), "query").filter("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return own.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("query_id").cast("long"), F.col("rank").cast("int"), F.col("vec_id").cast("long"), "score")
+        members: list[pa.RecordBatch] = []
+        held = 0
+        for b in batches:  # all queries come first
+            cut = int((b.column(1).to_numpy() >= 0).sum())
+            if cut:
+                asks.append(b.slice(0, cut))
+            if cut < b.num_rows:
+                members.append(b.slice(cut))
+                held += b.num_rows - cut
+                if held >= CHUNK:
+                    yield from _meet(asks, members, k)
+                    members, held = [], 0
+        yield from _meet(asks, members, k)
+
+    sent = f"task int, query long, key long, v {kind}, ids array<long>, floor double"
+    both = entries.select("v", "ids", "r").mapInArrow(index, sent).unionByName(questions.select("v", "first").mapInArrow(probe, sent))
+    return both.repartition(n, "task").sortWithinPartitions(F.col("query") < 0).mapInArrow(trimmed(visit), "query long, vec_id long, score double")
+
+
+def _exact(entries: DataFrame, few: DataFrame, k: int) -> DataFrame:
+    """(query, vec_id, score): the best of each query among all entries, a block of queries at a time."""
+    spark = entries.sparkSession
+    out, block = None, []
+
+    def passed(block: list) -> DataFrame:
+        asked = spark.sparkContext.broadcast((np.array([r["first"] for r in block]), np.array([r["v"] for r in block], np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, q = asked.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, CHUNK):
+                    b = whole.slice(at, CHUNK)
+                    data, (begin, end, flat) = _matrix(b.column(0)), _lists(b.column(1))
+                    for i in range(len(q)):
+                        yield from _ranked(first[i], q[i], data, np.arange(len(data)), begin, end, flat, k)
+
+        return durable(entries.select("v", "ids").mapInArrow(trimmed(run), "query long, vec_id long, score double"), "ann-exact")
+
+    for row in few.toLocalIterator():
+        block.append(row)
+        if len(block) == EXACT_BLOCK:
+            part = passed(block)
+            out, block = part if out is None else out.unionByName(part), []
+    if block:
+        part = passed(block)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _places(spark, n: int) -> np.ndarray:
@@ -237,45 +325,67 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _visit(members: list[pa.RecordBatch], asks: list[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _matrix_of(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [_matrix(c) for c in column.chunks if len(c)]
+    return np.concatenate(parts) if parts else np.zeros((0, 0))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end) of each list within the flat values."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return offsets[:-1], offsets[1:], column.values.to_numpy(zero_copy_only=False)
+
+
+def _ranked(query: int, q: np.ndarray, data: np.ndarray, mine: np.ndarray, begin: np.ndarray, end: np.ndarray, flat: np.ndarray, k: int, floor: float = -np.inf) -> Iterator[pa.RecordBatch]:
+    """The k + 1 best distinct ids among the rows ``mine`` of the data."""
+    rough = data[mine] @ q
+    near = rough >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else np.ones(len(rough), bool)
+    mine, rough = mine[near], rough[near]
+    if not len(mine):
+        return
+    ids = k + 1
+    while True:  # rows of one id may take several places
+        least = np.partition(rough, len(rough) - ids)[len(rough) - ids] if len(rough) > ids else -np.inf
+        kept = mine[rough >= least - 1e-9 * max(1.0, abs(least))] if np.isfinite(least) else mine
+        score = (data[kept] * q).sum(axis=1)  # one way of adding for all, whatever block a row stands in
+        size = end[kept] - begin[kept]
+        out_id = flat[np.repeat(begin[kept], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        out_score = np.repeat(score, size)
+        order = np.lexsort((out_id, -out_score))
+        out_id, out_score = out_id[order], out_score[order]
+        first = np.sort(np.unique(out_id, return_index=True)[1])
+        if len(first) > k or len(kept) == len(mine):
+            break
+        ids *= 2
+    top = first[: k + 1]
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), query)), pa.array(out_id[top]), pa.array(out_score[top])], names=["query", "vec_id", "score"])
+
+
+def _meet(asks: list[pa.RecordBatch], members: list[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The best k + 1 ids of each query among the members of the buckets that it visits here."""
-    members, asks = [b for b in members if b.num_rows], [b for b in asks if b.num_rows]
     if not members or not asks:
         return
-    data = np.concatenate([_matrix(b.column(2)) for b in members])
-    lists = pa.chunked_array([b.column(3) for b in members]).combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
-    keys = flat[offsets[:-1]]
-    order = np.argsort(keys, kind="stable")
-    data, keys, begin, end = data[order], keys[order], offsets[:-1][order] + 1, offsets[1:][order]
+    table = pa.Table.from_batches(members).combine_chunks().to_batches()[0]
+    key = table.column(2).to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, data = key[order], _matrix(table.column(3))[order]
+    begin, end, flat = _lists(table.column(4))
+    begin, end = begin[order], end[order]
     # a vector's entries of several tables meet here at times: they count as one
-    same = {v: i for i, v in reversed(list(enumerate(flat[begin].tolist())))}
-    entry = np.array([same[v] for v in flat[begin].tolist()])
-    bucket, of = np.unique(keys, return_inverse=True)
-    queries = np.concatenate([b.column(1).to_numpy() for b in asks])
-    q = np.concatenate([_matrix(b.column(2)) for b in asks])
-    visits = [v for b in asks for v in np.split(b.column(3).flatten().to_numpy(), np.cumsum(np.diff(b.column(3).offsets.to_numpy()))[:-1])]
-    floors = np.concatenate([b.column(4).to_numpy() for b in asks])
-    floors = floors - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(floors), floors, 1.0)))
-    for lo in range(0, len(q), BLOCK):
-        hi = min(len(q), lo + BLOCK)
-        near = q[lo:hi] @ data.T  # to tell which can be among the best; their scores are computed one way for all
-        for i in range(lo, hi):
-            at = np.minimum(np.searchsorted(bucket, visits[i]), len(bucket) - 1)
-            at = at[bucket[at] == visits[i]]
-            visited = np.zeros(len(bucket), bool)
-            visited[at] = True
-            mine = np.flatnonzero(visited[of] & (near[i - lo] >= floors[i]))
-            mine = mine[np.unique(entry[mine], return_index=True)[1]]
-            if not len(mine):
+    odd = np.random.default_rng(SEED).integers(0, 1 << 62, data.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    _, entry = np.unique(((data + 0.0).view(np.uint64) * odd).sum(axis=1, dtype=np.uint64), return_inverse=True)
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    bucket, stop = key[start], np.r_[start[1:], len(key)]
+    for b in asks:
+        first, q, floors = b.column(1).to_numpy(), _matrix(b.column(3)), b.column(5).to_numpy()
+        lo, hi, visits = _lists(b.column(4))
+        for i in range(b.num_rows):
+            wanted = visits[lo[i] : hi[i]]
+            at = np.searchsorted(bucket, wanted)
+            at = at[(at < len(bucket)) & (bucket[np.minimum(at, len(bucket) - 1)] == wanted)]
+            if not len(at):
                 continue
-            rough = near[i - lo, mine]
-            if len(mine) > k + 1:
-                least = np.partition(rough, len(mine) - k - 1)[len(mine) - k - 1]
-                mine = mine[rough >= least - 1e-9 * max(1.0, abs(least))]
-            score = (data[mine] * q[i]).sum(axis=1)
-            ids = [flat[begin[m] : end[m]] for m in mine.tolist()]
-            out_id, out_score = np.concatenate(ids), np.repeat(score, [len(x) for x in ids])
-            top = np.lexsort((out_id, -out_score))[: k + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), queries[i])), pa.array(out_id[top]), pa.array(out_score[top])], names=["query", "vec_id", "score"])
+            size = stop[at] - start[at]
+            mine = np.repeat(start[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            mine = mine[np.unique(entry[mine], return_index=True)[1]]
+            yield from _ranked(first[i], q[i], data, mine, begin, end, flat, k, floors[i])
