@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, only
+from .common import grouped, only, release, trimmed
 
 PATH_BUCKETS, WORD_BUCKETS = 1 << 10, 1 << 10
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 16, 6, 8, 16
@@ -39,11 +39,15 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: A start tag of the key ends an open element of the values that nothing else separates from it.
 ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
+#: Elements whose content is not text of the page, up to their own end tag.
+HIDDEN_TAGS = frozenset("noscript template title svg math iframe object".split())
+
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|math|iframe|object|head(?=[^>]*\bhidden))\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )
+_ENDS = {tag: re.compile(rf"<(/?){tag}\b[^>]*(?:>|\Z)", re.I) for tag in HIDDEN_TAGS}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
@@ -60,13 +64,30 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple("." + part.lower() for m in _NAMES.finditer(attributes) for part in _NAME_PART.findall(m[1] or m[2] or m[3] or ""))
 
 
+def _end_of(tag: str, page: str, at: int, last: dict[str, int]) -> int | None:
+    """Where the hidden element that was opened before ``at`` ends, elements of its name inside it included; None if it
+    is never closed.  ``last`` remembers where a name's last end tag stands, so that unclosed ones cost one search."""
+    if tag not in last:
+        last[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+    depth = 1
+    if last[tag] >= at:
+        for m in _ENDS[tag].finditer(page, at):
+            depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+            if not depth:
+                return m.end()
+        return page.find(">", last[tag]) + 1 or len(page)  # one of several inside is not closed
+    return None
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order.  Markup that is never closed ends with the page."""
+    """The leaf blocks of a page in order.  Comments, scripts and styles that are never closed end with the page, other
+    hidden elements at the next block; those that close themselves hide nothing."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked, total, in_link, at = 0, 0, False, 0
+    linked, total, in_link, link_depth, at, skip, hidden = 0, 0, False, 0, 0, 0, False
+    last: dict[str, int] = {}
 
     def add(raw: str) -> None:
         nonlocal linked, total
@@ -86,16 +107,30 @@ def blocks(page: str | None) -> list[Block]:
         linked = total = 0
 
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() < skip:
+            at = max(skip, m.end()) if m.end() > skip else skip
+            continue
+        if m.start() > at and not hidden:
             add(page[at : m.start()])
         at = m.end()
         tag = m[3] or m[6]
         if tag is None:
             continue
         tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
-        if tag in BLOCK_TAGS:
+        if tag in HIDDEN_TAGS:
+            if tag == "object":
+                flush()
+            if closing:
+                hidden = False
+            elif not attributes.endswith("/"):
+                end = _end_of(tag, page, at, last)
+                if end is None:
+                    hidden = True  # until the next block
+                else:
+                    at = skip = end
+        elif tag in BLOCK_TAGS:
+            hidden = False
             flush()
-            in_link = False
             if closing:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
@@ -105,14 +140,18 @@ def blocks(page: str | None) -> list[Block]:
                 ends = ENDS.get(tag, {"p"})
                 if stack and stack[-1][0] in ends:
                     stack.pop()
+            if len(stack) < link_depth:  # the block in which the link began is over
+                in_link = False
+            if not closing:
                 if tag not in VOID_TAGS and not attributes.endswith("/"):
                     stack.append((tag, _names(attributes) if attributes else ()))
         elif tag == "a":
-            in_link = not closing
+            in_link, link_depth = not closing, len(stack)  # blocks inside a link are linked
             add(" ") if closing else None
         elif tag == "br":
             add("\n")
-    if at < len(page):
+    at = max(at, skip)
+    if at < len(page) and not hidden:
         add(page[at:])
     flush()
     return out
@@ -461,6 +500,7 @@ def train(pages: int = PAGES) -> Labeller:
                 coded.append(got)
                 labels.append(marks)
         _TRAINED[pages] = Labeller().fit(coded, labels)
+        release()
     return _TRAINED[pages]
 
 
@@ -472,7 +512,8 @@ def main_texts(labeller: Labeller, pages: list[str | None]) -> list[str]:
 def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page; text is empty for null, empty and article-less pages.
 
-    Pages are read whole; bytes that are not UTF-8 are read as U+FFFD.
+    Pages of any length are read whole; bytes that are not UTF-8 are read as U+FFFD.  Repeated rows give repeated rows,
+    extra columns play no part whatever their names, an empty table gives an empty result.
     """
     shared = pages.sparkSession.sparkContext.broadcast(labeller or train())  # some hundred kilobytes, by parameters
 
@@ -484,4 +525,4 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = only(pages, ["page_id", "url", "html"]).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(trimmed(run), "page_id long, url string, text string, n_chars long")
