@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Java regex of the separators between words; ``bytes.split()`` splits at the same six bytes.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,20 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it.  A local one is set only in local mode (tests),
-    where one machine runs everything; on a cluster a session without one is an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        where = f"file://{tempfile.gettempdir()}/loomwright-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 _WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
 
@@ -40,7 +28,7 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, so that a lost executor costs no recomputation
     and both readers of a result see the same rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomwright/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/loomwright/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[id(out)] = (out, path)
@@ -72,25 +60,29 @@ def partitions_for(df: DataFrame) -> int:
     return max(shuffle_partitions(df.sparkSession), min(known // PARTITION_BYTES, 100_000))
 
 
+def release() -> None:
+    """Hand freed memory back to the system; what an allocator keeps counts against the process."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def trimmed(run):
-    """A function for mapInArrow that hands freed memory back to the system when its rows end: workers live on between
-    stages, and what an allocator keeps would count against the executor."""
+    """A function for mapInArrow that releases memory when its rows end: workers live on between stages."""
 
     def wrapped(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            release()
 
     return wrapped
 

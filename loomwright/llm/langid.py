@@ -2,8 +2,14 @@
 
 A text is lower-cased; runs of anything but letters and marks are one blank.  Its subwords are all character n-grams of
 2, 3 and 4 code points, blanks included, hashed into a table of embeddings; their mean goes through a linear softmax.
-Both layers are trained together by stochastic gradient descent in numpy.  A temperature, fitted on texts held back from
-that sample, calibrates the probabilities; texts below the accepted probability are rejected.
+Both layers are trained together by stochastic gradient descent in numpy.
+
+Rejection is calibrated.  Beside the languages the softmax has a class for anything else, trained on what no text of the
+sample is: texts of the sample whose letters are exchanged by a random permutation, so that words keep their lengths and
+repeats but have the subwords of no language learned.  On texts held back from the sample a temperature is fitted, and the
+probability below which a text is rejected is the least that lets in no more than a stated share of the held-back
+exchanged texts, unless it would turn away more than a stated share of the held-back texts of known languages;
+``Model.errors`` has both error rates.
 
 After training, embedding and softmax are folded into one score per subword and language, so that scoring a text is a
 sum over its n-grams; texts are scored whole, millions of characters at once.
@@ -16,19 +22,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, fold_of, grouped, least_hashed, only
+from .common import fold, fold_of, grouped, only, release, trimmed
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
 DIMENSION = 16
-#: Labelled rows fitted on (a bound of the sample), and the characters of each that training reads.
-SAMPLE, SAMPLE_CHARS = 4000, 1000
-EPOCHS, BATCH, RATE = 4, 64, 0.5
-#: Probability below which a text is rejected.
-ACCEPTED = 0.35
+#: Labelled rows fitted on, whole texts, in equal parts of each language: a bound of the sample (of more languages than
+#: that, one row of each).
+SAMPLE = 1200
+STEPS, BATCH, RATE = 200, 32, 0.5
+#: Share of the sample's texts that also come with exchanged letters; shares of held-back texts of known languages that
+#: may be rejected, and of exchanged ones that may be accepted.  The first counts if both cannot be kept.
+FOREIGN, TURNED_AWAY, LET_IN = 0.25, 0.002, 0.01
 BLOCK_BYTES = 4 << 20
 UNDETERMINED = "und"
 
@@ -75,10 +83,12 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Model:
-    """``table``: scores of each subword for each language; ``bias``; ``temperature``."""
+    """``table``: scores of each subword for each language and, last, for anything else; ``bias``; ``temperature``;
+    ``threshold`` below which a text is rejected; ``errors``: shares of held-back texts rejected, exchanged ones accepted."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float):
-        self.languages, self.table, self.bias, self.temperature = languages, table, bias, temperature
+    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
+        self.languages, self.table, self.bias, self.temperature, self.threshold = languages, table, bias, temperature, threshold
+        self.errors = (0.0, 0.0)
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(one row of logits per text, texts with letters).  Sums go order by order: only one n-gram size at a time."""
@@ -95,7 +105,7 @@ class Model:
         codes = codes[new]
         begin = np.flatnonzero(starts[new])
         size = np.diff(np.r_[begin, len(codes)])
-        total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        total, count = np.zeros((len(texts), len(self.bias))), np.zeros(len(texts))
         rolled = codes * np.uint32(0x9E3779B1)
         for n in range(2, max(ORDERS) + 1):
             rolled = (rolled[:-1] ^ (rolled[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + codes[n - 1 :] * np.uint32(0x9E3779B1)
@@ -106,7 +116,7 @@ class Model:
             own = np.maximum(size - n + 1, 0)
             edges = np.empty(2 * len(begin), np.int64)  # n-grams of a text, then those across its end
             edges[0::2], edges[1::2] = begin, begin + own
-            for c in range(len(self.languages)):
+            for c in range(len(self.bias)):
                 values = np.r_[self.table[:, c][h], np.float32(0)]
                 sums = np.add.reduceat(values, np.minimum(edges, len(values) - 1), dtype=np.float64)[0::2]
                 total[:, c] += np.where(own > 0, sums, 0)
@@ -114,8 +124,9 @@ class Model:
         return total / np.maximum(count, 1)[:, None] + self.bias, has_letter
 
     def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of each language, the rest being that of anything else; texts with letters)."""
         z, letters = self.logits(texts)
-        return _softmax(z / self.temperature), letters
+        return _softmax(z / self.temperature)[:, : len(self.languages)], letters
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -123,62 +134,111 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def exchanged(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters exchanged by a random permutation of the letters that it has, as lower case."""
+    text = text.lower()
+    letters = sorted({c for c in text if c.isalpha()})
+    return text.translate(dict(zip(map(ord, letters), (letters[i] for i in rng.permutation(len(letters))))))
+
+
 def train(texts: list[str], labels: list[str], seed: int = 3) -> Model:
-    """Fit on whole (short) texts; one in five texts is held back to fit the temperature."""
+    """Fit on whole texts; one in five texts is held back to fit the temperature and the threshold."""
     languages = sorted(set(labels)) or [UNDETERMINED]
-    y = np.array([languages.index(x) for x in labels])
     if not texts:
-        return Model(languages, np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0)
+        return Model(languages, np.zeros((BUCKETS, 2), np.float32), np.zeros(2))
     rng = np.random.default_rng(seed)
-    buckets, begin, _ = subwords(texts)
+    foreign = rng.permutation(len(texts))[: round(FOREIGN * len(texts))]
+    texts = texts + [exchanged(texts[i], rng) for i in foreign]
+    other = len(languages)
+    y = np.array([languages.index(x) for x in labels] + [other] * len(foreign))
+    # each text as its distinct subwords and their shares, so that long texts cost no more than what they say
+    held_ids, held_parts = [], []
+    for at in range(0, len(texts), 64):
+        buckets, begin, _ = subwords(texts[at : at + 64])
+        for lo, hi in zip(begin, begin[1:]):
+            own, times = np.unique(buckets[lo:hi], return_counts=True)
+            held_ids.append(own.astype(np.int32))
+            held_parts.append((times / max(1, hi - lo)).astype(np.float32))
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
-    weight, bias = np.zeros((DIMENSION, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    weight, bias = np.zeros((DIMENSION, other + 1), np.float32), np.zeros(other + 1, np.float32)
     shuffled = rng.permutation(len(texts))
     held, fit = shuffled[: len(texts) // 5], shuffled[len(texts) // 5 :]
     weight += rng.normal(0, 0.1, weight.shape)
-    steps, step = EPOCHS * -(-len(fit) // BATCH), 0
-    for _ in range(EPOCHS):
+    step = 0
+    while step < STEPS and len(fit):
         rng.shuffle(fit)
         for at in range(0, len(fit), BATCH):
-            rate = RATE * (1 - step / steps)
+            rate = RATE * max(0.0, 1 - step / STEPS)
             step += 1
             rows = fit[at : at + BATCH]
-            sizes = begin[rows + 1] - begin[rows]
-            which = np.repeat(np.arange(len(rows)), sizes)
-            ids = buckets[np.concatenate([np.arange(begin[i], begin[i + 1]) for i in rows])]
+            ids, part = np.concatenate([held_ids[i] for i in rows]), np.concatenate([held_parts[i] for i in rows])
+            which = np.repeat(np.arange(len(rows)), [len(held_ids[i]) for i in rows])
             mean = np.zeros((len(rows), DIMENSION), np.float32)
-            full = sizes > 0
-            if full.any():
-                mean[full] = np.add.reduceat(embed[ids], (np.cumsum(sizes) - sizes)[full]) / sizes[full, None]
+            if len(which):
+                first = np.flatnonzero(np.diff(which, prepend=-1))
+                mean[which[first]] = np.add.reduceat(embed[ids] * part[:, None], first)
             grad = _softmax(mean @ weight + bias)
             grad[np.arange(len(rows)), y[rows]] -= 1
-            back = (grad @ weight.T) / np.maximum(sizes, 1)[:, None]
+            back = grad @ weight.T
             weight -= rate * mean.T @ grad / len(rows)
             bias -= 0.1 * rate * grad.mean(axis=0)
             for d in range(DIMENSION):  # the embedding's step is large: each n-gram is a small part of a mean
-                embed[:, d] -= rate * 20 * np.bincount(ids, back[which, d], BUCKETS).astype(np.float32)
-    model = Model(languages, np.ascontiguousarray(embed @ weight), bias.astype(np.float64), 1.0)
+                embed[:, d] -= rate * 20 * np.bincount(ids, back[which, d] * part, BUCKETS).astype(np.float32)
+    model = Model(languages, np.ascontiguousarray(embed @ weight), bias.astype(np.float64))
     if len(held):
-        z, _ = model.logits([texts[i] for i in held])
-        loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
-        model.temperature = float(min(np.geomspace(0.2, 20, 60), key=loss))
+        z = np.concatenate([model.logits([texts[i] for i in held[at : at + 64]])[0] for at in range(0, len(held), 64)])
+        own = y[held]
+        # as in Platt's scaling a label counts as a little less than certain, else texts that are all told apart rightly
+        # would ask for certainty
+        target = np.full(z.shape, 1 / (len(held) + 2) / z.shape[1])
+        target[np.arange(len(held)), own] += 1 - 1 / (len(held) + 2)
+        loss = lambda t: -(target * np.log(np.maximum(_softmax(z / t), 1e-300))).sum(axis=1).mean()
+        model.temperature = float(min(np.geomspace(0.001, 100, 240), key=loss))
+        best = _softmax(z / model.temperature)[:, :other].max(axis=1)
+        known = np.sort(best[own < other])
+        if len(known):
+            foreign = np.sort(best[own == other])
+            needed = float(np.nextafter(foreign[len(foreign) - 1 - int(LET_IN * len(foreign))], 1)) if len(foreign) else 0.0
+            # a text of unknown subwords alone has no more than what the bias gives it, and some noise
+            needed = max(needed, 1.25 * float(_softmax(model.bias / model.temperature)[:other].max()))
+            model.threshold = min(needed, float(known[int(TURNED_AWAY * len(known))]))
+            model.errors = (float((known < model.threshold).mean()), float((foreign >= model.threshold).mean()) if len(foreign) else 0.0)
     return model
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the table's labelled texts outside the held-out fold: at most ``sample`` rows, those of least hash
-    of their id, so that the choice does not depend on partitions."""
-    rows = only(docs, ["doc_id", "text", "lang"]).filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
-    chosen = least_hashed(rows, "langid", "doc_id", sample).filter(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["lang"]) for r in chosen.limit(2 * sample).collect())
-    return train([t for _, t, _ in got], [x for _, _, x in got])
+    """A model of the table's labelled texts outside the held-out fold: at most ``sample`` rows, whole, as many of each
+    language, those of least hash of their id and text, so that the choice does not depend on partitions and every
+    language is learned.  Repeated rows count once."""
+    rows = only(docs, ["doc_id", "text", "lang"]).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
+    rows = rows.withColumn("_h", F.xxhash64(F.lit("langid"), "doc_id", "text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    languages = counts.count()  # a row a language
+    each = max(1, sample // max(1, languages))
+    # a bound on the hash, under which four times as many rows are expected, comes before they are sorted
+    bound = F.lit(float(-(1 << 63))) + F.lit(float(1 << 64)) * F.least(F.lit(1.0), F.lit(4.0 * each) / F.col("_n"))
+    for near in (rows.join(counts, "lang").filter(F.col("_h") <= bound), rows):
+        kinds = near.groupBy("lang", "_h").agg(F.min("doc_id").alias("doc_id"))
+        ranked = kinds.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).filter(F.col("_r") <= each)
+        chosen = {(r["lang"], r["_h"]) for r in ranked.select("lang", "_h").collect()}
+        if len({lang for lang, _ in chosen}) == languages:
+            break
+    if not chosen:
+        return train([], [])
+    wanted = docs.sparkSession.createDataFrame(sorted(chosen), "lang string, _h long")
+    got = rows.join(F.broadcast(wanted), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text")).collect()  # ``sample`` rows, or one a language
+    got = sorted((r["_h"], r["text"], r["lang"]) for r in got)
+    model = train([t for _, t, _ in got], [x for _, _, x in got])
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted of every row.
 
     Null texts and texts without letters are `und` with score 0 and are rejected; so are texts whose best language has
-    a calibrated probability under ``ACCEPTED``, though ``lang_pred`` still names it.
+    a calibrated probability under the model's threshold, though ``lang_pred`` still names it.  Repeated rows give
+    repeated rows; texts of any length are read whole; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65,536 x languages numbers: bounded by parameters
 
@@ -191,12 +251,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names = [model.languages[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), letters.tolist())]
             score = np.where(letters, score, 0.0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([fold_of(i, 4) == 2 for i in ids]), pa.array(names), pa.array(score), pa.array(letters & (score >= ACCEPTED))],
+                [pa.array(ids, pa.int64()), pa.array([fold_of(i, 4) == 2 for i in ids]), pa.array(names), pa.array(score), pa.array(letters & (score >= shared.value.threshold))],
                 names=["doc_id", "held_out", "lang_pred", "score", "accepted"],
             )
 
     rows = only(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    return rows.mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
 
 
 def score_texts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,6 +283,6 @@ def accepted_documents(docs: DataFrame, model: Model) -> DataFrame:
         for held in grouped(batches, "text", BLOCK_BYTES // 4):
             for b in held:
                 _, score, letters = score_texts(shared.value, [t or "" for t in b.column(1).to_pylist()])
-                yield b.filter(pa.array(letters & (score >= ACCEPTED)))
+                yield b.filter(pa.array(letters & (score >= shared.value.threshold)))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(trimmed(run), rows.schema)
