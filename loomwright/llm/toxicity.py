@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fold, fold_of, least_hashed, only
+from .common import durable, fold, fold_of, grouped, least_hashed, only, release, trimmed
 
 #: Labelled rows fitted on: a bound of the sample.
 SAMPLE = 12_000
 LEXICON, LEAST_TEXTS, LEAST_ODDS = 256, 5, 1.5
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE = 80, 3, 0.15, 64, 20, 1.0
 NEAR = 5
+#: Bytes of text of a slice of rows: a bound of memory.
+BLOCK_BYTES = 4 << 20
 
 # Insults and second-person words of the four languages.
 INSULTS = """idiot idiots moron morons stupid dumb loser losers clown clowns worthless pathetic trash garbage scum jerk
@@ -222,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     chosen = least_hashed(marked, "toxicity", "doc_id", sample)
     rows = only(docs, ["doc_id", "text"]).join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "toxic")
-    rows = durable(rows, "labelled")
+    # repeated rows of one id count once, so that the sample's bound holds for what is learned from
+    rows = durable(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic"), "labelled")
     # the lexicon's rows and the trees' are apart, else the trees would trust it too much
     first = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     lexicon = Lexicon(learned_lexicon(rows.filter(first)))
@@ -239,15 +242,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not len(y) or not held.any() or held.all():
         return Model(lexicon, Boosted().fit(x, y), (np.array([0.0]), np.array([y.mean() if len(y) else 0.0])))
     boosted = Boosted().fit(x[~held], y[~held])
+    release()
     return Model(lexicon, boosted, isotonic(boosted.margin(x[held]), y[held]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; null texts are scored as empty ones."""
+    """doc_id, held_out, score, predicted of every row; null texts are scored as empty ones.  Repeated rows give repeated
+    rows, texts of any length are scored whole, an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # trees, knots and at most a few hundred words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for held in grouped(batches, "text", BLOCK_BYTES) for part in held):
             score = shared.value.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([fold_of(i, 5) == 0 for i in b.column(0).to_pylist()], pa.bool_()), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))],
@@ -255,4 +260,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     rows = only(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
