@@ -97,3 +97,8 @@ def safe_name(name: Column, limit: int = 40) -> Column:
 
 def strip_prefix(path: Column, prefix: str) -> Column:
     return F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
+
+
+def upload_name(name: Column, at: Column) -> Column:
+    """A time stamp and the safe name."""
+    return F.concat_ws("_", F.date_format(at, "yyyyMMdd_HHmmss"), safe_name(name))

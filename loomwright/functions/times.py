@@ -29,3 +29,9 @@ def ago(as_of: Column, then: Column) -> Column:
     s = F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))
     label = lambda unit, name: F.concat(F.floor(s / unit).cast("string"), F.lit(f" {name} ago"))
     return F.when(s > 7 * 86400, F.date_format(then, "yyyy-MM-dd")).when(s >= 86400, label(86400, "days")).when(s >= 3600, label(3600, "hours")).when(s >= 60, label(60, "minutes")).otherwise("Just now")
+
+
+def backoff(attempt: Column, base: float = 1.0, most: float = 60.0, jitter: Column | None = None) -> Column:
+    """Seconds before an attempt (from 0): doubled each time up to a limit, times 0.5 to 1 by ``jitter`` (0 to 1)."""
+    delay = F.least(F.lit(float(base)) * F.pow(F.lit(2.0), attempt), F.lit(float(most)))
+    return delay * (F.lit(0.5) + F.lit(0.5) * jitter) if jitter is not None else delay

@@ -139,10 +139,16 @@ def outline(source: str, limit: int = 20) -> str:
     return "\n".join(out)
 
 
-def outlines(modules: DataFrame) -> DataFrame:
-    """module_id, outline."""
+def outline_udf():
+    """:func:`outline` over batches; an empty text stays empty."""
+
     @F.pandas_udf("string")
     def each(content: pd.Series) -> pd.Series:
-        return content.fillna("").map(outline)
+        return content.fillna("").map(lambda x: outline(x) if x else "")
+
+    return each
 
-    return modules.select("module_id", each("content").alias("outline"))
+
+def outlines(modules: DataFrame) -> DataFrame:
+    """module_id, outline."""
+    return modules.select("module_id", outline_udf()("content").alias("outline"))

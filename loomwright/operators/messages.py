@@ -203,3 +203,31 @@ def pairs(rows: DataFrame, key: str) -> DataFrame:
     own = each.filter("m.role = 'tool'").select(key, F.col("m.pos").alias("p"), F.col("m.tool_call_id").alias("tool_call_id"))
     first = nested.unionByName(own).groupBy(key, "tool_call_id").agg(F.min("p").alias("response_pos"))
     return calls.join(first, [key, "tool_call_id"], "left").select(key, "tool_call_id", "call_pos", "response_pos")
+
+
+def summarize_responses(messages: Column, limit: int, summary: Callable[[Column], Column], tokens: Callable[[Column], Column] | None = None) -> Column:
+    """Nested responses of ``limit`` tokens or more are replaced by their summary, each its own."""
+    from ..functions.text import token_estimate
+
+    count = tokens or token_estimate
+    short = lambda r: F.when(count(r["content"]) >= limit, r.withField("content", summary(r["content"]))).otherwise(r)
+    return F.transform(messages, lambda m: m.withField("tool_responses", F.transform(m["tool_responses"], short)))
+
+
+def inject_history(messages: Column, tool: str, summary: Callable[[Column], Column]) -> Column:
+    """Calls of one tool get a summary of the history (the messages without responses) as their argument."""
+    history = summary(F.filter(messages, lambda m: m["tool_responses"].isNull()))
+    given = lambda c: F.when(c["function"]["name"] == tool, c.withField("function", c["function"].withField("arguments", history))).otherwise(c)
+    return F.transform(messages, lambda m: m.withField("tool_calls", F.transform(m["tool_calls"], given)))
+
+
+def researcher_history(messages: Column, at: Column, tail: int, error: Column | None = None) -> Column:
+    """The record handed to a researcher: time, the first user message, the compacted history, and an error if there is one."""
+    first = F.get(F.filter(messages, lambda m: m["role"] == "user"), F.lit(0))["content"]
+    return F.struct(at.alias("time"), first.alias("query"), compact(messages, F.lit("summary"), tail).alias("history"), (error if error is not None else F.lit(None).cast("string")).alias("error"))
+
+
+def call_counter(rows: DataFrame, key: str, order: str, calling: Column, reset: int = 2) -> DataFrame:
+    """The rows with ``n_calls``: the calls of a session so far, counted from 1 again after ``reset`` of them."""
+    so_far = F.sum(calling.cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("n_calls", F.when(so_far == 0, 0).otherwise((so_far - 1) % reset + 1).cast("int"))

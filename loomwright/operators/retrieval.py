@@ -65,3 +65,14 @@ def chunks(docs: DataFrame, keys: list[str], text: str, size: int = 1000, overla
     n = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")
     each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(F.col(text), i * step + 1, F.lit(size)))
     return docs.filter(F.length(text) > 0).select(*keys, F.posexplode(each).alias("chunk_pos", "chunk"))
+
+
+def branch(weight: Column) -> Column:
+    """Which search answers: vectors alone from a weight of 1 on, else vectors and words together."""
+    return F.when(weight < 1, "hybrid").otherwise("vector")
+
+
+def by_relevance(rows: DataFrame, group: str, score: str, item: str, k: int) -> DataFrame:
+    """The k best of each group, with ``confidence``, the score as a share of the group's best."""
+    best = F.max(score).over(Window.partitionBy(group))
+    return top_k(rows.withColumn("confidence", F.col(score) / best), group, score, item, k)

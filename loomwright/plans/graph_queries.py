@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graphs, retrieval, scoring
+from ..operators import graphs, retrieval
 from ..session import table
 
 CATALOG: dict = {}
@@ -57,32 +57,6 @@ def pagerank(s, d):
     return graphs.pagerank(nations(s, d), trade(s, d), ROUNDS, ALPHA).select("node", F.round("pr", 6).alias("pr"))
 
 
-@query("grf_01", None)
-def personal_pagerank(s, d):
-    """Teleport weight 2 for one node and 1 for the others."""
-    n = table(s, d, "nation").count()
-    teleport = nations(s, d).select("node", (F.when(F.col("node") == 0, 2.0).otherwise(1.0) / F.lit(n + 1.0)).alias("p"))
-    return graphs.pagerank(nations(s, d), trade(s, d), ROUNDS, ALPHA, teleport).select("node", F.round("pr", 6).alias("pr"))
-
-
-@query("grf_03", None)
-def betweenness(s, d):
-    return graphs.betweenness(nations(s, d), trade(s, d)).select("node", F.round("betweenness", 6).alias("betweenness"))
-
-
-@query(
-    "grf_04_05",
-    f"""WITH {TRADE}, d AS (SELECT node, (SELECT count(*) FROM e WHERE dst = node) AS i, (SELECT count(*) FROM e WHERE src = node) AS o FROM n),
-r AS (SELECT node, least((0.5 * least(i / 5.0, 1.0) + 0.2 * least(o / 10.0, 1.0)) / 1.7 + CASE WHEN i > 2 AND o <= 1 THEN 0.3 WHEN i > 2 AND o > 2 THEN 0.2 ELSE 0.0 END, 1.0) AS refs, i FROM d)
-SELECT node, round(refs, 6) AS refs, round(least(2.0 * least(i / 5.0, 1.0) + 3.0 * refs, 10.0), 6) AS importance FROM r""",
-)
-def importance(s, d):
-    deg = graphs.degrees(nations(s, d), trade(s, d))
-    refs = scoring.reference_score(F.col("in_deg"), F.col("out_deg"), F.lit(0.0), F.lit(0.0))
-    rows = deg.select("node", refs.alias("refs"), scoring.usage(F.col("in_deg"), F.lit(0), F.lit(0)).alias("usage"))
-    return rows.select("node", F.round("refs", 6).alias("refs"), F.round(scoring.importance(usage=F.col("usage"), refs=F.col("refs")), 6).alias("importance"))
-
-
 @query("grf_10", "SELECT n_regionkey AS node, round(0.5 * sum(x), 4) AS score FROM (SELECT n_regionkey, n_nationkey, 0.3 * count(c_custkey) + 0.2 * count(DISTINCT c_mktsegment) AS x FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY 1")
 def fallback_scores(s, d):
     per = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("a"), F.count_distinct("c_mktsegment").alias("b"))
@@ -94,7 +68,7 @@ _TREE = """WITH RECURSIVE c AS (SELECT n_nationkey AS k, count(*) AS n FROM nati
 node AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS STRING) AS parent, r_name AS name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) * 20 AS score FROM region
  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, c.n FROM nation JOIN c ON c.k = n_nationkey),
 tree AS (SELECT id, name AS path, 1 AS depth, score, CAST(10.0 AS DOUBLE) AS threshold FROM node WHERE parent IS NULL AND score >= 10
- UNION ALL SELECT node.id, tree.path || '/' || node.name, tree.depth + 1, node.score, tree.threshold * (1 + 0.1 * tree.depth) FROM node JOIN tree ON node.parent = tree.id WHERE node.score >= tree.threshold * (1 + 0.1 * tree.depth) AND tree.depth < 5)
+ UNION ALL SELECT node.id, tree.path || '/' || node.name, tree.depth + 1, node.score, tree.threshold * (1 + 0.1 * tree.depth) FROM node JOIN tree ON node.parent = tree.id WHERE node.score >= tree.threshold * (1 + 0.1 * tree.depth))
 SELECT path, depth FROM tree"""
 
 
@@ -107,20 +81,15 @@ def pruned_tree(s, d):
     nodes = regions.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"), "score")
     nodes = nodes.unionByName(n.join(c, "n_nationkey").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.col("n_name").alias("name"), "score"))
     level = nodes.filter("parent is null and score >= 10").select("id", F.col("name").alias("path"), F.lit(1).alias("depth"), F.lit(10.0).alias("threshold"))
-    out = level
-    for depth in range(1, 3):
+    out, depth = level, 1
+    while not level.isEmpty():  # one level at a time, until none is left
         t = F.col("threshold") * (1 + 0.1 * depth)
         up = level.select(F.col("id").alias("parent"), F.col("path").alias("above"), t.alias("threshold"))
         level = nodes.join(up, "parent").filter(F.col("score") >= F.col("threshold")).select("id", F.concat_ws("/", "above", "name").alias("path"), F.lit(depth + 1).alias("depth"), "threshold")
-        out = out.unionByName(level)
+        out, depth = out.unionByName(level), depth + 1
     return out.select("path", "depth")
 
 
-@query("grf_15", "SELECT DISTINCT p_type AS src, p_brand AS dst FROM part")
-def inheritance(s, d):
-    return table(s, d, "part").select(F.col("p_type").alias("src"), F.col("p_brand").alias("dst")).distinct()
-
-
 QUERIES = {0: "the and of", 1: "der die und", 2: "les des que"}
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
 

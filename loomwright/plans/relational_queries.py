@@ -123,11 +123,12 @@ def existence(s, d):
     return docs.join(lab, "doc_id", "left").join(ben, "doc_id", "left").select("doc_id", F.col("a").isNotNull().alias("is_labelled"), F.col("b").isNotNull().alias("is_item"))
 
 
-@query("flt_16", "SELECT c_custkey FROM customer WHERE sha256(c_name) IN (SELECT sha256(c_name) FROM customer WHERE c_custkey % 7 = 0)")
+@query("flt_16", "SELECT c_custkey, s_suppkey IS NOT NULL AS is_known FROM customer LEFT JOIN supplier ON s_name = 'Supplier#' || substr(c_name, 10) AND sha256(substr(s_name, 10)) = sha256(substr(c_name, 10))")
 def credential_check(s, d):
-    c = table(s, d, "customer")
-    known = c.filter("c_custkey % 7 = 0").select(F.sha2(F.col("c_name").cast("binary"), 256).alias("h")).distinct()
-    return c.select("c_custkey", F.sha2(F.col("c_name").cast("binary"), 256).alias("h")).join(known, "h", "left_semi").select("c_custkey")
+    """Names and hashes of one table against those stored in another."""
+    stored = table(s, d, "supplier").select(F.col("s_name").alias("name"), F.sha2(F.substring("s_name", 10, 99).cast("binary"), 256).alias("hash"), F.lit(True).alias("there"))
+    given = table(s, d, "customer").select("c_custkey", F.concat(F.lit("Supplier#"), F.substring("c_name", 10, 99)).alias("name"), F.sha2(F.substring("c_name", 10, 99).cast("binary"), 256).alias("hash"))
+    return given.join(stored, ["name", "hash"], "left").select("c_custkey", F.col("there").isNotNull().alias("is_known"))
 
 
 # ---- joins ----
@@ -447,9 +448,15 @@ def documentation_scores(s, d):
     return table(s, d, "documents").select("doc_id", F.round(scoring.documentation(F.col("text")), 6).alias("documentation"), F.round(scoring.size(F.col("n_chars")), 6).alias("size"))
 
 
-@query("prj_15", f"SELECT doc_id, 'text' AS kind, 3 AS priority FROM {FILES}")
+#: Paths of every kind: an extension by the id.
+_EXTENSIONS = "['txt', 'csv', 'png', 'pdf', 'mp3', 'mp4', 'bin', 'py', 'JSON']"
+
+
+@query("prj_15", f"WITH e AS (SELECT doc_id, lower({_EXTENSIONS}[doc_id % 9 + 1]) AS e FROM documents) SELECT doc_id, CASE WHEN e IN ('csv', 'json') THEN 'data' WHEN e IN ('txt', 'py') THEN 'text' WHEN e = 'png' THEN 'image' WHEN e = 'pdf' THEN 'pdf' WHEN e = 'mp3' THEN 'audio' WHEN e = 'mp4' THEN 'video' ELSE 'other' END AS kind, CASE WHEN e = 'png' THEN 0 WHEN e = 'pdf' THEN 1 WHEN e IN ('csv', 'json') THEN 2 ELSE 3 END AS priority FROM e")
 def file_kinds(s, d):
-    return files(s, d).select("doc_id", P.kind(F.col("path")).alias("kind"), P.priority(F.col("path")).alias("priority"))
+    ext = F.get(F.array(*[F.lit(x) for x in ("txt", "csv", "png", "pdf", "mp3", "mp4", "bin", "py", "JSON")]), (F.col("doc_id") % 9).cast("int"))
+    path = F.concat(F.lit("a/b."), ext)
+    return table(s, d, "documents").select("doc_id", P.kind(path).alias("kind"), P.priority(path).alias("priority"))
 
 
 @query("prj_16", "SELECT doc_id, CASE WHEN n_chars = 0 THEN '0 B' WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024.0) ELSE printf('%.1f MB', n_chars / 1048576.0) END AS size FROM documents")

@@ -38,8 +38,29 @@ def fetched(links: DataFrame, link: str, fetch: Callable[[str], str | None]) ->
     return links.withColumn("content", F.coalesce(clean_page(get(F.col(link))), F.lit("")))
 
 
-def unseen(results: DataFrame, seen: DataFrame, most: int) -> DataFrame:
-    return results.join(seen.select("link"), "link", "left_anti").limit(most)
+def unseen(results: DataFrame, seen: DataFrame, most: int, order: list[Column] | None = None) -> DataFrame:
+    """Results whose link is not among the seen ones, the first ``most`` in the given order."""
+    rows = results.join(seen.select("link"), "link", "left_anti")
+    return (rows.orderBy(*order) if order else rows).limit(most)
+
+
+# Links and images in pages.
+LINK, IMAGE = r'(?is)<a[^>]+href="([^"]+)"[^>]*>([^<]+)</a>', r"(?i)<img\b"
+
+
+def scraped(pages: DataFrame, html: str, keys: list[str]) -> DataFrame:
+    """keys, link, title of the links in result pages; those without a title go."""
+    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)).alias("link"), F.regexp_extract_all(html, F.lit(LINK), F.lit(2)).alias("title"))
+    return pages.select(*keys, F.explode(found).alias("r")).select(*keys, "r.link", F.trim("r.title").alias("title")).filter("title != ''")
+
+
+def crawled(url: Column, html: Column) -> Column:
+    """The record of a crawled page; a page that could not be had has its error."""
+    there = F.coalesce(F.length(html) > 0, F.lit(False))
+    return F.struct(
+        there.alias("success"), url.alias("url"), F.length(html).cast("long").alias("content_length"), clean_page(html).alias("extracted_content"),
+        F.regexp_count(html, F.lit(r"(?i)<a[^>]+href=")).cast("long").alias("n_links"), F.regexp_count(html, F.lit(IMAGE)).cast("long").alias("n_images"), F.when(~there, "empty page").alias("error"),
+    )
 
 
 def host(url: Column) -> Column:
