@@ -161,3 +161,10 @@ def replace_exact(text: Column, old: Column, new: Column, replace_all: bool = Fa
 def token_estimate(text: Column) -> Column:
     """Words and marks: the offline stand-in for an injected tokenizer."""
     return F.regexp_count(text, F.lit(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"))
+
+
+def response_format(fields: Column) -> Column:
+    """JSON text of a strict response format from array<struct<name, type, description>>: every field required, no others."""
+    properties = F.map_from_entries(F.transform(fields, lambda f: F.struct(f["name"], F.struct(f["type"].alias("type"), f["description"].alias("description")))))
+    schema = F.struct(F.lit("object").alias("type"), properties.alias("properties"), F.transform(fields, lambda f: f["name"]).alias("required"), F.lit(False).alias("additionalProperties"))
+    return F.to_json(F.struct(F.lit("json_schema").alias("type"), F.struct(F.lit("response_jsons").alias("name"), F.lit(True).alias("strict"), schema.alias("schema")).alias("json_schema")))

@@ -237,7 +237,7 @@ def error_summary(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-_PROFILED = {"c_custkey": "BIGINT", "c_name": "VARCHAR", "c_nationkey": "INTEGER", "c_mktsegment": "VARCHAR"}
+_PROFILED = {"c_custkey": "BIGINT", "c_name": "VARCHAR", "c_nationkey": "INTEGER", "c_acctbal": "DOUBLE", "c_mktsegment": "VARCHAR"}
 
 
 @query("agg_11", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*)::BIGINT AS rows, count(*) FILTER ({c} IS NULL)::BIGINT AS nulls, count(DISTINCT {c})::BIGINT AS n_distinct, min({c})::VARCHAR AS low, max({c})::VARCHAR AS high FROM customer" for c in _PROFILED))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import retrieval
+from ..operators import budgets, retrieval
 from ..session import table
 from ..sources.web import host, path
 from .relational_queries import FILES, files
@@ -99,10 +99,12 @@ def text_chunks(s, d):
     return out.select("doc_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), F.md5(F.col("chunk").cast("binary")).alias("chunk"))
 
 
-@query("txt_14", "SELECT source, md5(string_agg(lang || ':' || doc_id, chr(10) ORDER BY doc_id)) AS context FROM documents GROUP BY 1")
+@query("txt_14", "WITH b AS (SELECT source, doc_id, lang || ':' || doc_id AS t, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run FROM documents) SELECT source, md5(string_agg(t, chr(10) ORDER BY doc_id)) AS context FROM b WHERE run <= 20000 GROUP BY 1")
 def contexts(s, d):
+    """What fits the budget of each source is joined; the rest is never collected."""
+    docs = budgets.prefix(table(s, d, "documents").select("source", "doc_id", "n_chars", "lang"), "source", ["doc_id"], "n_chars", 20000)
     each = F.sort_array(F.collect_list(F.struct("doc_id", F.concat_ws(":", "lang", F.col("doc_id").cast("string")).alias("t"))))
-    return table(s, d, "documents").groupBy("source").agg(F.md5(F.array_join(F.transform(each, lambda x: x["t"]), "\n").cast("binary")).alias("context"))
+    return docs.groupBy("source").agg(F.md5(F.array_join(F.transform(each, lambda x: x["t"]), "\n").cast("binary")).alias("context"))
 
 
 @query("txt_16", "SELECT page_id, regexp_replace(list_last(string_split(regexp_replace(url, '/+$', ''), '/')), '\\.git$', '') AS repo, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
@@ -134,9 +136,14 @@ def labels(s, d):
     return table(s, d, "events").select("event_id", F.coalesce(F.try_element_at(names, F.col("event_type")), F.col("event_type")).alias("label"))
 
 
-@query("txt_10", "SELECT n_nationkey, '{\"type\":\"object\",\"name\":\"' || n_name || '\"}' AS doc FROM nation")
+@query(
+    "txt_10",
+    """SELECT n_nationkey, '{"type":"json_schema","json_schema":{"name":"response_jsons","strict":true,"schema":{"type":"object","properties":{"name":{"type":"string","description":"like ' || n_name || '"},"rank":{"type":"integer","description":"of ' || n_regionkey || '"}},"required":["name","rank"],"additionalProperties":false}}}' AS doc FROM nation""",
+)
 def response_formats(s, d):
-    return table(s, d, "nation").select("n_nationkey", F.to_json(F.struct(F.lit("object").alias("type"), F.col("n_name").alias("name"))).alias("doc"))
+    field = lambda name, kind, about: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), about.alias("description"))
+    fields = F.array(field("name", "string", F.concat(F.lit("like "), F.col("n_name"))), field("rank", "integer", F.concat(F.lit("of "), F.col("n_regionkey").cast("string"))))
+    return table(s, d, "nation").select("n_nationkey", T.response_format(fields).alias("doc"))
 
 
 @query("snk_07", "SELECT doc_id, CASE WHEN len(text) - len(replace(text, 'License', '')) = 7 THEN md5(replace(text, 'License', 'Licence')) ELSE 'none' END AS edited FROM documents WHERE contains(text, 'License')")
