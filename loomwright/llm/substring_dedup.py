@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, only, shuffle_partitions
+from .common import grouped, only, partitions_for, trimmed
 from .hashing import mixed, span_hashes
 
 WINDOW = 20
@@ -211,8 +211,8 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
 
     rows = only(docs, ["doc_id", "text"]).filter("doc_id is not null and text is not null")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("dh"), F.col("text").cast("binary").alias("text"))
-    sent = rows.mapInArrow(parse, SENT)
-    return sent.repartition(shuffle_partitions(docs.sparkSession), "key").mapInArrow(cross, FACTOR)
+    sent = rows.mapInArrow(trimmed(parse), SENT)
+    return sent.repartition(partitions_for(sent), "key").mapInArrow(trimmed(cross), FACTOR)
 
 
 def _kept(text: bytes | None, starts, lengths) -> tuple[list[bytes], int]:
@@ -229,7 +229,8 @@ def _kept(text: bytes | None, starts, lengths) -> tuple[list[bytes], int]:
 
 def with_factors(docs: DataFrame, columns: list[str], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The columns, the text as bytes, and ``starts`` and ``lengths`` of the document's factors (null if none)."""
-    found = factors(docs, window, gram).groupBy("doc_id", "dh").agg(F.collect_list(F.struct("start", "words")).alias("_f"))
+    # repeated rows of a document have the same factors: as a set they are no more than those of one
+    found = factors(docs, window, gram).groupBy("doc_id", "dh").agg(F.collect_set(F.struct("start", "words")).alias("_f"))
     found = found.select("doc_id", "dh", F.col("_f.start").alias("starts"), F.col("_f.words").alias("lengths"))
     rows = only(docs, list(dict.fromkeys([*columns, "doc_id", "text"]))).withColumn("dh", F.hash("text"))
     out = rows.join(found, ["doc_id", "dh"], "left")
