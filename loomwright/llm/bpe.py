@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, only
+from .common import grouped, only, trimmed
 
 #: Characters handled at once, pieces remembered by a worker: bounds of memory, not of work.
 BLOCK_CHARS, REMEMBERED = 3 << 19, 200_000
@@ -113,6 +113,32 @@ def piece_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def distinct_pieces(joined: str, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of pieces that stand for all, which of them each piece equals).
+
+    Pieces are grouped by a 64-bit polynomial of their code points and their length; then every piece is compared with the
+    one that stands for it, and if any differs the pieces themselves are the keys.
+    """
+    values = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    values ^= values >> np.uint64(32)
+    power = np.full(len(codes) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    np.cumprod(power, out=power)
+    prefix = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(values * power[:-1], out=prefix[1:])
+    size = stops - starts
+    keys = (prefix[stops] - prefix[starts]) * power[len(codes) - starts] + size.astype(np.uint64)
+    del values, power, prefix
+    _, sample, which = np.unique(keys, return_index=True, return_inverse=True)
+    if (size == size[sample][which]).all():
+        twin = np.repeat(starts[sample][which] - starts, size) + np.arange(len(codes))
+        if (codes[twin] == codes).all():
+            return sample, which
+    seen: dict[str, int] = {}
+    which = np.array([seen.setdefault(joined[a:b], len(seen)) for a, b in zip(starts.tolist(), stops.tolist())])
+    return np.unique(which, return_index=True)[1], which
+
+
 class Tokenizer:
     """Encodes and decodes pieces with a DuckDB connection of its own."""
 
@@ -217,17 +243,7 @@ class Tokenizer:
         ends = np.cumsum([len(texts[i]) for i in at])
         starts = piece_starts(codes, ends)
         stops = np.r_[starts[1:], len(codes)]
-        # pieces are told apart by a 64-bit polynomial of their code points and their length
-        values = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        values ^= values >> np.uint64(32)
-        power = np.full(len(codes) + 1, 0x9E3779B97F4A7C15, np.uint64)
-        power[0] = 1
-        np.cumprod(power, out=power)
-        prefix = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(values * power[:-1], out=prefix[1:])
-        keys = (prefix[stops] - prefix[starts]) * power[len(codes) - starts] + (stops - starts).astype(np.uint64)
-        del values, power, prefix
-        _, sample, which = np.unique(keys, return_index=True, return_inverse=True)
+        sample, which = distinct_pieces(joined, codes, starts, stops)
         pieces = [joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(starts[sample].tolist(), stops[sample].tolist())]
         got = self.encode_pieces(pieces)
         ids, decoded = np.empty(len(got), object), np.empty(len(got), object)
@@ -302,7 +318,9 @@ def _rank_path(path: str | None) -> str:
 def encoded_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; null texts count as empty.
 
-    ``ranks`` names a rank file that every executor has; bytes that are not UTF-8 are read as U+FFFD.
+    ``ranks`` names a rank file that every executor has; bytes that are not UTF-8 are read as U+FFFD.  Texts of any length
+    are encoded whole, in parts that end where no piece goes on; repeated rows give repeated rows; an empty table gives an
+    empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +342,7 @@ def encoded_digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
             )
 
     rows = only(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -342,7 +360,7 @@ def encoded_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "lang", "source", "n_tokens", "ids"])
 
     rows = only(docs, ["doc_id", "lang", "source", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>")
+    return rows.mapInArrow(trimmed(run), "doc_id long, lang string, source string, n_tokens long, ids array<int>")
 
 
 def decoded_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 public = pytest.importorskip("public_tokenizers")
@@ -80,3 +81,21 @@ def test_round_trip_of_documents(spark):
     encoded = bpe.encoded_documents(df)
     assert sorted((bytes(r["text"]).decode() for r in bpe.decoded_documents(encoded).collect())) == sorted((t or "") for _, t, *_ in ODD)
     assert all(r["n_tokens"] == len(r["ids"]) for r in encoded.collect())
+
+
+def test_pieces_with_equal_keys_are_told_apart(monkeypatch):
+    texts = "aa bb aa cc bb dd".split()
+    joined = "".join(texts)
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    stops = np.cumsum([len(t) for t in texts])
+    starts = stops - 2
+
+    def check():
+        sample, which = bpe.distinct_pieces(joined, codes, starts, stops)
+        assert [texts[sample[w]] for w in which] == texts and len(sample) == 4
+
+    check()
+    unique = np.unique
+    # all keys alike, as if every piece collided
+    monkeypatch.setattr(bpe.np, "unique", lambda x, **k: unique(np.zeros_like(x) if x.dtype == np.uint64 else x, **k))
+    check()
