@@ -31,14 +31,14 @@ from pyspark.sql import types as T
 
 from .common import durable, only, shuffle_partitions, trimmed
 
-TABLES, PROJECTIONS = 7, 10
+TABLES, PROJECTIONS = 8, 10
 #: Width of a cell; projections of the unit sphere have a deviation of 1.
 WIDTH = 2.0
 #: Probability with which a neighbour is to be met, and the most buckets that a query visits in a table.
-TARGET, PROBES = 0.96, 400
+TARGET, PROBES = 0.97, 700
 SEED = 11
 #: Vectors by which a query learns how near its neighbours are at least (a bound of the sample).
-SCOUTS = 4096
+SCOUTS = 1 << 14
 #: Members of a bucket from which it is dealt out in slices; vectors read at once, queries at once: bounds of memory.
 SLICE, CHUNK, BLOCK = 1 << 16, 1 << 14, 64
 #: Queries of an exact pass sent to all tasks at once.
@@ -265,6 +265,7 @@ def _probed(entries: DataFrame, questions: DataFrame, shared, kind: str, k: int,
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asks: list[pa.RecordBatch] = []
         members: list[pa.RecordBatch] = []
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         held = 0
         for b in batches:  # all queries come first
             cut = int((b.column(1).to_numpy() >= 0).sum())
@@ -274,9 +275,11 @@ def _probed(entries: DataFrame, questions: DataFrame, shared, kind: str, k: int,
                 members.append(b.slice(cut))
                 held += b.num_rows - cut
                 if held >= CHUNK:
-                    yield from _meet(asks, members, k)
+                    _meet(asks, members, k, best)
                     members, held = [], 0
-        yield from _meet(asks, members, k)
+        _meet(asks, members, k, best)
+        for query, (ids, scores) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(scores)], names=["query", "vec_id", "score"])
 
     sent = f"task int, query long, key long, v {kind}, ids array<long>, floor double"
     both = entries.select("v", "ids", "r").mapInArrow(index, sent).unionByName(questions.select("v", "first").mapInArrow(probe, sent))
@@ -298,7 +301,8 @@ def _exact(entries: DataFrame, few: DataFrame, k: int) -> DataFrame:
                     b = whole.slice(at, CHUNK)
                     data, (begin, end, flat) = _matrix(b.column(0)), _lists(b.column(1))
                     for i in range(len(q)):
-                        yield from _ranked(first[i], q[i], data, np.arange(len(data)), begin, end, flat, k)
+                        ids, scores = _ranked(q[i], data, np.arange(len(data)), begin, end, flat, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), first[i])), pa.array(ids), pa.array(scores)], names=["query", "vec_id", "score"])
 
         return durable(entries.select("v", "ids").mapInArrow(trimmed(run), "query long, vec_id long, score double"), "ann-exact")
 
@@ -336,33 +340,35 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return offsets[:-1], offsets[1:], column.values.to_numpy(zero_copy_only=False)
 
 
-def _ranked(query: int, q: np.ndarray, data: np.ndarray, mine: np.ndarray, begin: np.ndarray, end: np.ndarray, flat: np.ndarray, k: int, floor: float = -np.inf) -> Iterator[pa.RecordBatch]:
-    """The k + 1 best distinct ids among the rows ``mine`` of the data."""
+def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best distinct ids, best first, ties to the smaller; fewer if there are no more."""
+    order = np.lexsort((ids, -scores))
+    ids, scores = ids[order], scores[order]
+    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
+    return ids[first], scores[first]
+
+
+def _ranked(q: np.ndarray, data: np.ndarray, mine: np.ndarray, begin: np.ndarray, end: np.ndarray, flat: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores): the k + 1 best distinct ids among the rows ``mine`` of the data; what is under the floor may be left out."""
     rough = data[mine] @ q
     near = rough >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else np.ones(len(rough), bool)
     mine, rough = mine[near], rough[near]
-    if not len(mine):
-        return
-    ids = k + 1
-    while True:  # rows of one id may take several places
-        least = np.partition(rough, len(rough) - ids)[len(rough) - ids] if len(rough) > ids else -np.inf
+    rows = k + 1
+    while len(mine):  # rows of one id may take several places
+        least = np.partition(rough, len(rough) - rows)[len(rough) - rows] if len(rough) > rows else -np.inf
         kept = mine[rough >= least - 1e-9 * max(1.0, abs(least))] if np.isfinite(least) else mine
         score = (data[kept] * q).sum(axis=1)  # one way of adding for all, whatever block a row stands in
         size = end[kept] - begin[kept]
-        out_id = flat[np.repeat(begin[kept], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-        out_score = np.repeat(score, size)
-        order = np.lexsort((out_id, -out_score))
-        out_id, out_score = out_id[order], out_score[order]
-        first = np.sort(np.unique(out_id, return_index=True)[1])
-        if len(first) > k or len(kept) == len(mine):
-            break
-        ids *= 2
-    top = first[: k + 1]
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), query)), pa.array(out_id[top]), pa.array(out_score[top])], names=["query", "vec_id", "score"])
-
-
-def _meet(asks: list[pa.RecordBatch], members: list[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The best k + 1 ids of each query among the members of the buckets that it visits here."""
+        ids = flat[np.repeat(begin[kept], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        top = _top(ids, np.repeat(score, size), k + 1)
+        if len(top[0]) > k or len(kept) == len(mine):
+            return top
+        rows *= 2
+    return np.zeros(0, np.int64), np.zeros(0)
+
+
+def _meet(asks: list[pa.RecordBatch], members: list[pa.RecordBatch], k: int, best: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+    """Bring the best k + 1 ids of each query up to date with the members of the buckets that it visits here."""
     if not members or not asks:
         return
     table = pa.Table.from_batches(members).combine_chunks().to_batches()[0]
@@ -388,4 +394,8 @@ def _meet(asks: list[pa.RecordBatch], members: list[pa.RecordBatch], k: int) ->
             size = stop[at] - start[at]
             mine = np.repeat(start[at], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             mine = mine[np.unique(entry[mine], return_index=True)[1]]
-            yield from _ranked(first[i], q[i], data, mine, begin, end, flat, k, floors[i])
+            own = best.get(int(first[i]))
+            floor = max(floors[i], own[1][-1]) if own is not None and len(own[0]) > k else floors[i]
+            ids, scores = _ranked(q[i], data, mine, begin, end, flat, k, floor)
+            if len(ids):
+                best[int(first[i])] = (ids, scores) if own is None else _top(np.r_[own[0], ids], np.r_[own[1], scores], k + 1)
