@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, fingerprints, gru_lm, html_extract, langid, mixing, near_dedup, substring_dedup, toxicity
+from . import ann, bpe, decontaminate, divergence, filter_audit, fingerprints, gru_lm, html_extract, langid, mixing, near_dedup, substring_dedup, toxicity
 from .common import table
 
 
@@ -53,9 +53,24 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": substring_dedup.ORACLE, "op10_source_mixing": mixing.ORACLE}
+    return {
+        "op8_substring_dedup": substring_dedup.ORACLE, "op10_source_mixing": mixing.ORACLE, "op11_benchmark_decontamination": decontaminate.ORACLE,
+        "op12_filter_audit": filter_audit.ORACLE, "op13_source_divergence": divergence.ORACLE,
+    }
