@@ -2,8 +2,8 @@
 
 Plain relational: matches of the term pattern are exploded and counted by (language, source, term); terms in enough documents
 of their language are kept; every group is crossed with its language's kept terms, so that absent ones count zero; a self-join
-on language and term compares two groups term by term; sums and ranks follow.  Each document also gives its distinct terms
-once, marked, so that one pass counts occurrences and documents.
+on language and term compares two groups term by term; sums and ranks follow.  Each document gives its matches and then its distinct
+terms, so that one pass counts occurrences and documents.
 
 Groups are joined to kept terms on the language and one of ``SPREAD`` parts of the terms, since a language alone would be a hot
 key; of two groups' comparisons one is computed and read in both directions, the measure being symmetric.
@@ -37,36 +37,32 @@ def term_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, source) of every group, and lang, source, term, count, docs: its terms with occurrences and documents."""
     rows = only(docs, ["lang", "source", "text"]).select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     terms = rows.select("lang", "source", F.regexp_extract_all(_lowered(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
-    # a blank in front, which no term holds, marks the distinct ones; the null stands for the document itself
-    once = F.transform(F.array_distinct("terms"), lambda t: F.concat(F.lit(" "), t))
-    exploded = terms.select("lang", "source", F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms", once)).alias("term"))
-    counted = durable(exploded.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
-    marked = F.col("term").startswith(" ")
-    term = F.when(marked, F.expr("substring(term, 2)")).otherwise(F.col("term"))
-    both = counted.filter("term is not null").select("lang", "source", term.alias("term"), F.when(~marked, F.col("n")).alias("n"), F.when(marked, F.col("n")).alias("d"))
-    return counted.filter("term is null").select("lang", "source"), both.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"), F.sum("d").alias("docs"))
+    # all matches of a document, then its distinct ones: one pass counts occurrences and documents
+    both = terms.select("lang", "source", F.size("terms").alias("n"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
+    again = (F.col("at") >= F.col("n")).cast("long")
+    return rows.select("lang", "source").distinct(), both.groupBy("lang", "source", "term").agg(F.sum(1 - again).alias("count"), F.sum(again).alias("docs"))
 
 
 def probabilities(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """The groups, and lang, source (null: the language as a whole), term, count, p: dense over the kept terms."""
+    """The groups, and lang, source, term, count, p, q: dense over the kept terms; q is the whole language's p."""
     groups, counts = term_counts(docs)
-    kept = durable(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term"), "kept-terms")
-    counts = durable(counts.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "count"), "kept-counts")
-    whole = counts.groupBy("lang", "term").agg(F.sum("count").alias("count")).select("lang", F.lit(None).cast("string").alias("source"), "term", "count")
-    counts = counts.unionByName(whole)
+    # a term has at most one entry for each source of its language
+    entry = F.struct("source", "count")
+    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(entry).alias("counts"))
+    kept = durable(kept.filter(F.col("docs") >= min_docs).select("lang", "term", "counts"), "kept-terms")
     size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    sums = counts.groupBy("lang", "source").agg(F.sum("count").alias("total")).select(F.col("lang").alias("l"), F.col("source").alias("s"), "total")
-    every = groups.unionByName(groups.select("lang", F.lit(None).cast("string").alias("source")).distinct())
-    every = every.join(size, "lang").join(sums, (F.col("lang") == F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left_outer")
-    every = every.select("lang", "source", (F.coalesce("total", F.lit(0)) + 2 * F.col("v")).alias("below"))
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SPREAD)).cast("int").alias("part")
+    sums = kept.select("lang", F.inline("counts")).groupBy("lang", "source").agg(F.sum("count").alias("total"))
+    whole = sums.groupBy("lang").agg(F.sum("total").alias("all"))
+    groups = durable(groups, "language-groups")
+    every = groups.join(sums, ["lang", "source"], "left_outer").join(size, "lang").join(whole, "lang")
+    every = every.select("lang", "source", (F.coalesce("total", F.lit(0)) + 2 * F.col("v")).alias("below"), (F.col("all") + 2 * F.col("v")).alias("below_all"))
     every = every.withColumn("part", F.explode(F.array(*map(F.lit, range(SPREAD)))))
-    dense = kept.withColumn("part", part("term")).join(every, ["lang", "part"]).drop("part")
-    counts = counts.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("term").alias("t"), "count")
-    dense = dense.join(counts, (F.col("lang") == F.col("l")) & (F.col("term") == F.col("t")) & F.col("source").eqNullSafe(F.col("s")), "left_outer")
-    count = F.coalesce("count", F.lit(0))
-    above = (count.cast("decimal(20,0)") + 2) * F.lit(SCALE).cast("decimal(10,0)")
-    dense = dense.withColumn("above", above).select("lang", "source", "term", count.alias("count"), F.expr("1 + above div below").alias("p"))
+    dense = kept.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(SPREAD)).cast("int"))
+    dense = dense.withColumns({"all": F.aggregate("counts", F.lit(0).cast("long"), lambda n, x: n + x["count"]), "counts": F.map_from_entries("counts")}).join(every, ["lang", "part"])
+    dense = dense.withColumn("count", F.coalesce(F.try_element_at("counts", F.col("source")), F.lit(0)))
+    scaled = lambda n: (F.col(n).cast("decimal(20,0)") + 2) * F.lit(SCALE).cast("decimal(10,0)")
+    dense = dense.withColumns({"above": scaled("count"), "above_all": scaled("all")})
+    dense = dense.select("lang", "source", "term", "count", F.expr("1 + above div below").alias("p"), F.expr("1 + above_all div below_all").alias("q"))
     return groups, durable(dense, "dense-terms")
 
 
@@ -74,18 +70,21 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """lang, source, part, item, value, rank: ``pair`` ranks the other sources of the language by their distance,
     ``term`` the terms by which a source stands out from its language."""
     groups, dense = probabilities(docs, min_docs)
-    apart = F.expr("(p - q) * (p - q) div (p + q)")
-    own, whole = dense.filter("source is not null"), dense.filter("source is null").select("lang", "term", F.col("p").alias("q"))
-    one, two = own.select("lang", "source", "term", "p"), own.select("lang", F.col("source").alias("item"), "term", F.col("p").alias("q"))
-    sums = one.join(two, ["lang", "term"]).filter("source < item").groupBy("lang", "source", "item").agg(F.sum(apart).alias("value"))
+    # the same rows on both sides, so that one shuffle serves both
+    own = dense.select("lang", "source", "term", "p")
+    x, y = own.alias("x"), own.alias("y")
+    both = x.join(y, (F.col("x.lang") == F.col("y.lang")) & (F.col("x.term") == F.col("y.term")) & (F.col("x.source") < F.col("y.source")))
+    apart = F.expr("(x.p - y.p) * (x.p - y.p) div (x.p + y.p)")
+    sums = both.groupBy(F.col("x.lang").alias("lang"), F.col("x.source").alias("source"), F.col("y.source").alias("item")).agg(F.sum(apart).alias("value"))
+    sums = durable(sums, "source-distances")
     sums = sums.unionByName(sums.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
     # sources of a language that keeps no terms have pairs as well
     pairs = groups.join(groups.withColumnRenamed("source", "item"), "lang").filter("source != item").join(sums, ["lang", "source", "item"], "left_outer")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(order))
-    terms = own.filter("count > 0").join(whole, ["lang", "term"]).filter("p > q")
-    terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart.alias("value"))
+    terms = dense.filter("count > 0 and p > q")
+    terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("(p - q) * (p - q) div (p + q)").alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= TOP_TERMS)
     return pairs.unionByName(terms)
 
