@@ -6,10 +6,10 @@ Both layers are trained together by stochastic gradient descent in numpy.
 
 Rejection is calibrated.  Beside the languages the softmax has a class for anything else, trained on what no text of the
 sample is: texts of the sample whose letters are exchanged by a random permutation, so that words keep their lengths and
-repeats but have the subwords of no language learned.  On texts held back from the sample a temperature is fitted, and the
-probability below which a text is rejected is the least that lets in no more than a stated share of the held-back
-exchanged texts, unless it would turn away more than a stated share of the held-back texts of known languages;
-``Model.errors`` has both error rates.
+repeats but have the subwords of no language learned.  The sample is held back in turns, so that every text and its
+exchanged form get a score of a model that has not seen them; on these scores a temperature is fitted, and the
+probability below which a text is rejected is put between those of exchanged and of known texts.  ``Model.errors`` has
+both error rates.
 
 After training, embedding and softmax are folded into one score per subword and language, so that scoring a text is a
 sum over its n-grams; texts are scored whole, millions of characters at once.
@@ -34,9 +34,14 @@ DIMENSION = 16
 #: that, one row of each).
 SAMPLE = 1200
 STEPS, BATCH, RATE = 200, 32, 0.5
-#: Share of the sample's texts that also come with exchanged letters; shares of held-back texts of known languages that
-#: may be rejected, and of exchanged ones that may be accepted.  The first counts if both cannot be kept.
-FOREIGN, TURNED_AWAY, LET_IN = 0.25, 0.002, 0.01
+#: Bound of what a step moves, in units of the rate.
+MOST = 8.0
+#: Share of the exchanged texts that are learned from; shares of held-back texts of known languages that may be rejected,
+#: and of exchanged ones that may be accepted.  The first counts if both cannot be kept.
+FOREIGN, TURNED_AWAY, LET_IN = 0.25, 0.01, 0.01
+#: Parts of the sample that are held back in turn; how far from what known texts reach towards what exchanged ones stay
+#: under the threshold lies, in log-odds, and its least distance from the former.
+FOLDS, NEARER, MARGIN = 2, 0.75, 1.0
 BLOCK_BYTES = 4 << 20
 UNDETERMINED = "und"
 
@@ -141,68 +146,127 @@ def exchanged(text: str, rng: np.random.Generator) -> str:
     return text.translate(dict(zip(map(ord, letters), (letters[i] for i in rng.permutation(len(letters))))))
 
 
-def train(texts: list[str], labels: list[str], seed: int = 3) -> Model:
-    """Fit on whole texts; one in five texts is held back to fit the temperature and the threshold."""
-    languages = sorted(set(labels)) or [UNDETERMINED]
-    if not texts:
-        return Model(languages, np.zeros((BUCKETS, 2), np.float32), np.zeros(2))
+class _Features:
+    """Texts as their distinct subwords and the shares of these, so that long texts cost no more than what they say."""
+
+    def __init__(self, texts: list[str]):
+        self.ids, self.parts = [], []
+        for at in range(0, len(texts), 64):
+            buckets, begin, _ = subwords(texts[at : at + 64])
+            for lo, hi in zip(begin, begin[1:]):
+                own, times = np.unique(buckets[lo:hi], return_counts=True)
+                self.ids.append(own.astype(np.int32))
+                self.parts.append((times / max(1, hi - lo)).astype(np.float32))
+
+    def means(self, rows, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows: the shares' mean of the table's rows; and the subwords, their shares and whose they are."""
+        ids, part = np.concatenate([self.ids[i] for i in rows]), np.concatenate([self.parts[i] for i in rows])
+        which = np.repeat(np.arange(len(rows)), [len(self.ids[i]) for i in rows])
+        return _by_row(which, table[ids] * part[:, None], len(rows)), ids, part, which
+
+
+def _by_row(which: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(which):
+        first = np.flatnonzero(np.diff(which, prepend=-1))
+        out[which[first]] = np.add.reduceat(values, first)
+    return out
+
+
+def _bounded(x: np.ndarray, most: float) -> np.ndarray:
+    """``x``, scaled down if a row of it is longer than ``most``."""
+    longest = float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=-1)).max(initial=0))
+    return x * np.float32(most / longest) if longest > most else x
+
+
+def _descend(features: _Features, y: np.ndarray, rows: np.ndarray, classes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores of each subword for each class, bias) by stochastic gradient descent over the rows.
+
+    No step moves a text's mean or a column of the softmax by more than ``MOST`` times the rate, however few subwords a
+    text has and however many texts of a batch share them, so weights stay finite on any corpus."""
     rng = np.random.default_rng(seed)
-    foreign = rng.permutation(len(texts))[: round(FOREIGN * len(texts))]
-    texts = texts + [exchanged(texts[i], rng) for i in foreign]
-    other = len(languages)
-    y = np.array([languages.index(x) for x in labels] + [other] * len(foreign))
-    # each text as its distinct subwords and their shares, so that long texts cost no more than what they say
-    held_ids, held_parts = [], []
-    for at in range(0, len(texts), 64):
-        buckets, begin, _ = subwords(texts[at : at + 64])
-        for lo, hi in zip(begin, begin[1:]):
-            own, times = np.unique(buckets[lo:hi], return_counts=True)
-            held_ids.append(own.astype(np.int32))
-            held_parts.append((times / max(1, hi - lo)).astype(np.float32))
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
-    weight, bias = np.zeros((DIMENSION, other + 1), np.float32), np.zeros(other + 1, np.float32)
-    shuffled = rng.permutation(len(texts))
-    held, fit = shuffled[: len(texts) // 5], shuffled[len(texts) // 5 :]
-    weight += rng.normal(0, 0.1, weight.shape)
-    step = 0
-    while step < STEPS and len(fit):
-        rng.shuffle(fit)
-        for at in range(0, len(fit), BATCH):
+    weight, bias = rng.normal(0, 0.1, (DIMENSION, classes)).astype(np.float32), np.zeros(classes, np.float32)
+    rows, step = rows.copy(), 0
+    while step < STEPS and len(rows):
+        rng.shuffle(rows)
+        for at in range(0, len(rows), BATCH):
             rate = RATE * max(0.0, 1 - step / STEPS)
             step += 1
-            rows = fit[at : at + BATCH]
-            ids, part = np.concatenate([held_ids[i] for i in rows]), np.concatenate([held_parts[i] for i in rows])
-            which = np.repeat(np.arange(len(rows)), [len(held_ids[i]) for i in rows])
-            mean = np.zeros((len(rows), DIMENSION), np.float32)
-            if len(which):
-                first = np.flatnonzero(np.diff(which, prepend=-1))
-                mean[which[first]] = np.add.reduceat(embed[ids] * part[:, None], first)
+            batch = rows[at : at + BATCH]
+            mean, ids, part, which = features.means(batch, embed)
             grad = _softmax(mean @ weight + bias)
-            grad[np.arange(len(rows)), y[rows]] -= 1
+            grad[np.arange(len(batch)), y[batch]] -= 1
             back = grad @ weight.T
-            weight -= rate * mean.T @ grad / len(rows)
-            bias -= 0.1 * rate * grad.mean(axis=0)
-            for d in range(DIMENSION):  # the embedding's step is large: each n-gram is a small part of a mean
-                embed[:, d] -= rate * 20 * np.bincount(ids, back[which, d] * part, BUCKETS).astype(np.float32)
-    model = Model(languages, np.ascontiguousarray(embed @ weight), bias.astype(np.float64))
-    if len(held):
-        z = np.concatenate([model.logits([texts[i] for i in held[at : at + 64]])[0] for at in range(0, len(held), 64)])
-        own = y[held]
-        # as in Platt's scaling a label counts as a little less than certain, else texts that are all told apart rightly
-        # would ask for certainty
-        target = np.full(z.shape, 1 / (len(held) + 2) / z.shape[1])
-        target[np.arange(len(held)), own] += 1 - 1 / (len(held) + 2)
-        loss = lambda t: -(target * np.log(np.maximum(_softmax(z / t), 1e-300))).sum(axis=1).mean()
-        model.temperature = float(min(np.geomspace(0.001, 100, 240), key=loss))
-        best = _softmax(z / model.temperature)[:, :other].max(axis=1)
-        known = np.sort(best[own < other])
-        if len(known):
-            foreign = np.sort(best[own == other])
-            needed = float(np.nextafter(foreign[len(foreign) - 1 - int(LET_IN * len(foreign))], 1)) if len(foreign) else 0.0
-            # a text of unknown subwords alone has no more than what the bias gives it, and some noise
-            needed = max(needed, 1.25 * float(_softmax(model.bias / model.temperature)[:other].max()))
-            model.threshold = min(needed, float(known[int(TURNED_AWAY * len(known))]))
-            model.errors = (float((known < model.threshold).mean()), float((foreign >= model.threshold).mean()) if len(foreign) else 0.0)
+            weight -= np.float32(rate) * _bounded((mean.T @ grad / len(batch)).T, MOST).T
+            bias -= np.float32(0.1 * rate) * grad.mean(axis=0)
+            if not len(ids):
+                continue
+            # the embedding's step is large, since each n-gram is a small part of a mean
+            change = np.empty_like(embed)
+            for d in range(DIMENSION):
+                change[:, d] = np.bincount(ids, 20 * back[which, d] * part, BUCKETS)
+            length = np.sqrt(np.einsum("ij,ij->i", change, change))  # a mean moves no further than the mean of these
+            longest = float(np.bincount(which, length[ids] * part).max())
+            change *= np.float32(rate * min(1.0, MOST / max(longest, 1e-9)))
+            embed -= change
+    table = np.ascontiguousarray(embed @ weight)
+    if not (np.isfinite(table).all() and np.isfinite(bias).all()):
+        raise FloatingPointError("language model: training left the range of finite numbers")
+    return table, bias.astype(np.float64)
+
+
+def train(texts: list[str], labels: list[str], seed: int = 3) -> Model:
+    """Fit on whole texts.  Temperature and threshold come from all texts, each judged by a model that has not seen it
+    (``FOLDS`` of them), beside the same texts with exchanged letters.
+
+    The threshold lies, in log-odds, between the score that all but ``LET_IN`` of the exchanged texts stay under and the
+    score that all but ``TURNED_AWAY`` of the known ones reach, nearer to the former since a text lost is worse than one
+    let in, and at least ``MARGIN`` under the latter, whatever a few odd texts score; where exchanged texts cannot be told
+    from known ones, nearly all are accepted."""
+    languages = sorted(set(labels)) or [UNDETERMINED]
+    if not texts:
+        return Model(languages, np.zeros((BUCKETS, 2), np.float32), np.zeros(2))
+    rng = np.random.default_rng(seed)
+    n, other = len(texts), len(languages)
+    changed = [exchanged(t, rng) for t in texts]
+    # a text whose letters were all exchanged for themselves is no other text
+    foreign = np.array([i for i in range(n) if changed[i] != texts[i].lower()], np.int64)
+    features = _Features(texts + [changed[i] for i in foreign])
+    y = np.r_[[languages.index(x) for x in labels], np.full(len(foreign), other, np.int64)].astype(np.int64)
+    order = rng.permutation(n)
+    source = np.r_[np.arange(n), foreign]  # which text a row comes from
+    learned = np.r_[np.ones(n, bool), rng.random(len(foreign)) < FOREIGN]
+    fold = np.empty(n, np.int64)
+    fold[order] = np.arange(n) % FOLDS
+    z = np.zeros((len(y), other + 1))
+    if n >= 2 * FOLDS:
+        for k in range(FOLDS):
+            there = fold[source] == k
+            table, bias = _descend(features, y, np.flatnonzero(~there & learned), other + 1, seed + 1 + k)
+            held = np.flatnonzero(there)
+            for at in range(0, len(held), 64):
+                z[held[at : at + 64]] = features.means(held[at : at + 64], table)[0] + bias
+    model = Model(languages, *_descend(features, y, np.flatnonzero(learned), other + 1, seed))
+    if n < 2 * FOLDS:
+        return model
+    # as in Platt's scaling a label counts as a little less than certain, else texts that are all told apart rightly
+    # would ask for certainty
+    target = np.full(z.shape, 1 / (n + 2) / z.shape[1])
+    target[np.arange(len(y)), y] += 1 - 1 / (n + 2)
+    loss = lambda t: -(target * np.log(np.maximum(_softmax(z / t), 1e-300))).sum(axis=1).mean()
+    model.temperature = float(min(np.geomspace(0.001, 100, 240), key=loss))
+    best = _softmax(z / model.temperature)[:, :other].max(axis=1)
+    known, strange = best[:n], best[n:]
+    odds = lambda p: float(np.log(max(p, 1e-12)) - np.log(max(1 - p, 1e-12)))
+    reached = odds(np.quantile(known, TURNED_AWAY, method="lower"))
+    # a text of unknown subwords alone has no more than what the bias gives it
+    under = float(_softmax(model.bias / model.temperature)[:other].max())
+    if len(strange):
+        under = max(under, float(np.quantile(strange, 1 - LET_IN, method="higher")))
+    low = min(odds(under), reached - MARGIN / NEARER)
+    model.threshold = float(1 / (1 + np.exp(-(low + (1 - NEARER) * (reached - low)))))
+    model.errors = (float((known < model.threshold).mean()), float((strange >= model.threshold).mean()) if len(strange) else 0.0)
     return model
 
 
