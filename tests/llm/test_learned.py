@@ -54,6 +54,38 @@ def test_rejection_is_calibrated(corpus):
     assert sum(accepted(foreign)) <= 2 and sum(accepted(fresh)) >= 0.99 * len(fresh)
 
 
+def id_list(seed, n=50):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(999)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("texts", [[id_list(i) for i in range(300)], ["w1 w2 w3"] * 40, ["x"] * 30, [text_of("en", i) for i in range(200)], ["a b", "c"]])
+def test_training_stays_finite_and_one_language_is_kept(texts):
+    """Texts of few subwords, one repeated text, one language: every number is finite and nearly all texts are accepted."""
+    m = langid.train(texts, ["en"] * len(texts))
+    _, score, letters = langid.score_texts(m, texts)
+    assert np.isfinite(m.table).all() and np.isfinite(m.threshold) and np.isfinite(m.temperature)
+    assert ((score >= 0) & (score <= 1)).all() and (letters & (score >= m.threshold)).mean() >= 0.99
+
+
+def test_threshold_hardly_depends_on_the_seed_or_on_odd_texts(corpus):
+    texts, labels = [t for _, t, _, _ in corpus], [lang for _, _, lang, _ in corpus]
+    fresh = [text_of(lang, 9000 + i) for i in range(60) for lang in SYLLABLES]
+    r = random.Random(7)
+    foreign = [" ".join("".join(r.choice(["pii", "llo", "vää", "ky", "uo", "jo", "mu"]) for _ in range(3)) for _ in range(40)) for _ in range(40)]
+    for odd, seed in itertools.product((0, 1, 3), (3, 4)):
+        m = langid.train(texts + [id_list(k) for k in range(odd)], labels + ["en"] * odd, seed)
+        assert 0.1 < m.threshold < 0.95 and m.errors[0] <= 0.02 and m.errors[1] <= 0.02
+        accepted = lambda t: np.mean(langid.score_texts(m, t)[1] >= m.threshold)  # noqa: E731, B023
+        assert accepted(fresh) >= 0.99 and accepted(foreign) <= 0.1
+
+
+def test_training_that_leaves_finite_numbers_raises(monkeypatch):
+    monkeypatch.setattr(langid, "RATE", float("inf"))
+    with pytest.raises(FloatingPointError), np.errstate(all="ignore"):
+        langid.train(["the thing", "der schein"] * 20, ["en", "de"] * 20)
+
+
 def test_rare_languages_and_repeated_rows_are_learned(spark, corpus):
     rare = [(5000 + i, "zzq qzz zqz " * 8, "xx", "s") for i in range(3)]
     repeated = [(7000, text_of("en", 1), "en", "s")] * 300 + [(None, text_of("fr", 2), "fr", "s")] * 300
