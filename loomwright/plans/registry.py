@@ -11,9 +11,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _catalogs():
-    from . import explorer_queries, graph_queries, message_queries, more_queries, relational_queries, text_queries
+    from . import explorer_queries, graph_queries, message_queries, more_queries, relational_queries, store_queries, text_queries
 
-    return [relational_queries.CATALOG, text_queries.CATALOG, message_queries.CATALOG, graph_queries.CATALOG, more_queries.CATALOG, explorer_queries.CATALOG]
+    return [relational_queries.CATALOG, text_queries.CATALOG, message_queries.CATALOG, graph_queries.CATALOG, more_queries.CATALOG, explorer_queries.CATALOG, store_queries.CATALOG]
 
 
 def queries() -> dict[str, Query]:

@@ -93,7 +93,7 @@ def token_totals(s, d):
     return table(s, d, "documents").groupBy("source").agg(F.sum(T.token_estimate(F.col("text"))).cast("long").alias("tokens"))
 
 
-@query("txt_13", "SELECT doc_id, c AS chunk_pos, md5(substr(text, c * 900 + 1, 1000)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((len(text) - 100) / 900.0))::INT)) AS c FROM documents WHERE len(text) > 0)")
+@query("txt_13_windows", "SELECT doc_id, c AS chunk_pos, md5(substr(text, c * 900 + 1, 1000)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(1, ceil((len(text) - 100) / 900.0))::INT)) AS c FROM documents WHERE len(text) > 0)")
 def text_chunks(s, d):
     out = retrieval.chunks(table(s, d, "documents").select("doc_id", "text"), ["doc_id"], "text", 1000, 100)
     return out.select("doc_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), F.md5(F.col("chunk").cast("binary")).alias("chunk"))
