@@ -40,7 +40,7 @@ def call_edges(entities: DataFrame) -> DataFrame:
     found = found.unionByName(candidates(imported, dot("m", "name"), 4, F.col("ipos")))
     owners = classes.select(F.element_at(F.split("id", "[.]"), -1).alias("object"), F.col("id").alias("owner"), F.col("ordinal").alias("o"))
     by_class = attribute.join(owners, "object")
-    found = found.unionByName(candidates(by_class, dot("owner", "attribute"), 5, F.xxhash64("owner").bitwiseAND(F.lit(0)) + F.col("o")))
+    found = found.unionByName(candidates(by_class, dot("owner", "attribute"), 5, F.col("o")))
     modules = imports.select("module_id", F.col("pos").alias("ipos"), F.explode(F.array_distinct(F.array_compact(F.array("name", "alias")))).alias("object"), F.when(F.col("type") == "import", F.col("name")).otherwise(dot("module", "name")).alias("m"))
     found = found.unionByName(candidates(attribute.join(modules, ["module_id", "object"]), dot("m", "attribute"), 6, F.col("ipos")))
     found = found.unionByName(candidates(nested, F.col("full_path"), 7))
@@ -57,10 +57,13 @@ def called_by(edges: DataFrame) -> DataFrame:
 
 
 def import_edges(entities: DataFrame) -> DataFrame:
-    """src, dst: modules that import modules of the same repository."""
-    modules = entities.filter("kind = 'module'").select(F.col("id").alias("dst")).distinct()
+    """src, dst: modules that import modules of the same repository; a package is imported by way of its __init__."""
+    ids = entities.filter("kind = 'module'").select(F.col("id").alias("dst")).distinct()
+    package = F.regexp_extract("dst", r"^(.+)\.__init__$", 1)
+    named = ids.select("dst", F.col("dst").alias("name"), F.lit(0).alias("_r")).unionByName(ids.filter(package != "").select("dst", package.alias("name"), F.lit(1).alias("_r")))
+    modules = named.groupBy("name").agg(F.min(F.struct("_r", "dst"))["dst"].alias("hit"))
     wanted = E.imports(entities).select(F.col("module_id").alias("src"), F.when(F.col("type") == "import", F.col("name")).otherwise(F.col("module")).alias("dst"))
-    return wanted.join(modules, "dst", "left_semi").select("src", "dst").distinct()
+    return wanted.join(modules, wanted["dst"] == modules["name"]).select("src", F.col("hit").alias("dst")).distinct()
 
 
 def inheritance_edges(entities: DataFrame) -> DataFrame:

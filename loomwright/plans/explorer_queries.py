@@ -22,7 +22,7 @@ from ..operators import entities as E
 from ..operators import messages as M
 from ..session import shared_folder, table
 from ..sources import files as S
-from ..sources import sinks, tables
+from ..sources import sinks, tables, tree
 from ..sources import web as W
 from .graph_queries import ALPHA, ROUNDS, TRADE, _pagerank_sql, nations, trade
 from .message_queries import C, histories
@@ -520,17 +520,18 @@ def csv_table(s, d):
 @query("src_07_snk_02", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
 def json_table(s, d):
     path = _folder(s, "json")
-    sinks.save_json(table(s, d, "nation").select("n_nationkey", "n_name").repartition(3, "n_nationkey"), path)
-    lines = tables.json_documents(s, path).select(F.col("document").cast("string").alias("first"))  # a document per file
-    return s.read.json(path).select("n_nationkey", "n_name").filter(F.lit(lines.count() > 0))
+    one = F.to_json(F.struct("n_nationkey", "n_name"))
+    tree.write(table(s, d, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".json")).alias("path"), one.alias("body")), "path", "body", path)
+    document = lambda name, kind: F.variant_get("document", f"$.{name}", kind).alias(name)
+    return tables.json_documents(s, path).select(document("n_nationkey", "bigint"), document("n_name", "string"))
 
 
 @query("src_03_14_19", "SELECT 'd' || n_regionkey || '/n' || n_nationkey || '.txt' AS path, (len(n_name) + 1)::BIGINT AS length, n_name || chr(10) AS content, 'txt' AS language FROM nation")
 def scanned_files(s, d):
-    """Small files are written one to a folder of their own name, scanned again, and read in order of their paths."""
+    """Small files are written by the tasks, scanned again, and read in order of their paths."""
     path = _folder(s, "files")
-    rows = table(s, d, "nation").select(F.concat(F.lit("d"), F.col("n_regionkey").cast("string")).alias("dir"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("name"), F.col("n_name").alias("content"))
-    S.write_files(rows, "dir", "name", "content", path)
+    at = F.concat(F.lit("d"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string"), F.lit(".txt"))
+    tree.write(table(s, d, "nation").select(at.alias("path"), F.concat("n_name", F.lit("\n")).alias("content")), "path", "content", path)
     found = S.texts(S.scan(s, path))
     return found.select("path", "length", "content", P.extension(F.col("path")).alias("language")).orderBy("path")
 

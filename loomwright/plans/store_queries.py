@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import splitter
 from ..session import shared_folder, table
+from ..sources import tree
 
 CATALOG: dict = {}
 
@@ -59,3 +60,18 @@ def small_chunks(s, d):
     each = splitter.splits(F.col("text"), 40, 15)
     rows = table(s, d, "documents").select("doc_id", each.alias("c")).filter(F.size("c") > 0)
     return rows.select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["start"]).alias("starts"), F.md5(F.array_join(F.col("c.chunk"), "|").cast("binary")).alias("digest"))
+
+
+# ---- directory trees ----
+_NAME = "['__init__.py', '_private.py', '.hidden.txt', 'plain.py'][i]"
+
+
+@query("src_01_19_tree", f"SELECT 'r' || n_regionkey || '/n' || n_nationkey || '/' || {_NAME} AS path, len(n_name)::BIGINT AS length, n_name AS content FROM nation, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE n_regionkey <> 3")
+def scanned_tree(s, d):
+    """A tree of files with hidden and underscored names, written and scanned by tasks; one folder is pruned by name."""
+    root = _folder(s, "tree")
+    names = F.explode(F.array(*map(F.lit, ["__init__.py", "_private.py", ".hidden.txt", "plain.py"])))
+    rows = table(s, d, "nation").select("n_regionkey", "n_nationkey", "n_name", names.alias("name"))
+    path = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string"), F.lit("/"), F.col("name"))
+    tree.write(rows.select(path.alias("path"), "n_name"), "path", "n_name", root)
+    return tree.scan(s, root, prune=["r3"]).select("path", "length", F.col("content").cast("string").alias("content"))

@@ -19,28 +19,6 @@ def scan(spark: SparkSession, root: str, content: bool = True, glob: str | None
     return rows
 
 
-def write_files(rows: DataFrame, folder: str, name: str, content: str, root: str) -> None:
-    """One file a row under root/folder/name, its text and a line break, written by the tasks through the file system that the root names.
-
-    The executors' JVMs do the writing by way of Spark's text writer; each file is then given its name.  For small sets of
-    files: the names are given by the driver.
-    """
-    spark = rows.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs
-    at = rows.select(folder, name, content).repartition(folder, name)
-    at.write.partitionBy(folder, name).text(root + ".parts")
-    top, conf = fs.Path(root + ".parts"), spark._jsc.hadoopConfiguration()
-    system = top.getFileSystem(conf)
-    for d in system.listStatus(top):
-        if d.isDirectory():
-            own = d.getPath().getName().partition("=")[2]
-            system.mkdirs(fs.Path(f"{root}/{own}"))
-            for f in system.listStatus(d.getPath()):
-                part = next(p.getPath() for p in system.listStatus(f.getPath()) if p.getPath().getName().startswith("part-"))
-                system.rename(part, fs.Path(f"{root}/{own}/{f.getPath().getName().partition('=')[2]}"))
-    system.delete(top, True)
-
-
 def decoded(content: Column) -> Column:
     """UTF-8, else Latin-1."""
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
