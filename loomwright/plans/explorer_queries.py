@@ -344,23 +344,29 @@ def routed(s, d):
 
 
 _ASK = "helper run"
+FUNCTION_TEXTS_SQL = f"""WITH d0 AS (SELECT {_M} || '.helper' || {_K} AS id, 'module: ' || {_M} || chr(10) || 'class: ' || chr(10) || {_HELPER} AS text FROM part UNION ALL SELECT {_M} || '.C' || {_K} || '.run', 'module: ' || {_M} || chr(10) || 'class: ' || {_M} || '.C' || {_K} || chr(10) || list_filter([substr({_CLASS}, instr({_CLASS}, '    def run'))], lambda x: true)[1] FROM part),
+d AS (SELECT id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM d0)"""
+
+
+def function_texts(s, d):
+    """id and text, as it is searched, of every function."""
+    e = entities(s, d)
+    functions = E.latest(e, "function").select("id", "module_id", "class_id")
+    docs = functions.join(E.sources(E.latest(e, "function"), modules(s, d)), "id")
+    return docs.select("id", F.concat_ws("\n", F.concat(F.lit("module: "), F.col("module_id")), F.concat(F.lit("class: "), F.coalesce("class_id", F.lit(""))), "source").alias("text"))
 
 
 @query(
     "ret_07",
-    f"""WITH d0 AS (SELECT {_M} || '.helper' || {_K} AS id, 'module: ' || {_M} || chr(10) || 'class: ' || chr(10) || {_HELPER} AS text FROM part UNION ALL SELECT {_M} || '.C' || {_K} || '.run', 'module: ' || {_M} || chr(10) || 'class: ' || {_M} || '.C' || {_K} || chr(10) || list_filter([substr({_CLASS}, instr({_CLASS}, '    def run'))], lambda x: true)[1] FROM part),
-d AS (SELECT id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM d0), q AS (SELECT unnest(['helper', 'run']) AS term), a AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+    FUNCTION_TEXTS_SQL + f""", q AS (SELECT unnest(['helper', 'run']) AS term), a AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
 t AS (SELECT id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM d, q WHERE list_contains(w, term)), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
 b AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM t JOIN f USING (term), a GROUP BY 1),
 r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM b QUALIFY rank <= 10), o AS (SELECT r.id, rank, text, {_outline_sql('text', 40)} AS short FROM r JOIN d USING (id))
 SELECT id, rank, md5(CASE WHEN {_TOKENS.format('text')} > 40 THEN short ELSE text END) AS digest FROM o WHERE {_TOKENS.format('CASE WHEN ' + _TOKENS.format('text') + ' > 40 THEN short ELSE text END')} <= 40""",
 )
 def code_search(s, d):
-    """The words' half of the hybrid search over function sources; results as they are shown."""
-    e = entities(s, d)
-    functions = E.latest(e, "function").select("id", "module_id", "class_id")
-    docs = functions.join(E.sources(E.latest(e, "function"), modules(s, d)), "id")
-    docs = docs.select("id", F.concat_ws("\n", F.concat(F.lit("module: "), F.col("module_id")), F.concat(F.lit("class: "), F.coalesce("class_id", F.lit(""))), "source").alias("text"))
+    """Function sources by words; results as they are shown."""
+    docs = function_texts(s, d)
     found = retrieval.bm25(docs, "id", "text", {0: _ASK}).select("id", "rank").join(docs, "id")
     return views.snippets(found, "text", 40).select("id", "rank", F.md5(F.col("text").cast("binary")).alias("digest"))
 
@@ -542,10 +548,11 @@ def stored_users(s, d):
     path = _folder(s, "users")
     rows = table(s, d, "customer").select("c_custkey", "c_name")
     half = rows.filter("c_custkey % 2 = 0")
-    before = tables.stored(s, path, "c_custkey long, c_name string")
-    tables.append_absent(s, path, half, ["c_custkey"])
+    schema = "c_custkey long, c_name string"
+    # what is stored at first, which is nothing, takes part in the result
+    tables.append_absent(s, path, half.unionByName(tables.stored(s, path, schema)), ["c_custkey"])
     tables.append_absent(s, path, rows, ["c_custkey"])
-    return tables.stored(s, path, "c_custkey long, c_name string").filter(F.lit(before.count() == 0))
+    return tables.stored(s, path, schema)
 
 
 @query("snk_01", f"SELECT 'class' AS kind, count(*)::BIGINT AS n FROM part UNION ALL SELECT 'function', 2 * count(*) FROM part UNION ALL SELECT 'import', 2 * count(*) FROM part")
@@ -566,7 +573,7 @@ def stored_sessions(s, d):
     rows = table(s, d, "conversations").select("conv_id", "turn", "role", "text")
     tables.append_absent(s, path, rows.filter("turn < 2"), ["conv_id", "turn"])
     tables.append_absent(s, path, rows, ["conv_id", "turn"])
-    return s.read.parquet(path).groupBy("conv_id").agg(F.max("turn").alias("last"), F.count(F.lit(1)).alias("n"))
+    return tables.stored(s, path, rows.schema).groupBy("conv_id").agg(F.max("turn").alias("last"), F.count(F.lit(1)).alias("n"))
 
 
 @query("snk_08", "SELECT o_orderkey::VARCHAR AS id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'in_progress' END AS status, CASE WHEN o_orderpriority < '2' THEN 'high' WHEN o_orderpriority < '4' THEN 'medium' ELSE 'low' END AS priority FROM orders")
@@ -577,7 +584,7 @@ def stored_todos(s, d):
     todos = table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("content"), status.alias("status"), priority.alias("priority"))
     sinks.write_todos(todos, path)
     sinks.write_todos(todos, path)
-    return s.read.parquet(path).select("id", "status", "priority")
+    return sinks.todos(s, path).select("id", "status", "priority")
 
 
 @query("snk_12", "SELECT page_id, strftime(TIMESTAMP '2024-02-01 10:30:00', '%Y%m%d_%H%M%S') || '_' || substr(lower(regexp_replace(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_ .-]', '', 'g'), ' +', '_', 'g'), '^[._]+|[._]+$', '', 'g')), 1, 40) AS name FROM pages WHERE html IS NOT NULL")

@@ -144,7 +144,17 @@ def parameter_paths(s, d):
 
 @query("snk_09", "SELECT conv_id, count(*)::BIGINT AS n FROM conversations WHERE conv_id <> 3 GROUP BY 1")
 def deleted_chat(s, d):
-    from ..sources.sinks import without_chat
-
-    rows = without_chat({"messages": table(s, d, "conversations").withColumn("chat_id", F.col("conv_id").cast("string"))}, "3")["messages"]
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    """A chat's messages, displays and index row go in one commit."""
+    import uuid
+
+    from ..session import shared_folder
+    from ..sources import sinks, versions
+
+    path = f"{shared_folder(s).rstrip('/')}/loomwright/chats-{uuid.uuid4().hex}"
+    messages = table(s, d, "conversations").withColumn("chat_id", F.col("conv_id").cast("string"))
+    index = messages.select("chat_id", "conv_id").distinct()
+    store = versions.Store(s, path)
+    store.transact(lambda now: {"messages": versions.Change(messages), "index": versions.Change(index)})
+    sinks.delete_chat(s, path, "3", ["messages", "index"])
+    now = store.snapshot()
+    return now.table("index").join(now.table("messages").groupBy("chat_id").agg(F.count(F.lit(1)).alias("n")), "chat_id", "full_outer").select("conv_id", "n")

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import splitter
+from ..operators import postings, retrieval, splitter, vector_store
 from ..session import shared_folder, table
 from ..sources import tree
+from . import explorer_queries, graph_queries
 
 CATALOG: dict = {}
 
@@ -75,3 +76,64 @@ def scanned_tree(s, d):
     path = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string"), F.lit("/"), F.col("name"))
     tree.write(rows.select(path.alias("path"), "n_name"), "path", "n_name", root)
     return tree.scan(s, root, prune=["r3"]).select("path", "length", F.col("content").cast("string").alias("content"))
+
+
+# ---- persisted indexes ----
+@query("ret_01_stored", graph_queries.CATALOG["ret_01"][1])
+def stored_vector_search(s, d):
+    """The same neighbours from a store to which two batches were appended."""
+    rows = table(s, d, "embeddings").select("vec_id", "embedding")
+    store = vector_store.VectorStore(s, _folder(s, "vectors"), 16)
+    store.append(rows.filter("vec_id % 3 = 0"), "vec_id")
+    store.append(rows.filter("vec_id % 3 != 0"), "vec_id")
+    asked = {r["vec_id"]: r["embedding"] for r in rows.filter("vec_id < 5").collect()}  # five stated queries
+    return store.search(asked, 10, "vec_id").select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("ret_02_stored", graph_queries.CATALOG["ret_02"][1])
+def stored_bm25(s, d):
+    """The same ranks from postings that were built in two segments."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    index = postings.Postings(s, _folder(s, "postings"), 64)
+    index.append(docs.filter("doc_id % 2 = 0"), "doc_id", "text")
+    index.append(docs.filter("doc_id % 2 = 1"), "doc_id", "text")
+    return index.search(graph_queries.QUERIES).select("query", F.col("doc").alias("doc_id"), "score", "rank")
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(text):
+    """A vector that SQL can make as well: how often a text has each letter."""
+    return F.array(*[(F.length(text) - F.length(F.replace(F.lower(text), F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"(len({text}) - len(replace(lower({text}), '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
+
+
+_ASK = "helper run of the class"
+
+
+@query(
+    "ret_07_hybrid",
+    explorer_queries.FUNCTION_TEXTS_SQL + f""", q AS (SELECT unnest({_ASK.split()!r}) AS term), a AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+t AS (SELECT id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM d, q WHERE list_contains(w, term)), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+b AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM t JOIN f USING (term), a GROUP BY 1),
+bm AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 10),
+e AS (SELECT id, {_letters_sql('text')} AS v, {_letters_sql("'" + _ASK + "'")} AS u FROM d),
+ve AS (SELECT id, row_number() OVER (ORDER BY round(list_dot_product(v, u) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(u, u)), 9) DESC, id) AS rank FROM e QUALIFY rank <= 10),
+u AS (SELECT id, 0.6::DOUBLE / (60.0 + rank) AS s FROM ve UNION ALL SELECT id, 0.4::DOUBLE / (60.0 + rank) FROM bm)
+SELECT id, round(sum(s), 9) AS score, row_number() OVER (ORDER BY round(sum(s), 9) DESC, id)::INT AS rank FROM u GROUP BY 1 QUALIFY rank <= 10""",
+)
+def hybrid_code_search(s, d):
+    """Function sources by a stored vector index and stored postings, fused."""
+    docs = explorer_queries.function_texts(s, d)
+    vectors = vector_store.VectorStore(s, _folder(s, "code-vectors"), 16)
+    vectors.append(docs.select("id", letter_counts(F.col("text")).alias("embedding")))
+    index = postings.Postings(s, _folder(s, "code-postings"), 64)
+    index.append(docs, "id", "text")
+    asked = [float(_ASK.count(c)) for c in _LETTERS]
+    near = vectors.search({0: asked}, 10).select("query", "id", "rank")
+    words = index.search({0: _ASK}).select("query", F.col("doc").alias("id"), "rank")
+    return retrieval.fuse([(near, retrieval.WEIGHT), (words, 1 - retrieval.WEIGHT)], "id").select("id", "score", "rank")

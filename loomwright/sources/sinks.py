@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from .versions import Store
+
 # What a todo may be.
 STATUSES, PRIORITIES = ["pending", "in_progress", "completed"], ["low", "medium", "high"]
 
@@ -37,10 +39,14 @@ def save_output(data: DataFrame | str, path: str, spark: SparkSession | None = N
 
 
 def write_todos(todos: DataFrame, path: str) -> None:
-    """Replaces the list; a status or priority that is none fails the write."""
+    """Replaces the list in one commit; a status or priority that is none fails the write and the old list stays."""
     bad = lambda c, known: F.assert_true(F.col(c).isin(known), F.concat(F.lit(f"unknown {c}: "), F.col(c)))
     checked = todos.withColumn("_s", bad("status", STATUSES)).withColumn("_p", bad("priority", PRIORITIES)).filter("_s is null and _p is null")
-    checked.select("id", "content", "status", "priority").write.mode("overwrite").parquet(path)
+    Store(todos.sparkSession, path).replace("todos", checked.select("id", "content", "status", "priority"))
+
+
+def todos(spark: SparkSession, path: str) -> DataFrame:
+    return Store(spark, path).read("todos", "id string, content string, status string, priority string")
 
 
 def without_chat(tables: dict[str, DataFrame], chat: str) -> dict[str, DataFrame]:
@@ -48,6 +54,11 @@ def without_chat(tables: dict[str, DataFrame], chat: str) -> dict[str, DataFrame
     return {name: df.filter(~F.col("chat_id").eqNullSafe(F.lit(chat))) for name, df in tables.items()}
 
 
+def delete_chat(spark: SparkSession, path: str, chat: str, tables: list[str]) -> int:
+    """A chat goes from all tables of a store that have it, or, if the commit fails, from none."""
+    return Store(spark, path).delete({name: F.col("chat_id").eqNullSafe(F.lit(chat)) for name in tables})
+
+
 def append_chunks(chunks: DataFrame, embed, path: str) -> None:
     """Chunks with vectors from an injected embedder, appended to a store."""
     import pandas as pd

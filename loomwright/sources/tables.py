@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import Store
+
+#: The one table of a keyed table's store.
+ROWS = "rows"
+
 
 def csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.options(header="true", inferSchema="true", **options).csv(path)
@@ -24,16 +28,10 @@ def spreadsheet(spark: SparkSession, path: str, sheet: str | int = 0, rows: int
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, empty with the given schema if nothing is there yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def append_absent(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> None:
-    """Insert-if-absent."""
-    there = stored(spark, path, rows.schema)
-    rows.dropDuplicates(keys).join(there.select(*keys), keys, "left_anti").write.mode("append").parquet(path)
+    """The rows of a keyed table in a store of its own, empty with the given schema if nothing is there yet."""
+    return Store(spark, path).read(ROWS, schema)
+
+
+def append_absent(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> int:
+    """Insert-if-absent in one commit: another writer, or a retried task, never makes a key come twice."""
+    return Store(spark, path).insert_absent(ROWS, rows, keys)

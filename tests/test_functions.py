@@ -170,7 +170,7 @@ def test_stored_tables(spark, tmp_path):
     rows = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2")], "name string, hash string")
     tables.append_absent(spark, where, rows, ["name"])
     tables.append_absent(spark, where, spark.createDataFrame([("a", "9"), ("c", "3")], "name string, hash string"), ["name"])
-    assert {tuple(r) for r in spark.read.parquet(where).collect()} == {("a", "1"), ("b", "2"), ("c", "3")}
+    assert {tuple(r) for r in tables.stored(spark, where, rows.schema).collect()} == {("a", "1"), ("b", "2"), ("c", "3")}
 
 
 def test_web_sources(spark):

@@ -34,9 +34,10 @@ def test_entities(spark, tmp_path):
 def test_todos(spark, tmp_path):
     good = spark.createDataFrame([("1", "x", "pending", "low")], "id string, content string, status string, priority string")
     sinks.write_todos(good, f"{tmp_path}/t")
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 1
+    assert sinks.todos(spark, f"{tmp_path}/t").count() == 1 and sinks.todos(spark, f"{tmp_path}/none").count() == 0
     with pytest.raises(Exception, match="unknown status"):
-        sinks.write_todos(good.selectExpr("id", "content", "'lost' as status", "priority"), f"{tmp_path}/t2")
+        sinks.write_todos(good.selectExpr("id", "content", "'lost' as status", "priority"), f"{tmp_path}/t")
+    assert sinks.todos(spark, f"{tmp_path}/t").count() == 1
 
 
 def test_chunk_store(spark, tmp_path):
