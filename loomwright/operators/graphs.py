@@ -118,3 +118,73 @@ def personal_pageranks(nodes: DataFrame, edges: DataFrame, rounds: int = 20, alp
         if k % CUT_EVERY == CUT_EVERY - 1:
             state = _cut(state)
     return state.select("s", "node", "pr")
+
+
+def push(seeds: DataFrame, edges: DataFrame, alpha: float = 0.85, bound: float = 1e-6) -> DataFrame:
+    """s, node, mass, left: forward push of what each seed s puts on nodes (s, node, mass); s may be null.
+
+    In each round what has come to a node becomes its mass, and ``alpha`` of it is passed on along its edges if it exceeds
+    ``bound`` times the out-degree; else it is counted as ``left`` and goes no further.  So rows grow with the edges that carry
+    more than the bound, whatever the graph's size, and what is missing from a seed's mass is at most the sum of its
+    ``left`` * alpha / (1 - alpha).
+    """
+    edges = edges.select("src", "dst")
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
+    weighted = _cut(edges.join(out, "src").select(F.col("src").alias("node"), "dst", "_out"))
+    front = seeds.groupBy("s", "node").agg(F.sum("mass").alias("mass")).withColumn("_k", F.lit(0))
+    parts = []
+    while True:
+        rounds, last = [front], front
+        for k in range(1, CUT_EVERY + 1):
+            passed = last.join(weighted, "node").filter(F.col("mass") > F.lit(bound) * F.col("_out"))
+            last = passed.groupBy("s", F.col("dst").alias("node")).agg(F.sum(F.lit(alpha) * F.col("mass") / F.col("_out")).alias("mass")).withColumn("_k", F.lit(k))
+            rounds.append(last)
+        together = rounds[0]
+        for r in rounds[1:]:
+            together = together.unionByName(r)
+        together = _cut(together)
+        parts.append(together.filter(F.col("_k") < CUT_EVERY))
+        front = together.filter(F.col("_k") == CUT_EVERY).withColumn("_k", F.lit(0))
+        if front.isEmpty():
+            break
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    stays = (F.col("_out") > 0) & (F.col("mass") <= F.lit(bound) * F.col("_out"))
+    every = every.join(out.select(F.col("src").alias("node"), "_out"), "node", "left")
+    return every.groupBy("s", "node").agg(F.sum("mass").alias("mass"), F.coalesce(F.sum(F.when(stays, F.col("mass"))), F.lit(0.0)).alias("left"))
+
+
+def pushed_pageranks(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, weight: float = 2.0, bound: float = 1e-6) -> DataFrame:
+    """s, node, pr of the nodes near each seed s (all nodes by default): the PageRank whose teleport goes to s with ``weight``
+    and to the others with 1, dangling nodes included.
+
+    Up to scale it is a sum of one vector for all seeds, the series of the uniform teleport, and ``weight`` - 1 times the
+    series of s alone, which is found by :func:`push`; nodes that the push from s does not reach differ by scale from the
+    common vector and are left out.  So the state grows with the edges that are touched, not with nodes times seeds.
+    """
+    n = nodes.count()
+    if not n:
+        return nodes.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("pr"))
+    starts = (seeds if seeds is not None else nodes).select(F.col("node").alias("s"), "node", F.lit(weight - 1).alias("mass"))
+    uniform = nodes.select(F.lit(None).cast(starts.schema["s"].dataType).alias("s"), "node", F.lit(1.0).alias("mass"))
+    every = _cut(push(starts.unionByName(uniform), edges, alpha, bound))
+    common, own = every.filter("s is null").select("node", F.col("mass").alias("_c")), every.filter("s is not null")
+    whole = common.agg(F.sum("_c").alias("_whole"))
+    sums = own.groupBy("s").agg(F.sum("mass").alias("_sum"))
+    rows = own.join(common, "node").join(sums, "s").join(F.broadcast(whole))  # one row
+    return rows.select("s", "node", ((F.col("_c") + F.col("mass")) / (F.col("_whole") + F.col("_sum"))).alias("pr"))
+
+
+def pivots(nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """k nodes by the least digests of the seed and the node; all if there are no more."""
+    return nodes.select("node").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("node").cast("string")).cast("binary")), "node").limit(k)
+
+
+def sampled_betweenness(nodes: DataFrame, edges: DataFrame, k: int = 20, seed: int = 0) -> DataFrame:
+    """node, betweenness from min(k, n) seeded pivots, scaled to all sources; the state has pivots x nodes rows at most.
+    With k of n or more it is exact."""
+    n = nodes.count()
+    some = nodes if k >= n else _cut(pivots(nodes, k, seed))
+    out = betweenness(nodes, edges, some)
+    return out.select("node", (F.col("betweenness") * F.lit(n / max(1, min(k, n)))).alias("betweenness"))

@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import postings, retrieval, splitter, vector_store
+from ..operators import graphs, packing, postings, retrieval, splitter, vector_store
 from ..session import shared_folder, table
 from ..sources import tree
 from . import explorer_queries, graph_queries
+from .graph_queries import TRADE
 
 CATALOG: dict = {}
 
@@ -137,3 +138,40 @@ def hybrid_code_search(s, d):
     near = vectors.search({0: asked}, 10).select("query", "id", "rank")
     words = index.search({0: _ASK}).select("query", F.col("doc").alias("id"), "rank")
     return retrieval.fuse([(near, retrieval.WEIGHT), (words, 1 - retrieval.WEIGHT)], "id").select("id", "score", "rank")
+
+
+# ---- packing ----
+@query(
+    "win_04_group",
+    """WITH RECURSIVE o AS (SELECT conv_id, turn, len(coalesce(text, '')) AS n, row_number() OVER (ORDER BY conv_id, turn) AS k FROM conversations),
+r AS (SELECT conv_id, turn, n, k, 0 AS bin, n AS used FROM o WHERE k = 1
+ UNION ALL SELECT o.conv_id, o.turn, o.n, o.k, CASE WHEN r.used > 0 AND r.used + o.n > 1000 THEN r.bin + 1 ELSE r.bin END, CASE WHEN r.used > 0 AND r.used + o.n > 1000 THEN o.n ELSE r.used + o.n END FROM r JOIN o ON o.k = r.k + 1)
+SELECT conv_id, turn, bin FROM r""",
+)
+def one_group_packed(s, d):
+    """All turns as one group, packed in order."""
+    rows = table(s, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"), F.lit("all").alias("g"))
+    return packing.next_fit(rows, "g", ["conv_id", "turn"], "n", 1000).select("conv_id", "turn", "bin")
+
+
+# ---- graph scores at size ----
+_PUSHED = f"""WITH RECURSIVE {TRADE}, o AS (SELECT src, count(*) AS k FROM e GROUP BY 1),
+w AS (SELECT node AS s, node, 1.0::DOUBLE AS m, 0 AS k FROM n UNION ALL SELECT s, dst, sum(0.85::DOUBLE * m / o.k), w.k + 1 FROM w JOIN e ON node = e.src JOIN o ON o.src = e.src WHERE w.k < 120 GROUP BY s, dst, w.k + 1),
+v AS (SELECT s, node, sum(m) AS v FROM w GROUP BY 1, 2), u AS (SELECT node, sum(v) AS u FROM v GROUP BY 1)"""
+
+
+@query("grf_01_push", f"{_PUSHED} SELECT v.s, v.node, round((u + v) / ((SELECT sum(u) FROM u) + (SELECT sum(v) FROM v x WHERE x.s = v.s)), 3) AS pr FROM v JOIN u USING (node)")
+def pushed_scores(s, d):
+    """Personalised PageRank of every nation and what its push reaches, to three digits."""
+    pr = graphs.pushed_pageranks(graph_queries.nations(s, d), graph_queries.trade(s, d), bound=1e-7)
+    return pr.select("s", "node", F.round("pr", 3).alias("pr"))
+
+
+@query(
+    "grf_03_sampled",
+    f"""WITH {TRADE}, {explorer_queries._PATHS.replace('WHERE a.d + b.d', 'WHERE a.s IN (SELECT node FROM n ORDER BY md5(chr(48) || chr(58) || node), node LIMIT 10) AND a.d + b.d')}
+SELECT node, round(coalesce(btw, 0) * (SELECT count(*) FROM n) / 10.0, 6) AS betweenness FROM n LEFT JOIN bt USING (node)""",
+)
+def sampled_betweenness(s, d):
+    """Betweenness from ten seeded pivots."""
+    return graphs.sampled_betweenness(graph_queries.nations(s, d), graph_queries.trade(s, d), 10).select("node", F.round("betweenness", 6).alias("betweenness"))
