@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import ast
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,23 +13,78 @@ from pyspark.sql import functions as F
 # Fences and pairs in replies.
 FENCES, PAIRS = r"```(?:json|python)?\s*", r"[\"']?(\w+)[\"']?\s*:\s*([^,}\n]+)"
 
+#: Names of literals, and escapes in their strings, as JSON has them.
+NAMES = {"True": "true", "False": "false", "None": "null"}
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "0": "\0", "\n": ""}
+OPENING, CLOSING = {"(": "["}, {")": "]"}
+TOKEN = re.compile(r"""(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<mark>[][(){},:])|(?P<atom>[^]\s[(){},:"']+)|\s+""", re.S)
 
-def _value(raw: str):
+
+class NotALiteral(ValueError):
+    pass
+
+
+def _unquoted(token: str) -> str:
+    def plain(m: re.Match) -> str:
+        code = m[1] or m[2] or m[3]
+        return chr(int(code, 16)) if code else ESCAPES.get(m[4], m[4])
+
+    return re.sub(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|(.))", plain, token[1:-1], flags=re.S)
+
+
+def _atom(word: str) -> str:
+    """A name or number as JSON."""
+    if word in NAMES:
+        return NAMES[word]
+    for kind in (int, float):
+        try:
+            return json.dumps(kind(word))
+        except ValueError:
+            continue
+    raise NotALiteral(word)
+
+
+def _tokens(text: str) -> Iterator[tuple[str, str]]:
+    at = 0
+    while at < len(text):
+        m = TOKEN.match(text, at)
+        if not m:
+            raise NotALiteral(text[at : at + 20])
+        at = m.end()
+        if m.lastgroup:
+            yield m.lastgroup, m[0]
+
+
+def literal_as_json(text: str) -> str:
+    """A literal of strings, numbers, names, lists, tuples and dictionaries as JSON text; trailing commas go, keys become
+    text."""
+    found, out = [*_tokens(text), ("end", "")], []
+    for (kind, token), (_, after) in zip(found, found[1:]):
+        if kind == "text":
+            out.append(json.dumps(_unquoted(token)))
+        elif kind == "atom":
+            out.append(json.dumps(token) if after == ":" else _atom(token))
+        elif not (token == "," and after in ("]", "}", ")")):
+            out.append(OPENING.get(token) or CLOSING.get(token) or token)
+    return " ".join(out)
+
+
+def _pair_value(raw: str):
     try:
-        return ast.literal_eval(raw)
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return json.loads(literal_as_json(raw))
+    except ValueError:
         return raw.strip("\"'")
 
 
 def reply(text: str | None):
     """The value that a reply holds; pairs as a dictionary where it is neither JSON nor a literal."""
-    text = re.sub(FENCES, "", text or "").strip("`")
-    for read in (json.loads, ast.literal_eval):
+    bare = re.sub(FENCES, "", text or "").strip("`")
+    for form in (str, literal_as_json):
         try:
-            return read(text)
-        except (SyntaxError, ValueError, MemoryError, RecursionError):
-            continue
-    return {key: _value(value) for key, value in re.findall(PAIRS, text)}
+            return json.loads(form(bare))
+        except (ValueError, RecursionError):
+            pass
+    return {m[1]: _pair_value(m[2]) for m in re.finditer(PAIRS, bare)}
 
 
 def replies(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def top_k(scored: DataFrame, group: str, score: str, item: str, k: int) -> DataF
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10, cosine: bool = True) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10, cosine: bool = True, digits: int | None = None) -> DataFrame:
     """query, vec_id, score, rank for a few stated query vectors, kept as literals: one scan, no join."""
     norm = lambda v: F.sqrt(dot(v, v))
     each = []
@@ -27,6 +29,8 @@ def vector_top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k:
         s = dot(F.col("embedding"), lit)
         each.append(F.struct(F.lit(q).cast("long").alias("query"), (s / (norm(F.col("embedding")) * norm(lit)) if cosine else s).alias("score")))
     scored = vectors.select("vec_id", F.explode(F.array(*each)).alias("e")).select(F.col("e.query").alias("query"), "vec_id", F.col("e.score").alias("score"))
+    if digits is not None:  # scores that agree to so many digits are ties
+        scored = scored.withColumn("score", F.round("score", digits))
     return top_k(scored, "query", "score", "vec_id", k)
 
 
@@ -72,6 +76,36 @@ def branch(weight: Column) -> Column:
     return F.when(weight < 1, "hybrid").otherwise("vector")
 
 
+@dataclass
+class Question:
+    """A stated question: a vector, words, and how much the vectors count."""
+
+    query: int
+    vector: list[float]
+    words: str
+    weight: float = WEIGHT
+
+
+def answer(vectors: DataFrame, docs: DataFrame, questions: list[Question], k: int, doc: str, text: str) -> DataFrame:
+    """query, branch, item, score, rank: questions of weight 1 by vectors alone, scored by cosine; the others by vectors and
+    words, fused by rank.  A search runs only if a question needs it; vectors and documents share their ids."""
+    if not questions:
+        return docs.sparkSession.createDataFrame([], "query long, branch string, item long, score double, rank int")
+    near = vector_top_k(vectors, [(q.query, q.vector) for q in questions], k, digits=9).select("query", F.col("vec_id").alias("item"), "score", "rank")
+    alone, mixed = [q for q in questions if q.weight >= 1], [q for q in questions if q.weight < 1]
+    out = [near.filter(F.col("query").isin([q.query for q in alone])).withColumn("branch", F.lit("vector"))] if alone else []
+    if mixed:
+        words = bm25(docs, doc, text, {q.query: q.words for q in mixed}, k).select("query", F.col(doc).alias("item"), "rank")
+        share = F.element_at(F.create_map(*[F.lit(x) for q in mixed for x in (q.query, q.weight)]), F.col("query").cast("int"))
+        part = lambda rows, weight: rows.filter(F.col("query").isin([q.query for q in mixed])).select("query", "item", (weight / (F.lit(float(FUSION)) + F.col("rank"))).alias("s"))
+        both = part(near, share).unionByName(part(words, 1 - share)).groupBy("query", "item").agg(F.round(F.sum("s"), 9).alias("score"))
+        out.append(top_k(both, "query", "score", "item", k).withColumn("branch", F.lit("hybrid")))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every.select("query", "branch", "item", "score", "rank")
+
+
 def by_relevance(rows: DataFrame, group: str, score: str, item: str, k: int) -> DataFrame:
     """The k best of each group, with ``confidence``, the score as a share of the group's best."""
     best = F.max(score).over(Window.partitionBy(group))

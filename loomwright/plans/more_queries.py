@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import messages as M
-from ..operators import profiling, retrieval
+from ..operators import profiling, retrieval, splitter
 from ..session import table
 from .graph_queries import QUERIES
 from .message_queries import C, histories
+from .store_queries import split_sql
 
 CATALOG: dict = {}
 
@@ -116,11 +117,13 @@ def two_stage(s, d):
     return retrieval.bm25(docs, "doc_id", "text", {0: QUERIES[0]}).select("doc_id", "score")
 
 
-@query("ret_05", "WITH c AS (SELECT page_id, 'chunk' AS kind, i AS pos FROM (SELECT page_id, html, unnest(range(0, greatest(1, ceil((len(html) - 200) / 1800.0))::INT)) AS i FROM pages WHERE len(html) > 0)), s AS (SELECT page_id, 'snippet' AS kind, 0 AS pos FROM pages) SELECT page_id, kind, pos::BIGINT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS r FROM c) WHERE r <= 3 UNION ALL SELECT page_id, kind, pos::BIGINT FROM s")
+@query("ret_05", f"{split_sql('pages', 'page_id', 'html', 2000, 200)} SELECT page_id, 'chunk' AS kind, chunk_pos AS pos, md5(chunk) AS digest FROM chunks UNION ALL SELECT page_id, 'snippet', 0, md5(url) FROM pages")
 def chunks_and_snippets(s, d):
-    pages = table(s, d, "pages").select("page_id", "html")
-    each = retrieval.chunks(pages, ["page_id"], "html", 2000, 200).select("page_id", F.lit("chunk").alias("kind"), F.col("chunk_pos").cast("long").alias("pos"))
-    return each.filter("pos < 3").unionByName(pages.select("page_id", F.lit("snippet").alias("kind"), F.lit(0).cast("long").alias("pos")))
+    """All chunks of whole pages, and a snippet for each page."""
+    pages = table(s, d, "pages").select("page_id", "html", "url")
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias("digest")
+    each = splitter.recursive_chunks(pages, ["page_id"], "html", 2000, 200).select("page_id", F.lit("chunk").alias("kind"), F.col("chunk_pos").cast("long").alias("pos"), digest("chunk"))
+    return each.unionByName(pages.select("page_id", F.lit("snippet").alias("kind"), F.lit(0).cast("long").alias("pos"), digest("url")))
 
 
 @query("str_05", "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS text FROM conversations GROUP BY 1")

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import tokens
 from ..operators import graphs, packing, postings, retrieval, splitter, vector_store
 from ..session import shared_folder, table
-from ..sources import tree
+from ..sources import tree, web
+from ..streaming import crawl
 from . import explorer_queries, graph_queries
 from .graph_queries import TRADE
 
@@ -175,3 +177,37 @@ SELECT node, round(coalesce(btw, 0) * (SELECT count(*) FROM n) / 10.0, 6) AS bet
 def sampled_betweenness(s, d):
     """Betweenness from ten seeded pivots."""
     return graphs.sampled_betweenness(graph_queries.nations(s, d), graph_queries.trade(s, d), 10).select("node", F.round("betweenness", 6).alias("betweenness"))
+
+
+# ---- crawling ----
+@query(
+    "str_06_rounds",
+    f"""WITH RECURSIVE {TRADE}, c AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e WHERE (src + dst) % 3 <> 0),
+b AS (SELECT src, dst FROM c UNION SELECT dst, src FROM c), w AS (SELECT 0 AS node, 0 AS round UNION SELECT dst, round + 1 FROM w JOIN b ON node = src WHERE round < 6),
+f AS (SELECT node, min(round) AS round FROM w GROUP BY 1)
+SELECT 'http://trade.example/n' || f.node AS url, f.round, (SELECT min('http://trade.example/n' || p.node) FROM f p JOIN b ON b.src = p.node AND b.dst = f.node WHERE p.round = f.round - 1) AS parent FROM f""",
+)
+def crawled_rounds(s, d):
+    """Pages made of the trade between nations, crawled from the first one by their links."""
+    pairs = graph_queries.trade(s, d).filter("(src + dst) % 3 != 0")
+    pairs = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src != dst").distinct()
+    url = lambda c: F.concat(F.lit("http://trade.example/n"), F.col(c).cast("string"))
+    anchor = F.concat(F.lit('<p><a href="'), url("dst"), F.lit('/#top">a nation</a></p>'))
+    pages = pairs.select(url("src").alias("page"), anchor.alias("a")).groupBy("page").agg(F.array_join(F.sort_array(F.collect_list("a")), "\n").alias("html"))
+
+    def links(front):
+        return web.scraped(pages.join(front, F.col("page") == F.col("url")), "html", ["page"]).select(F.col("page").alias("parent"), F.col("link").alias("url"))
+
+    return crawl.crawl(s, _folder(s, "crawl"), s.range(1).select(F.lit("http://trade.example/n0/").alias("url")), links, 6).select("url", "round", "parent")
+
+
+# ---- tokens ----
+def bpe_counts(s, d):
+    """Tokens of whole documents by a public vocabulary."""
+    import public_tokenizers
+
+    count = tokens.counter(s, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return table(s, d, "documents").select("doc_id", count(F.col("text")).cast("long").alias("n_tokens"))
+
+
+CATALOG["txt_12_bpe"] = (bpe_counts, None)
