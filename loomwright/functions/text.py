@@ -164,7 +164,9 @@ def token_estimate(text: Column) -> Column:
 
 
 def response_format(fields: Column) -> Column:
-    """JSON text of a strict response format from array<struct<name, type, description>>: every field required, no others."""
-    properties = F.map_from_entries(F.transform(fields, lambda f: F.struct(f["name"], F.struct(f["type"].alias("type"), f["description"].alias("description")))))
+    """JSON text of a strict response format from array<struct<name, type, description, items>>: every field required, no
+    others.  ``items`` is the JSON text of what an array holds, of any depth; it is null, and counts for arrays alone."""
+    each = lambda f: F.struct(f["type"].alias("type"), f["description"].alias("description"), F.when(f["type"] == "array", F.parse_json(f["items"])).alias("items"))
+    properties = F.map_from_entries(F.transform(fields, lambda f: F.struct(f["name"], each(f))))
     schema = F.struct(F.lit("object").alias("type"), properties.alias("properties"), F.transform(fields, lambda f: f["name"]).alias("required"), F.lit(False).alias("additionalProperties"))
     return F.to_json(F.struct(F.lit("json_schema").alias("type"), F.struct(F.lit("response_jsons").alias("name"), F.lit(True).alias("strict"), schema.alias("schema")).alias("json_schema")))

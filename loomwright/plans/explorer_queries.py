@@ -472,7 +472,7 @@ def judged_documents(s, d):
     def judge(texts: list[str]) -> list[str]:
         if any(t.partition(":")[0].endswith("0") for t in texts):
             raise TimeoutError("no reply")
-        return ["I cannot say" if t.partition(":")[0].endswith("5") else t for t in map(counted, texts)]
+        return ["I cannot say" if t.partition(":")[0].endswith("5") else counted(t) for t in texts]
 
     def counted(t: str) -> str:
         size = len(t.partition(":")[2])
@@ -511,28 +511,36 @@ def betweenness(s, d):
     return graphs.betweenness(nations(s, d), trade(s, d)).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
-_USAGE = "least(i / 5.0, 1.0) + 0.5 * least(o / 10.0, 1.0) + 0.5 * least(0 / 10.0, 1.0)"
+_USAGE = "least(i / 5.0, 1.0) + 0.5 * least(fc / 10.0, 1.0) + 0.5 * least(cc / 10.0, 1.0)"
+#: A module of each nation: as many branches as its key says, a definition as deep as its region says.
+_MODULE = "repeat('if a:' || chr(10), n_nationkey) || repeat('    ', n_regionkey) || 'def f():'"
 
 
 @query(
     "grf_04_05",
     f"""{_personal_sql()}, {_PATHS},
-g0 AS (SELECT n.node, (SELECT count(*) FROM e WHERE dst = n.node) AS i, (SELECT count(*) FROM e WHERE src = n.node) AS o, least(10 * r.pr, 1.0) AS pr, coalesce(btw, 0) AS btw FROM n JOIN r{ROUNDS} r ON r.s = n.node AND r.node = n.node LEFT JOIN bt ON bt.node = n.node),
+g0 AS (SELECT n.node, (SELECT count(*) FROM e WHERE dst = n.node) AS i, (SELECT count(*) FROM e WHERE src = n.node) AS o, least(10 * r.pr, 1.0) AS pr, coalesce(btw, 0) AS btw,
+ (SELECT count(*) FROM supplier WHERE s_nationkey = n.node) AS fc, (SELECT count(*) FROM customer WHERE c_nationkey = n.node AND c_acctbal < 0) AS cc FROM n JOIN r{ROUNDS} r ON r.s = n.node AND r.node = n.node LEFT JOIN bt ON bt.node = n.node),
 h0 AS (SELECT c_nationkey AS node, count(*) AS commits, avg(c_acctbal) AS days FROM customer GROUP BY 1),
 p0 AS (SELECT node, least((0.5 * least(i / 5.0, 1.0) + 0.2 * least(o / 10.0, 1.0) + 0.6 * pr + 0.4 * least(10 * btw, 1.0)) / 1.7 + CASE WHEN i > 2 AND o <= 1 THEN 0.3 WHEN i > 2 AND o > 2 THEN 0.2 ELSE 0.0 END, 1.0) AS refs, {_USAGE} AS usage,
- CASE WHEN n_name IN ('CHINA', 'JAPAN') THEN 0.5 ELSE 0.0 END AS semantic, 0.7 * least(commits / 20.0, 1.0) + 0.3 * greatest(0.0, 1.0 - days / 365.0) AS git FROM g0 JOIN nation ON n_nationkey = node JOIN h0 USING (node))
-SELECT node, round(refs, 5) AS refs, round(usage, 5) AS usage, round(git::DOUBLE, 5) AS git, round(least(2.0 * usage + 3.0 * refs + 0.5 * semantic + 4.0 * git, 10.0), 5) AS importance FROM p0""",
+ CASE WHEN n_name IN ('CHINA', 'JAPAN') THEN 0.5 ELSE 0.0 END AS semantic, least(n_nationkey / 50.0, 1.0) + 0.3 * least(n_regionkey / 5.0, 1.0) AS complexity, 0.7 * least(commits / 20.0, 1.0) + 0.3 * greatest(0.0, 1.0 - days / 365.0) AS git FROM g0 JOIN nation ON n_nationkey = node JOIN h0 USING (node))
+SELECT node, round(refs, 5) AS refs, round(usage, 5) AS usage, round(git::DOUBLE, 5) AS git, round(complexity::DOUBLE, 5) AS complexity, round(least(2.0 * usage + 3.0 * refs + 1.0 * complexity + 0.5 * semantic + 4.0 * git, 10.0), 5) AS importance FROM p0""",
 )
 def importance(s, d):
-    """The module score from its parts: usage, references (degrees, personalised PageRank, betweenness), names, history."""
+    """The module score from all its parts: usage (imports, calls of functions and of classes), references (degrees,
+    personalised PageRank, betweenness), complexity, names, history."""
     n, e = nations(s, d), trade(s, d)
     pr = graphs.personal_pageranks(n, e, ROUNDS, ALPHA).filter("s = node").select("node", F.least(F.col("pr") * 10, F.lit(1.0)).alias("pr"))
     rows = graphs.degrees(n, e).join(pr, "node").join(graphs.betweenness(n, e), "node")
-    names = table(s, d, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_name").isin("CHINA", "JAPAN"), 0.5).otherwise(0.0).alias("semantic"))
+    names = table(s, d, "nation").select(
+        F.col("n_nationkey").alias("node"), F.when(F.col("n_name").isin("CHINA", "JAPAN"), 0.5).otherwise(0.0).alias("semantic"), scoring.complexity(F.expr(_MODULE.replace("chr(10)", "'\\n'"))).alias("complexity")
+    )
+    calls = lambda rows, key, name: rows.groupBy(F.col(key).alias("node")).agg(F.count(F.lit(1)).alias(name))
+    rows = rows.join(calls(table(s, d, "supplier"), "s_nationkey", "fc"), "node", "left").join(calls(table(s, d, "customer").filter("c_acctbal < 0"), "c_nationkey", "cc"), "node", "left").fillna(0, ["fc", "cc"])
     past = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.count(F.lit(1)).alias("commits"), F.avg("c_acctbal").alias("days"))
-    rows = rows.join(names, "node").join(past, "node").select("node", scoring.reference_score(F.col("in_deg"), F.col("out_deg"), F.col("pr"), F.col("betweenness")).alias("refs"), scoring.usage(F.col("in_deg"), F.col("out_deg"), F.lit(0)).alias("usage"), "semantic", scoring.history(F.col("commits"), F.col("days")).alias("git"))
-    total = scoring.importance(usage=F.col("usage"), refs=F.col("refs"), semantic=F.col("semantic"), git=F.col("git"))
-    return rows.select("node", F.round("refs", 5).alias("refs"), F.round("usage", 5).alias("usage"), F.round("git", 5).alias("git"), F.round(total, 5).alias("importance"))
+    rows = rows.join(names, "node").join(past, "node").select("node", scoring.reference_score(F.col("in_deg"), F.col("out_deg"), F.col("pr"), F.col("betweenness")).alias("refs"), scoring.usage(F.col("in_deg"), F.col("fc"), F.col("cc")).alias("usage"), "complexity", "semantic", scoring.history(F.col("commits"), F.col("days")).alias("git"))
+    total = scoring.importance(usage=F.col("usage"), refs=F.col("refs"), complexity=F.col("complexity"), semantic=F.col("semantic"), git=F.col("git"))
+    return rows.select("node", F.round("refs", 5).alias("refs"), F.round("usage", 5).alias("usage"), F.round("git", 5).alias("git"), F.round("complexity", 5).alias("complexity"), F.round(total, 5).alias("importance"))
 
 
 @query("dtm_04", "SELECT doc_id, round(least(n_chars / 5000.0, 1.0) * 0.7, 6) AS share FROM documents")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import tokens
 from ..operators import graphs, packing, postings, retrieval, splitter, vector_store
 from ..session import shared_folder, table
-from ..sources import tree, web
-from ..streaming import crawl
+from ..sources import files, sinks, tables, tree, web
+from ..streaming import crawl, sessions
 from . import explorer_queries, graph_queries
 from .graph_queries import TRADE
 
@@ -211,3 +211,112 @@ def bpe_counts(s, d):
 
 
 CATALOG["txt_12_bpe"] = (bpe_counts, None)
+
+
+# ---- sources and sinks ----
+@query("src_04", "SELECT doc_id, md5('a = ' || doc_id || chr(10) || 'b = 1' || chr(10) || chr(10) || 'print(' || n_chars || ')') AS code FROM documents")
+def notebook_cells(s, d):
+    """A notebook of each document: sources as lists and as texts, prose left out."""
+    cell = lambda kind, source: F.concat(F.lit('{"cell_type":"' + kind + '","source":'), source, F.lit("}"))
+    first = cell("code", F.concat(F.lit('["a = '), F.col("doc_id").cast("string"), F.lit('\\n","b = 1"]')))
+    last = cell("code", F.concat(F.lit('"print('), F.col("n_chars").cast("string"), F.lit(')"')))
+    book = F.concat(F.lit('{"cells":['), F.concat_ws(",", first, cell("markdown", F.lit('"some prose"')), last), F.lit("]}"))
+    return table(s, d, "documents").select("doc_id", F.md5(files.notebook_code(book).cast("binary")).alias("code"))
+
+
+@query("src_18", "SELECT n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.utf8' ELSE '.latin' END AS path, 'café ' || n_name AS content FROM nation")
+def texts_of_two_encodings(s, d):
+    root = _folder(s, "encodings")
+    text, even = F.concat(F.lit("café "), F.col("n_name")), F.col("n_nationkey") % 2 == 0
+    path = F.concat(F.col("n_nationkey").cast("string"), F.when(even, ".utf8").otherwise(".latin"))
+    rows = table(s, d, "nation").select(path.alias("path"), F.when(even, F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1")).alias("content"))
+    tree.write(rows, "path", "content", root)
+    return files.texts(tree.scan(s, root)).select("path", "content")
+
+
+def _engine(question: str, most: int) -> list[dict]:
+    """Stands for a search engine: every third result has no title."""
+    return [{"title": None if k % 3 == 2 else f"{question} {k}", "snippet": f"about {question}", "link": f"http://e.example/{question}/{k}"} for k in range(most + 2)]
+
+
+def _page(link: str) -> str:
+    """Stands for the network: pages of result 1 cannot be had."""
+    if link.endswith("/1"):
+        raise TimeoutError(link)
+    return f"<p>the page of {link.split('/')[3]} in full</p>"
+
+
+_RESULTS = "SELECT n_name AS query, n_name || ' ' || k AS title, 'about ' || n_name AS snippet, 'http://e.example/' || n_name || '/' || k AS link, k FROM nation, (SELECT unnest(range(0, 6)) AS k) WHERE k % 3 <> 2"
+
+
+@query("src_10", f"SELECT query, title, snippet, link FROM ({_RESULTS})")
+def searched(s, d):
+    return web.search(table(s, d, "nation").select(F.col("n_name").alias("query")), _engine, 6)
+
+
+@query("src_20", f"SELECT link, CASE WHEN k = 1 THEN '' ELSE 'the page of ' || query || ' in full' END AS page FROM ({_RESULTS})")
+def enriched(s, d):
+    """Results with their pages; a page that cannot be had is empty and its row stays."""
+    found = web.search(table(s, d, "nation").select(F.col("n_name").alias("query")), _engine, 6)
+    return web.fetched(found, "link", _page).select("link", F.col("content").alias("page"))
+
+
+@query("snk_03", "SELECT n_nationkey, n_name FROM nation")
+def saved_output(s, d):
+    path = _folder(s, "output") + ".csv"
+    sinks.save_output(table(s, d, "nation").select("n_nationkey", "n_name"), path)
+    return tables.csv(s, path)
+
+
+@query("snk_06", "SELECT s_nationkey::BIGINT AS task, s_name AS repo, rank FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_name)::BIGINT AS rank FROM supplier) WHERE rank <= 5")
+def saved_rankings(s, d):
+    """The five best of each task, a folder a task."""
+    path = _folder(s, "rankings")
+    best = retrieval.top_k(table(s, d, "supplier").select(F.col("s_nationkey").cast("long").alias("task"), F.col("s_name").alias("repo"), "s_acctbal"), "task", "s_acctbal", "repo", 5)
+    sinks.save_json(best.select("task", "repo", "rank"), path, "task")
+    return s.read.schema("repo string, rank long, task long").json(path)
+
+
+@query("snk_02", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def saved_json(s, d):
+    path = _folder(s, "saved")
+    sinks.save_json(table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name"), path)
+    return s.read.schema("n_nationkey long, n_name string").json(path)
+
+
+# ---- streams ----
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _run(s, rows, stream):
+    """What a stream over the rows, as files that arrive, has put out when all were read."""
+    source, out, seen = _folder(s, "arriving"), _folder(s, "streamed"), _folder(s, "progress")
+    rows.repartition(3, "conv_id").write.parquet(source)
+    before = s.conf.get(_PROVIDER)
+    s.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        read = stream(sessions.new_files(s, source, rows.schema))
+        read.writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(_PROVIDER, before)
+    return s.read.schema(read.schema).parquet(out)
+
+
+@query("str_02", "SELECT conv_id, turn, text FROM (SELECT conv_id, turn, 't' || turn // 2 AS text, lag('t' || turn // 2) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS DISTINCT FROM text")
+def streamed_messages(s, d):
+    """Messages that equal the one before go, by the state of their conversation."""
+    rows = table(s, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.concat(F.lit("t"), F.expr("turn div 2").cast("string")).alias("text"))
+    return _run(s, rows, sessions.without_repeats)
+
+
+@query(
+    "str_04",
+    """WITH RECURSIVE o AS (SELECT conv_id, turn, len(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+r AS (SELECT conv_id, turn, k, CASE WHEN n > 150 THEN 0 ELSE n END AS used, (n > 150)::INT AS restarts, n > 150 AS restarted FROM o WHERE k = 1
+ UNION ALL SELECT o.conv_id, o.turn, o.k, CASE WHEN used + n > 150 AND restarts < 2 THEN 0 ELSE used + n END, CASE WHEN used + n > 150 AND restarts < 2 THEN restarts + 1 ELSE restarts END, used + n > 150 AND restarts < 2 FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1)
+SELECT conv_id, turn, used::BIGINT AS used, restarts::INT AS restarts, restarted FROM r""",
+)
+def streamed_overflow(s, d):
+    """Conversations start anew when they outgrow their budget, twice at most."""
+    rows = table(s, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.length("text").cast("long").alias("tokens"))
+    return _run(s, rows, lambda r: sessions.overflow(r, 150, 2))

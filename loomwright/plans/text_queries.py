@@ -138,11 +138,15 @@ def labels(s, d):
 
 @query(
     "txt_10",
-    """SELECT n_nationkey, '{"type":"json_schema","json_schema":{"name":"response_jsons","strict":true,"schema":{"type":"object","properties":{"name":{"type":"string","description":"like ' || n_name || '"},"rank":{"type":"integer","description":"of ' || n_regionkey || '"}},"required":["name","rank"],"additionalProperties":false}}}' AS doc FROM nation""",
+    """SELECT n_nationkey, '{"type":"json_schema","json_schema":{"name":"response_jsons","strict":true,"schema":{"type":"object","properties":{"name":{"type":"string","description":"like ' || n_name || '"},"rank":{"type":"integer","description":"of ' || n_regionkey || '"},"steps":{"type":"array","description":"in order","items":{"properties":{"at":{"type":"integer"},"parts":{"items":{"type":"string"},"type":"array"}},"type":"object"}}},"required":["name","rank","steps"],"additionalProperties":false}}}' AS doc FROM nation""",
 )
 def response_formats(s, d):
-    field = lambda name, kind, about: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), about.alias("description"))
-    fields = F.array(field("name", "string", F.concat(F.lit("like "), F.col("n_name"))), field("rank", "integer", F.concat(F.lit("of "), F.col("n_regionkey").cast("string"))))
+    """A format with a nested list of objects."""
+    field = lambda name, kind, about, items=None: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), about.alias("description"), F.lit(items).cast("string").alias("items"))
+    nested = '{"type":"object","properties":{"at":{"type":"integer"},"parts":{"type":"array","items":{"type":"string"}}}}'
+    fields = F.array(
+        field("name", "string", F.concat(F.lit("like "), F.col("n_name"))), field("rank", "integer", F.concat(F.lit("of "), F.col("n_regionkey").cast("string")), nested), field("steps", "array", F.lit("in order"), nested)
+    )
     return table(s, d, "nation").select("n_nationkey", T.response_format(fields).alias("doc"))
 
 
