@@ -7,8 +7,10 @@ ever gathered, only that of one file, folder or conversation.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ ERROR_NAMES = {
     "syntax_error_in_package": "Syntax Error in Package", "import_error_in_package": "Package Import Error", "dependency_error": "Dependency Error",
     "dll_load_error": "DLL Load Error", "permission_error": "Permission Error", "pkg_resources_error": "Resource Distribution Error", "incompatible_version": "Incompatible Version",
 }
-GAP = "⋮"
+GAP, SHOWN = "⋮", "│"
 
 
 def _kept_lines(content: Column, keep: Callable[[Column, Column], Column]) -> Column:
@@ -52,6 +54,61 @@ def outline(content: Column, budget: int = OUTLINE_TOKENS, tokens: Tokens = T.to
     return F.when(tokens(wide) <= budget, wide).otherwise(narrow)
 
 
+#: Scopes of fewer lines are shown whole at the second level.
+SMALL_SCOPE = 5
+
+
+def _scoped(source: str, level: int) -> str:
+    """The lines of interest of a level with the headers of the blocks around them, by indentation; small gaps are closed,
+    each other gap is one mark."""
+    rows = source.split("\n")
+    indent = [len(x) - len(x.lstrip(" \t")) if x.strip(" \t\r") else None for x in rows]
+    if level == 1:
+        interest = [i for i, x in enumerate(rows) if re.match(STRUCTURE, x) or re.match(ASSIGNED, x)]
+    else:
+        interest = [i for i, x in enumerate(rows) if re.match(DEFINED, x) or (i < IMPORT_LINES and re.match(IMPORTED, x)) or re.match(CONSTANT, x) or "__init__" in x]
+    shown, chain, wanted = set(interest), [], set(interest)
+    for i, own in enumerate(indent):
+        if own is None:
+            continue
+        while chain and indent[chain[-1]] >= own:
+            chain.pop()
+        if i in wanted:
+            shown.update(c for c in chain if c)  # the first line of a file is no header to show
+        chain.append(i)
+    if level == 2:
+        for i in interest:
+            end = i + 1
+            while indent[i] is not None and end < len(rows) and (indent[end] is None or indent[end] > indent[i]):
+                end += 1
+            if end - i <= SMALL_SCOPE:
+                shown.update(range(i, end))
+    shown |= {i + 1 for i in shown if i + 2 in shown}
+    shown |= {i + 1 for i in shown if i < len(rows) - 2 and rows[i].strip() and not rows[i + 1].strip()}
+    out, gap = [], 0 not in shown
+    for i, x in enumerate(rows):
+        if i in shown:
+            out.append(SHOWN + x)
+            gap = True
+        elif gap:
+            out.append(GAP)
+            gap = False
+    return "\n".join(out)
+
+
+def scoped_outline(content: Column, budget: int = OUTLINE_TOKENS, tokens: Tokens = T.token_estimate) -> Column:
+    """The first of three outlines that is within the budget, else the last: all definitions, imports and assignments;
+    definitions, early imports, constants and initialisers with small scopes whole; the same without these.  Every line
+    comes with the headers of the blocks that it stands in."""
+
+    @F.pandas_udf("array<string>")
+    def levels(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [_scoped(t, k) for k in (1, 2, 3)])
+
+    each = levels(content)
+    return F.when(tokens(F.get(each, 0)) <= budget, F.get(each, 0)).when(tokens(F.get(each, 1)) <= budget, F.get(each, 1)).otherwise(F.get(each, 2))
+
+
 def head(content: Column, most: int = HEAD_LINES) -> Column:
     """The first lines and how many are left out."""
     lines = T.lines(content)

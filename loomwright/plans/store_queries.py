@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..operators import graphs, packing, postings, retrieval, splitter, vector_store
+from ..operators import graphs, installable, packing, postings, retrieval, splitter, vector_store, views
 from ..session import shared_folder, table
 from ..sources import files, sinks, tables, tree, web
 from ..streaming import crawl, sessions
@@ -320,3 +320,43 @@ def streamed_overflow(s, d):
     """Conversations start anew when they outgrow their budget, twice at most."""
     rows = table(s, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.length("text").cast("long").alias("tokens"))
     return _run(s, rows, lambda r: sessions.overflow(r, 150, 2))
+
+
+# ---- outlines and packages ----
+@query(
+    "prj_10_scopes",
+    f"""WITH m AS (SELECT {explorer_queries._M} AS module_id, {explorer_queries.CODE.replace("CAST(p_size AS STRING)", "CAST(p_size AS VARCHAR)").replace("AS STRING", "AS VARCHAR")} AS content FROM part),
+l AS (SELECT module_id, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS i, len(string_split(content, chr(10))) AS n FROM m),
+d AS (SELECT *, CASE WHEN trim(x) <> '' THEN len(x) - len(ltrim(x)) END AS ind FROM l),
+w AS (SELECT * FROM d WHERE regexp_matches(x, '^\\s*(def|class|import|from|async def)') OR regexp_matches(x, '^\\s+[a-zA-Z_][a-zA-Z0-9_]*\\s*=')),
+up AS (SELECT w.module_id, max(d.i) AS i FROM w JOIN (SELECT unnest(range(0, 12)) AS lim) ON lim < w.ind JOIN d ON d.module_id = w.module_id AND d.i < w.i AND d.ind <= lim GROUP BY w.module_id, w.i, lim),
+s0 AS (SELECT module_id, i FROM w UNION SELECT module_id, i FROM up WHERE i > 0),
+s1 AS (SELECT module_id, i FROM s0 UNION SELECT a.module_id, a.i + 1 FROM s0 a JOIN s0 b ON a.module_id = b.module_id AND b.i = a.i + 2),
+s2 AS (SELECT module_id, i FROM s1 UNION SELECT s1.module_id, s1.i + 1 FROM s1 JOIN d a ON a.module_id = s1.module_id AND a.i = s1.i AND a.ind IS NOT NULL JOIN d b ON b.module_id = s1.module_id AND b.i = s1.i + 1 AND b.ind IS NULL WHERE s1.i < a.n - 2),
+f AS (SELECT d.module_id, d.i, d.x, s2.i IS NOT NULL AS shown, coalesce(lag(s2.i IS NOT NULL) OVER (PARTITION BY d.module_id ORDER BY d.i), TRUE) AS before FROM d LEFT JOIN s2 ON s2.module_id = d.module_id AND s2.i = d.i)
+SELECT module_id, md5(string_agg(CASE WHEN shown THEN '│' || x ELSE '⋮' END, chr(10) ORDER BY i)) AS digest FROM f WHERE shown OR before GROUP BY 1""",
+)
+def scoped_outlines(s, d):
+    """Outlines of modules with the headers around every kept line."""
+    rows = explorer_queries.modules(s, d)
+    return rows.select("module_id", F.md5(views.scoped_outline(F.col("content"), 1_000_000).cast("binary")).alias("digest"))
+
+
+_NAME_OF = "'pkg' || (event_id % 50)"
+
+
+@query(
+    "txt_18_udf_08",
+    f"""WITH t AS (SELECT event_id, {_NAME_OF} AS base, event_id % 3 AS kind FROM events WHERE event_type = 'error'),
+k AS (SELECT 'pkg' || s_suppkey AS name, ['builtin', 'installed', 'local'][s_suppkey % 3 + 1] AS kind FROM supplier WHERE s_suppkey < 40)
+SELECT event_id, CASE t.kind WHEN 0 THEN 'missing_package' ELSE 'pkg_resources_error' END AS error_type, base || CASE t.kind WHEN 0 THEN '.sub' ELSE '' END AS package
+FROM t LEFT JOIN k ON k.name = base WHERE t.kind < 2 AND coalesce(k.kind = 'installed', substr(base, 4)::INT % 2 = 0)""",
+)
+def installable_packages(s, d):
+    """Packages that errors name, against a table of known ones and an index that knows the even numbers."""
+    name, kind = F.concat(F.lit("pkg"), (F.col("event_id") % 50).cast("string")), F.col("event_id") % 3
+    missing = F.concat(F.lit("ModuleNotFoundError: No module named '"), name, F.lit(".sub'"))
+    absent = F.concat(F.lit("pkg_resources.DistributionNotFound: The '"), name, F.lit("' distribution was not found"))
+    texts = table(s, d, "events").filter("event_type = 'error'").select("event_id", F.when(kind == 0, missing).when(kind == 1, absent).otherwise("ImportError: cannot import name 'x' from 'y'").alias("text"))
+    known = table(s, d, "supplier").filter("s_suppkey < 40").select(F.concat(F.lit("pkg"), F.col("s_suppkey").cast("string")).alias("name"), F.element_at(F.array(*map(F.lit, ["builtin", "installed", "local"])), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("kind"))
+    return installable.installable(texts, "event_id", "text", known, lambda names: [int(n[3:]) % 2 == 0 for n in names])

@@ -112,8 +112,8 @@ def repo_names(s, d):
     return table(s, d, "pages").select("page_id", T.repo_name(F.col("url")).alias("repo"), host(F.col("url")).alias("host"))
 
 
-@query("txt_18_udf_08", "SELECT p.p_partkey, p.p_brand FROM part p WHERE p.p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size > 45) AND p.p_type <> 'PROMO'")
-def installable(s, d):
+@query("txt_18_known", "SELECT p.p_partkey, p.p_brand FROM part p WHERE p.p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size > 45) AND p.p_type <> 'PROMO'")
+def known_brands(s, d):
     known = table(s, d, "part").filter("p_size > 45").select("p_brand").distinct()
     return table(s, d, "part").filter("p_type != 'PROMO'").select("p_partkey", "p_brand").join(known, "p_brand", "left_semi")
 
