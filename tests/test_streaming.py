@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.sources import tables
 from loomwright.streaming import sessions
 
 
@@ -62,4 +63,4 @@ def test_upsert_sink(spark, feed, tmp_path):
     out = f"{tmp_path}/out"
     q = sessions.new_files(spark, root, schema, per_batch=1).writeStream.foreachBatch(sessions.upsert_sink(["id"], out)).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(180)
-    assert spark.read.parquet(out).select(F.sort_array(F.collect_list("id"))).first()[0] == [1, 2, 3]
+    assert tables.stored(spark, out, schema).select(F.sort_array(F.collect_list("id"))).first()[0] == [1, 2, 3]
