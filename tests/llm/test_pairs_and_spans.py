@@ -321,14 +321,15 @@ def test_targets_and_takes(spark):
 
 def test_mix_is_the_same_again_and_matches_its_sql(spark):
     df = documents(spark, mixing_rows())
-    columns = ["doc_id", "size", "source_size", "target", "taken", "shard"]
+    columns = ["doc_id", "size", "source_size", "target", "taken", "shards"]
     a = mixing.mix(df).select(*columns).toPandas().sort_values("doc_id").reset_index(drop=True)
     b = mixing.mix(df.repartition(7)).select(*columns).toPandas().sort_values("doc_id").reset_index(drop=True)
     assert a.equals(b)
     db = duckdb.connect()
     db.register("documents", df.toPandas().astype({"text": "string", "source": "string"}))
     c = db.execute(mixing.ORACLE).df()[columns].sort_values("doc_id").reset_index(drop=True)
-    assert np.allclose(a.to_numpy(float), c.to_numpy(float))
+    assert a["shards"].tolist() == c["shards"].tolist()
+    assert np.allclose(a[columns[:-1]].to_numpy(float), c[columns[:-1]].to_numpy(float))
 
 
 def test_mixed_documents_repeat_what_is_taken(spark):
@@ -338,7 +339,33 @@ def test_mixed_documents_repeat_what_is_taken(spark):
     assert got == want and mixing.mixed_documents(df).columns == df.columns
 
 
-def test_shards_are_even(spark):
-    blocks = spark.createDataFrame([(f"s{s}", b) for s in range(5) for b in range(100)], "_source_key string, _block int")
-    got = [r["count"] for r in mixing._shards(blocks, 6).groupBy("shard").count().collect()]
-    assert len(got) == 6 and max(got) - min(got) <= 3
+def test_the_tree_splits_quotas_evenly(spark):
+    """Shards get as many blocks as each other, all blocks of every source are split, and no shard gets a share of a source
+    that is far from the expected one (5 standard deviations of the hypergeometric draw)."""
+    quota = {f"s{s}": n for s, n in enumerate((900, 300, 100, 20, 1, 0))}
+    got = mixing.split_quotas(spark.createDataFrame(list(quota.items()), "_source_key string, _quota long"), 6).collect()
+    total = sum(quota.values())
+    size = [sum(r["_n"] for r in got if r["shard"] == k) for k in range(6)]
+    assert max(size) - min(size) <= 3 and sum(size) == total
+    for s, n in quota.items():
+        mine = {r["shard"]: r["_n"] for r in got if r["_source_key"] == s}
+        assert sum(mine.values()) == n
+        p = n / total
+        for k in range(6):
+            assert abs(mine.get(k, 0) - n / 6) <= 5 * max(1.0, (n / 6 * (1 - p)) ** 0.5)
+
+
+def test_a_document_is_in_as_many_shards_as_it_is_taken(spark):
+    rows = mixing.mix(documents(spark, mixing_rows())).collect()
+    assert any(r["times"] == 2 for r in rows) and len({s for r in rows for s in r["shards"].split(",") if s}) == mixing.SHARDS
+    for r in rows:
+        assert len([s for s in r["shards"].split(",") if s]) == r["times"] and r["taken"] == r["size"] * r["times"]
+
+
+def test_rows_without_an_id_are_dealt_by_text(spark):
+    """Null ids of one source spread over blocks; its words still come within a document of the target."""
+    rows = [(None, "w " * (1 + i % 7) + f"x{i}", "en", "a") for i in range(300)] + [(i, "y z " * 40, "en", "b") for i in range(50)]
+    got = mixing.mix(documents(spark, rows)).collect()
+    mine = [r for r in got if r["doc_id"] is None]
+    assert len({r["place"] for r in mine}) == 300
+    assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 8
