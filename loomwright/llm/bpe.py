@@ -6,8 +6,8 @@ token-position rows of a recursive query: neighbours join the merge table, each
 contracted, and pieces leave when none of their pairs can merge.  Ordered aggregation gives a piece's ids and, joined
 with the vocabulary, its decoded bytes.
 
-Rows enter the query in order of position, and one thread keeps that order, which the neighbour functions rely on; a
-last pass over rows sorted by position checks that every piece has reached its fixpoint and decodes to its own bytes.
+Neighbours and aggregates are ordered by position, whatever order the rows come in; a last pass checks that every piece has
+reached its fixpoint and decodes to its own bytes.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ CONTRACT = """
 WITH RECURSIVE step(wp, id, done) AS (
   SELECT wp, id, false FROM tok
   UNION ALL
-  (WITH p AS (SELECT wp, id, lead(wp) OVER () AS nwp, lead(id) OVER () AS nid, lag(wp) OVER () AS pwp FROM step WHERE NOT done),
+  (WITH p AS (SELECT wp, id, lead(wp) OVER w AS nwp, lead(id) OVER w AS nid, lag(wp) OVER w AS pwp FROM step WHERE NOT done WINDOW w AS (ORDER BY wp)),
         b AS (SELECT wp >> 10 AS word, min((m << 10) | (wp & 1023)) AS best
               FROM p JOIN merges ON pair = (id << 20) | nid AND (nwp >> 10) = (wp >> 10) GROUP BY 1)
    SELECT p.wp, CASE WHEN wp = (((wp >> 10) << 10) | (best & 1023)) THEN best >> 10 ELSE id END, best IS NULL
@@ -44,10 +44,9 @@ WITH RECURSIVE step(wp, id, done) AS (
 )
 SELECT wp, id FROM step WHERE done
 """
-#: Sorting all rows once is several times as fast as sorting them within each aggregate.
 GATHER = """
-SELECT word, string_agg(dec, ' ') AS ids, count(*) AS n, string_agg(hex, '') AS decoded
-FROM (SELECT wp >> 10 AS word, dec, hex FROM ended JOIN vocabulary USING (id) ORDER BY wp) GROUP BY 1 ORDER BY 1
+SELECT wp >> 10 AS word, string_agg(dec, ' ' ORDER BY wp) AS ids, count(*) AS n, string_agg(hex, '' ORDER BY wp) AS decoded
+FROM ended JOIN vocabulary USING (id) GROUP BY 1 ORDER BY 1
 """
 UNSETTLED = """
 SELECT count(*) FROM (SELECT wp, id, lead(wp) OVER (ORDER BY wp) AS nwp, lead(id) OVER (ORDER BY wp) AS nid FROM ended)

@@ -99,3 +99,21 @@ def test_pieces_with_equal_keys_are_told_apart(monkeypatch):
     # all keys alike, as if every piece collided
     monkeypatch.setattr(bpe.np, "unique", lambda x, **k: unique(np.zeros_like(x) if x.dtype == np.uint64 else x, **k))
     check()
+
+
+def test_order_of_rows_plays_no_part():
+    """Token rows come in any order: positions alone say which tokens are neighbours and how they are joined."""
+    import numpy as np
+    import pyarrow as pa
+
+    tok = bpe.Tokenizer(bpe.read_ranks(public.path("byte_bpe_50k.tiktoken")))
+    pieces = [b" unbelievably", b" xyzzyqq", b"aaaaaaaaaaaaaaa", b" antidisestablishment"]
+    want = tok._contract(pieces)
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    lengths = [len(p) for p in pieces]
+    wp = np.concatenate([(w << 10) | np.arange(n) for w, n in enumerate(lengths)])
+    mixed = np.random.default_rng(3).permutation(len(wp))
+    tok.db.register("tok", pa.table({"wp": wp[mixed], "id": tok.byte_ids[text][mixed]}))
+    tok.db.execute(f"CREATE OR REPLACE TEMP TABLE ended AS {bpe.CONTRACT}")
+    got = tok.db.execute(bpe.GATHER).fetchall()
+    assert [(i.encode(), n, bytes.fromhex(d)) for _, i, n, d in got] == want
