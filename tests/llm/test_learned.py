@@ -482,3 +482,38 @@ def test_large_buckets_are_dealt_in_slices(spark, monkeypatch):
     want = found_by(spark, rows)
     monkeypatch.setattr(ann, "SLICE", 50)
     assert found_by(spark, rows) == want and all(len(x) == 20 for x in want.values())
+
+
+def test_copies_of_a_window_are_spread_over_shards():
+    """A passage that all documents share is dealt to all shards, about as often to each; the deal does not depend on batches."""
+    import pyarrow as pa
+
+    passage = np.arange(gru_lm.WINDOW * 2, dtype=np.uint8).tobytes()
+
+    def dealt(batches):
+        got = {}
+        for b in gru_lm._deal(1, 8)(iter(batches)):
+            for shard, records in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got[shard] = got.get(shard, 0) + len(records) // (2 + 2 * gru_lm.WINDOW)
+        return got
+
+    ids = [*range(2000), None]
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([passage] * len(some), pa.binary())], names=["doc_id", "symbols"])
+    got = dealt([batch(ids)])
+    assert sum(got.values()) == 2 * len(ids) and len(got) == 8
+    assert max(got.values()) < 1.25 * min(got.values())
+    assert got == dealt([batch(ids[k : k + 37]) for k in range(0, len(ids), 37)])
+
+
+def test_shards_are_trained_one_after_the_other():
+    """Rows of a shard come together; each gives one row with the symbols that it saw."""
+    import pyarrow as pa
+
+    class Shared:
+        value = gru_lm.Network()
+
+    records = gru_lm.windows_of(np.arange(gru_lm.WINDOW * 3, dtype=np.uint8) % 7, 1)
+    rows = [(k, records[j : j + 1].tobytes()) for k in (1, 5, 9) for j in range(len(records))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int32()), pa.array([r for _, r in part], pa.binary())], names=["shard", "records"]) for part in (rows[:4], rows[4:])]
+    got = [b.to_pylist()[0] for b in gru_lm._fit_shards(Shared)(iter(batches))]
+    assert [r["n"] for r in got] == [3.0 * gru_lm.WINDOW] * 3
