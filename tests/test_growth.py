@@ -63,3 +63,9 @@ def test_last_of_equal_ids_counts(spark):
 def test_inheritance_of_dealt_modules(spark, parts):
     got = registry.queries()["grf_15"](spark, parts)
     assert got.count() == got.distinct().count() == 10000
+
+
+@pytest.mark.parametrize("name", ["jn_01_02"])
+def test_modules_are_parsed_once(spark, parts, name):
+    """A query that reads entities several times reads a stored table: its plan parses nothing."""
+    assert "MapIn" not in plan(registry.queries()[name](spark, parts))
