@@ -69,3 +69,39 @@ def test_inheritance_of_dealt_modules(spark, parts):
 def test_modules_are_parsed_once(spark, parts, name):
     """A query that reads entities several times reads a stored table: its plan parses nothing."""
     assert "MapIn" not in plan(registry.queries()[name](spark, parts))
+
+
+def test_package_errors_are_those_of_a_plain_search(spark):
+    """Texts of pieces in random order against the patterns as they stand; a text is searched only for what it holds."""
+    import random
+    import re
+
+    from loomwright.functions import text as T
+
+    pieces = ["\n", "\r", " ", "x", "a requires b", "A REQUIRES ", "1, but ", "2 is installed", ", which is not installed", "old 1.0 is incompatible with new 2", "ImportError: ", "/site-packages/p/q.py", "File '", "', line 3", "SyntaxError", "No module named 'z'", "cannot import name 'c' from 'd'", ": why"]
+    draw = random.Random(7)
+    texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(1, 14))) for _ in range(1500)] + list(map(str.upper, X.ERROR_TEXTS.values())) + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    got = sorted((r["key"], r["ord"], r["error_type"], r["match_text"], tuple(r["details"][g] for g in T.PACKAGE_ERRORS[r["error_type"]][1])) for r in T.package_errors(rows, "key", "text").select("key", "ord", "error_type", "match_text", "details").collect())
+    wanted = []
+    for key, t in enumerate(texts):
+        each = [(n, m) for n, (p, _, _) in T.PACKAGE_ERRORS.items() for m in re.finditer(p, t or "", re.I | re.M | re.A)]
+        wanted += [(key, k, n, m[0], m.groups()) for k, (n, m) in enumerate(each)]
+    assert len(wanted) > 500 and got == sorted(wanted)
+
+
+def test_a_long_line_is_searched_once(spark):
+    """Each place of a line was tried with all that follows it: this took minutes."""
+    import time
+
+    from loomwright.functions import text as T
+
+    rows = spark.createDataFrame([(1, "1, but 2 is installed, which is not installed\n" + "a requires " * 1500)], "key long, text string")
+    began = time.monotonic()
+    assert T.package_errors(rows, "key", "text").count() == 0
+    assert time.monotonic() - began < 30
+
+
+def test_error_texts_are_dealt(spark, tmp_path):
+    spark.range(40000).selectExpr("id event_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert X.error_texts(spark, str(tmp_path)).rdd.getNumPartitions() == 3
