@@ -65,7 +65,7 @@ def test_inheritance_of_dealt_modules(spark, parts):
     assert got.count() == got.distinct().count() == 10000
 
 
-@pytest.mark.parametrize("name", ["jn_01_02"])
+@pytest.mark.parametrize("name", ["jn_01_02", "jn_07", "jn_08", "prj_11_13", "ret_07"])
 def test_modules_are_parsed_once(spark, parts, name):
     """A query that reads entities several times reads a stored table: its plan parses nothing."""
     assert "MapIn" not in plan(registry.queries()[name](spark, parts))
@@ -105,3 +105,26 @@ def test_a_long_line_is_searched_once(spark):
 def test_error_texts_are_dealt(spark, tmp_path):
     spark.range(40000).selectExpr("id event_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert X.error_texts(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_hybrid_search_builds_its_texts_once(spark, parts, monkeypatch):
+    """Pivots, cells, counts and postings of ret_07_hybrid each parsed all modules again."""
+    from loomwright.operators import postings, vector_store
+
+    read = []
+
+    class Seen(Exception):
+        pass
+
+    def filed(self, rows, *names):
+        read.append(plan(rows))
+
+    def indexed(self, docs, *names):
+        read.append(plan(docs))
+        raise Seen
+
+    monkeypatch.setattr(vector_store.VectorStore, "append", filed)
+    monkeypatch.setattr(postings.Postings, "append", indexed)
+    with pytest.raises(Seen):
+        registry.queries()["ret_07_hybrid"](spark, parts)
+    assert len(read) == 2 and not any("MapIn" in p or "Join" in p for p in read)
