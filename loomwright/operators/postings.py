@@ -22,6 +22,8 @@ from ..sources.versions import Change, Snapshot, Store
 from .retrieval import K1, B, top_k, words
 
 BUCKETS, BLOCK = 32, 256
+#: Documents that a task indexes, and the parts by terms that a bucket is written in at most.
+DOCUMENTS, PARTS = 1 << 12, 8
 #: Blocks of a query that are scored before the bound is known.
 FIRST = 8
 
@@ -35,17 +37,21 @@ class Postings:
         segment = uuid.uuid4().hex
 
         def work(now: Snapshot) -> dict[str, Change]:
-            read = docs.select(F.col(doc).alias("doc"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+            read = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
             n = docs.count()
-            block = F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-n // self.block)))).alias("block")
+            read = read.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-n // self.block)))))
+            # texts are dealt by block, once: documents and their words, and the postings of a block, are then in one task, so
+            # that neither counting nor gathering moves them again
+            read = read.repartition(max(partitions(self.spark), -(-n // DOCUMENTS)), "block").select("doc", "block", words(F.col("text")).alias("w"))
             # the empty word stands for the document, so that its length is known without another reading
-            each = read.select("doc", F.size("w").alias("len"), block, F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
+            each = read.select("doc", F.size("w").alias("len"), "block", F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
             counted = each.groupBy("doc", "len", "block", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
             rows = counted.groupBy("term", "block").agg(
                 F.sort_array(F.collect_list(F.struct("doc", "tf", "len"))).alias("docs"), F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sum("len").alias("total")
             )
             rows = rows.withColumns({"segment": F.lit(segment), "bucket": bucket(F.col("term"))})
-            rows = rows.repartition("bucket").sortWithinPartitions("bucket", "term", "block")
+            # a bucket is cut by terms, so that no task sorts more than its share
+            rows = rows.repartition(partitions(self.spark), "bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(PARTS))).sortWithinPartitions("bucket", "term", "block")
             return {"postings": Change(rows, partition=["bucket"])}
 
         return self.store.transact(work)
@@ -94,5 +100,9 @@ class Postings:
         return scored(self.blocks)
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")

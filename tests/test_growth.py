@@ -128,3 +128,15 @@ def test_hybrid_search_builds_its_texts_once(spark, parts, monkeypatch):
     with pytest.raises(Seen):
         registry.queries()["ret_07_hybrid"](spark, parts)
     assert len(read) == 2 and not any("MapIn" in p or "Join" in p for p in read)
+
+
+def test_postings_move_texts_once_and_postings_once(spark, tmp_path):
+    """ret_02_stored: every (document, word) moved too, and all postings twice."""
+    from loomwright.operators import postings
+
+    index, kept = postings.Postings(spark, f"{tmp_path}/p", 64), []
+    index.store.transact = lambda work: kept.append(work(None))
+    index.append(spark.range(500).selectExpr("id doc", "concat('a b w', id) text"), "doc", "text")
+    rows = kept[0]["postings"].rows
+    assert plan(rows).count("Exchange hashpartitioning") == 2
+    assert rows.filter("term = ''").agg({"n": "sum"}).first()[0] == 500
