@@ -8,8 +8,8 @@ log-likelihood is the sum over its words and its end, with the state carried acr
 the complete document.
 
 Counting and the network cover the whole training fold.  The network starts from a fit on a bounded sample of whole
-documents.  Then every training document gives a fixed share of its windows, spread over its whole length, one in SHARE,
-so what is learned from grows with the input: they are dealt to shards of about SHARD symbols, a task trains a copy on its
+documents.  Then every training document gives all its windows (one in SHARE), so that what is learned from is the whole
+fold: they are dealt to shards of about SHARD symbols, a task trains a copy on its
 shard, and after each of ROUNDS rounds the copies are averaged by the symbols they saw.  A window's state comes from the
 window before it.  Words are looked up in a bounded table of the most frequent ones; all others are joined with the
 counts, so no vocabulary is ever broadcast.
@@ -39,8 +39,8 @@ END = 0
 FREQUENT = 1 << 17
 #: Training documents of which the first weights are learned (a start: windows of all training documents follow).
 SAMPLE = 3000
-#: One in so many windows of every training document is learned from.
-SHARE = 8
+#: One in so many windows of every training document is learned from: all of them.
+SHARE = 1
 #: Symbols that a copy of the network is trained on between averages, and the rounds that all windows are dealt to.
 SHARD, ROUNDS, SUMS = 1 << 20, 4, 16
 HIDDEN, EMBEDDING = 24, 16

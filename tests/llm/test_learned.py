@@ -517,3 +517,12 @@ def test_shards_are_trained_one_after_the_other():
     batches = [pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.int32()), pa.array([r for _, r in part], pa.binary())], names=["shard", "records"]) for part in (rows[:4], rows[4:])]
     got = [b.to_pylist()[0] for b in gru_lm._fit_shards(Shared)(iter(batches))]
     assert [r["n"] for r in got] == [3.0 * gru_lm.WINDOW] * 3
+
+
+def test_every_window_is_learned_from():
+    """One window in eight was, whatever the corpus."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "symbols": [bytes(range(1, 201)) * 5, b"abc"]})
+    parts = [r for b in gru_lm._deal(gru_lm.SHARE, 4)(iter([batch])) for r in b.column(1).to_pylist()]
+    assert sum(len(r) for r in parts) // (2 + 2 * gru_lm.WINDOW) == -(-1000 // gru_lm.WINDOW) + 1
