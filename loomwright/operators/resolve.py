@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from . import entities as E
 
 
@@ -14,15 +15,18 @@ def _suffixes(functions: DataFrame) -> DataFrame:
     return functions.select("id", "ordinal", "module_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))).alias("suffix"))
 
 
-def call_edges(entities: DataFrame) -> DataFrame:
-    """src, dst: distinct resolved calls between functions.
+def call_edges(entities: DataFrame, callers: Column | None = None) -> DataFrame:
+    """src, dst: distinct resolved calls between functions, or the calls alone of functions that ``callers`` (of their id) names.
 
     Simple names: the same module, the same class, its bases, then from-imports.  Attributes: a class of that name that
     has the method, then imported modules.  Nested attributes: the exact id, then the first function of that ending.
     """
     functions, classes, imports = E.latest(entities, "function"), E.latest(entities, "class"), E.imports(entities)
-    calls = functions.select("module_id", "class_id", F.col("id").alias("src"), F.posexplode("calls").alias("pos", "c")).select("module_id", "class_id", "src", "pos", "c.*")
-    ids = functions.select("id").distinct()
+    # functions are sorted for the last of equal ids: what each rule reads of them is stored, so that it is done once
+    functions = durable(functions.select("module_id", "class_id", "id", "ordinal", "calls"), "functions")
+    calls = functions if callers is None else functions.filter(callers)
+    calls = calls.select("module_id", "class_id", F.col("id").alias("src"), F.posexplode("calls").alias("pos", "c")).select("module_id", "class_id", "src", "pos", "c.*")
+    ids = functions.select("id")
     dot = lambda *x: F.concat_ws(".", *x)
     call = ["src", "pos"]
 
@@ -44,7 +48,10 @@ def call_edges(entities: DataFrame) -> DataFrame:
     modules = imports.select("module_id", F.col("pos").alias("ipos"), F.explode(F.array_distinct(F.array_compact(F.array("name", "alias")))).alias("object"), F.when(F.col("type") == "import", F.col("name")).otherwise(dot("module", "name")).alias("m"))
     found = found.unionByName(candidates(attribute.join(modules, ["module_id", "object"]), dot("m", "attribute"), 6, F.col("ipos")))
     found = found.unionByName(candidates(nested, F.col("full_path"), 7))
-    endings = _suffixes(functions).groupBy(F.col("suffix").alias("full_path")).agg(F.min(F.struct("module_id", "ordinal", "id"))["id"].alias("hit"))
+    # endings of functions that a nested call names by their last part, and of these the ones that one names
+    named = nested.select("full_path").distinct()
+    likely = functions.withColumn("_last", F.element_at(F.split("id", "[.]"), -1)).join(named.select(F.element_at(F.split("full_path", "[.]"), -1).alias("_last")).distinct(), "_last", "left_semi")
+    endings = _suffixes(likely).join(named.withColumnRenamed("full_path", "suffix"), "suffix", "left_semi").groupBy(F.col("suffix").alias("full_path")).agg(F.min(F.struct("module_id", "ordinal", "id"))["id"].alias("hit"))
     found = found.unionByName(candidates(nested.join(endings, "full_path"), F.col("hit"), 8))
     # only functions that exist; of those the best rule, then order, then id
     real = found.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")

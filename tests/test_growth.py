@@ -140,3 +140,123 @@ def test_postings_move_texts_once_and_postings_once(spark, tmp_path):
     rows = kept[0]["postings"].rows
     assert plan(rows).count("Exchange hashpartitioning") == 2
     assert rows.filter("term = ''").agg({"n": "sum"}).first()[0] == 500
+
+
+@pytest.mark.parametrize("name, unread", [
+    ("prj_03_04", "calls docstring bases import_name last_line"), ("prj_05", "docstring bases parameters import_name last_line"), ("prj_06_12_txt_17", "calls docstring bases parameters last_line"),
+    ("prj_14_function", "calls bases import_name"), ("src_02_prj_02", "calls parameters import_name last_line"), ("grf_15", "calls docstring parameters import_name last_line"),
+])
+def test_what_a_query_does_not_read_is_not_made(spark, parts, name, unread):
+    """Every query made and moved all columns of all kinds of entities, calls among them."""
+    made = plan(registry.queries()[name](spark, parts))
+    assert "MapInArrow" in made and not [c for c in unread.split() if f"{c}#" in made]
+
+
+def test_overview_counts_narrow_rows(spark, parts, monkeypatch):
+    """prj_22 made all columns of all rows to count them."""
+    named = {"region": "0 r_regionkey, 'A' r_name", "nation": "0 n_nationkey, 0 n_regionkey, 'B' n_name"}
+    made, extract, table = [], E.extract, X.table
+    monkeypatch.setattr(X, "table", lambda s, d, name: s.sql(f"SELECT {named[name]}") if name in named else table(s, d, name))
+    monkeypatch.setattr(X.E, "extract", lambda *a: made.append(extract(*a)) or made[0])
+    assert "Total functions: 10000\n" in registry.queries()["prj_22"](spark, parts).first()["text"]
+    assert made[0].columns == [*E.ALWAYS, "last_line"]
+
+
+@pytest.mark.parametrize("name, unread", [
+    ("prj_11_13", "calls bases import_name source"), ("prj_14_class", "calls import_name"), ("jn_07", "docstring parameters last_line"), ("jn_08", "docstring parameters last_line"),
+])
+def test_what_a_query_does_not_read_is_not_stored(spark, parts, monkeypatch, name, unread):
+    stored, keep = {}, X.durable
+    monkeypatch.setattr(X, "durable", lambda df, label: stored.setdefault(label, df) and keep(df, label))
+    registry.queries()[name](spark, parts)
+    assert not set(unread.split()) & set(stored["entities"].columns)
+
+
+def test_saved_entities_are_parsed_for_their_kinds(spark, parts, monkeypatch):
+    """snk_01: rows of modules and errors were stored and read again, which no sink takes."""
+    stored, keep = {}, X.durable
+    monkeypatch.setattr(X, "durable", lambda df, label: stored.setdefault(label, keep(df, label)))
+    registry.queries()["snk_01"](spark, parts)
+    assert {r["kind"] for r in stored["entities"].select("kind").distinct().collect()} == {"class", "function", "import", "importfrom"}
+
+
+def test_rows_are_the_same_whatever_is_asked_for():
+    source = "import os\nif x:\n    def f(a: int): g(a)\nelse:\n    class A(b.B):\n        'doc'\n        def f(self): return h()\ntry: pass\nexcept E:\n    def k(): pass\nmatch x:\n    case 1:\n        async def n():\n            def inner(): pass\nfrom p import (q as r, s)\n"
+    whole = E.parse("m", source)
+    assert [r["name"] for r in whole if r["kind"] in ("class", "function")] == [n.name for n in ast.walk(ast.parse(source)) if isinstance(n, (ast.ClassDef, ast.FunctionDef))]
+    for kinds in (["class"], ["function"], ["import", "importfrom"], ["module", "class"]):
+        for fields in (E.ALWAYS, [*E.ALWAYS, "calls", "name"], [*E.ALWAYS, "docstring", "parameters", "source"]):
+            got = E.parse("m", source, frozenset(kinds), frozenset(fields))
+            assert [{f: r.get(f) for f in fields if f != "source"} for r in got] == [{f: r.get(f) for f in fields if f != "source"} for r in whole if r["kind"] in kinds]
+    assert [r["source"] for r in E.parse("m", source, frozenset(["function"]), frozenset(["source"]))][0] == "    def f(a: int): g(a)"
+
+
+def test_outlines_look_at_a_line_once(spark):
+    """prj_14_function, prj_14_class, prj_21: each line split the whole text again; 3,000 lines took minutes."""
+    import random
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    from loomwright.operators import views
+
+    draw = random.Random(5)
+    lines = ["def f():", "    x = Y", "    y = 1", "    pass", "", "import a", "    z()", "⋮ no", "    __init__", "from b import c"]
+    texts = ["\n".join(draw.choice(lines) for _ in range(draw.randint(0, 120))) for _ in range(60)] + ["", "\n", "\n\n"]
+
+    def plain(text, keep):
+        out = []
+        for i, x in enumerate(text.split("\n")):
+            if keep(x, i):
+                out.append(x)
+            elif not i or out[-1] != views.GAP:
+                out.append(views.GAP)
+        return "\n".join(out)
+
+    wide = [plain(t, lambda x, i: re.match(views.STRUCTURE, x) or re.match(views.ASSIGNED, x)) for t in texts]
+    narrow = [plain(t, lambda x, i: re.match(views.DEFINED, x) or re.match(views.CONSTANT, x) or "__init__" in x or (i < views.IMPORT_LINES and re.match(views.IMPORTED, x))) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, c string")
+    got = rows.select("i", views.outline(F.col("c"), 10**6).alias("w"), views.outline(F.col("c"), -1).alias("n")).orderBy("i").collect()
+    assert [r["w"] for r in got] == wide and [r["n"] for r in got] == narrow
+    long = spark.createDataFrame([("\n".join(lines * 600),)], "c string")
+    began = time.monotonic()
+    assert long.select(F.size(F.split(views.outline(F.col("c"), 100), "\n")).alias("n")).first()["n"] > 100
+    assert time.monotonic() - began < 20
+
+
+def test_views_of_modules_evaluate_an_outline_once(spark, parts):
+    """prj_21 and prj_14_function: the outline stood in the plan wherever its size or its text was asked for."""
+    assert plan(registry.queries()["prj_21"](spark, parts)).count("regexp_replace") <= 3
+    assert plan(registry.queries()["prj_14_function"](spark, parts)).count("regexp_replace") <= 3
+
+
+def test_found_texts_are_stored_once(spark, parts, monkeypatch):
+    """ret_07 joined functions to themselves and to all modules, made again, at each of its readings."""
+    stored, keep = {}, X.durable
+    monkeypatch.setattr(X, "durable", lambda df, label: stored.setdefault(label, df) and keep(df, label))
+    assert "Join" not in plan(X.function_texts(spark, parts))
+    registry.queries()["ret_07"](spark, parts)
+    assert list(stored) == ["code-texts"] and stored["code-texts"].columns == ["id", "text"]
+
+
+def test_calls_are_resolved_from_functions_sorted_once(spark):
+    """jn_07, jn_08: each of eight rules sorted all functions for the last of equal ids; jn_07 resolved all calls for those of one class."""
+    from pyspark.sql import functions as F
+
+    from loomwright.operators import resolve
+
+    modules = spark.createDataFrame([("m", "class A:\n    def f(self): g()\ndef g(): a.b.h()\ndef h(): g()\n")], "module_id string, content string")
+    e = E.extract(modules).cache()
+    edges = resolve.call_edges(e)
+    assert plan(edges).count("Window") < 8
+    assert {tuple(r) for r in edges.collect()} == {("m.A.f", "m.g"), ("m.h", "m.g")}
+    assert {tuple(r) for r in resolve.call_edges(e, F.col("id").startswith("m.A.")).collect()} == {("m.A.f", "m.g")}
+
+
+def test_words_are_looked_for_in_one_lower_text(spark):
+    """agg_26: some twenty patterns that ignore case were tried on every text before any error was."""
+    from loomwright.functions import text as T
+
+    rows = spark.createDataFrame([(1, "x")], "key long, text string")
+    assert "(?i)" not in plan(T.package_errors(rows, "key", "text"))
