@@ -3,8 +3,8 @@
 A text is cut into pieces by the public pattern; the cuts follow from the classes of neighbouring characters, so they
 are found for millions of characters at once.  The distinct pieces of a block that are no tokens themselves become
 token-position rows of a recursive query: neighbours join the merge table, each piece's leftmost pair of least rank is
-contracted, and pieces leave when none of their pairs can merge.  Ordered aggregation gives a piece's ids and, joined
-with the vocabulary, its decoded bytes.
+contracted, and pieces leave when none of their pairs can merge.  Ordered aggregation gives a piece's ids; their decimal
+texts and bytes are taken from the vocabulary by id, for all pieces of a block at once.
 
 Neighbours and aggregates are ordered by position, whatever order the rows come in; a last pass checks that every piece has
 reached its fixpoint and decodes to its own bytes.
@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ WITH RECURSIVE step(wp, id, done) AS (
 )
 SELECT wp, id FROM step WHERE done
 """
+IDS = "SELECT wp >> 10 AS word, list(id ORDER BY wp) AS ids FROM ended GROUP BY 1 ORDER BY 1"
+#: The same with texts and bytes by a join, to which tests hold the arrays.
 GATHER = """
 SELECT wp >> 10 AS word, string_agg(dec, ' ' ORDER BY wp) AS ids, count(*) AS n, string_agg(hex, '' ORDER BY wp) AS decoded
 FROM ended JOIN vocabulary USING (id) GROUP BY 1 ORDER BY 1
@@ -160,6 +163,8 @@ class Tokenizer:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.db.register("v", pa.table({"id": np.array(list(self.tokens), np.int64), "hex": [t.hex() for t in self.tokens.values()], "dec": [str(r) for r in self.tokens]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
+        every = range(max(self.tokens) + 1)
+        self.decimal, self.bytes = pa.array([str(i).encode() for i in every], pa.binary()), pa.array([self.tokens.get(i) for i in every], pa.binary())
 
     def _contract(self, pieces: list[bytes]) -> list[tuple[bytes, int, bytes]]:
         text = np.frombuffer(b"".join(pieces), np.uint8)
@@ -170,11 +175,12 @@ class Tokenizer:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE ended AS {CONTRACT}")
         if self.db.execute(UNSETTLED).fetchall()[0][0]:
             raise RuntimeError("pieces were left before their fixpoint")
-        got = self.db.execute(GATHER).fetchnumpy()
+        lists = self.db.execute(IDS).to_arrow_table()["ids"].combine_chunks()
         self.db.execute("DROP TABLE ended")
-        if [bytes.fromhex(d) for d in got["decoded"].tolist()] != pieces:
+        joined = lambda column, by: pc.binary_join(pa.ListArray.from_arrays(lists.offsets, column.take(lists.values)), by)
+        if not joined(self.bytes, b"").equals(pa.array(pieces, pa.binary())):
             raise RuntimeError("a piece was lost or its tokens were out of order")
-        return [(i.encode(), n, p) for i, n, p in zip(got["ids"].tolist(), got["n"].tolist(), pieces)]
+        return list(zip(joined(self.decimal, b" ").to_pylist(), np.diff(lists.offsets).tolist(), pieces))
 
     def _contract_long(self, piece: bytes) -> tuple[bytes, int, bytes]:
         """The same contractions with a heap of (rank, position) over a linked list."""

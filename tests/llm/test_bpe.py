@@ -117,3 +117,15 @@ def test_order_of_rows_plays_no_part():
     tok.db.execute(f"CREATE OR REPLACE TEMP TABLE ended AS {bpe.CONTRACT}")
     got = tok.db.execute(bpe.GATHER).fetchall()
     assert [(i.encode(), n, bytes.fromhex(d)) for _, i, n, d in got] == want
+
+
+def test_pieces_are_gathered_without_a_join(monkeypatch):
+    """Texts and bytes came from a join of all tokens with the vocabulary and two ordered aggregations of strings."""
+    tok = bpe.Tokenizer(bpe.read_ranks(PATH))
+    tok.db.execute("DROP TABLE vocabulary")
+    pieces = [b" unbelievably", b"\xff\xfe\x00", b"aaaaaaaaaaaaaaa"]
+    assert tok._contract(pieces) == [CODER._contract_long(p) for p in pieces]
+    # a token that decodes to something else is seen
+    tok.bytes = tok.bytes.slice(1)
+    with pytest.raises(RuntimeError):
+        tok._contract(pieces)
