@@ -114,3 +114,35 @@ def test_sampled_betweenness(spark, graph):
     error = np.mean([abs(some[n] - exact[n]) for n in exact]) / np.mean(list(exact.values()))
     assert some == pytest.approx(again) and error < 0.8
     print("mean error at 20 of 64 pivots, as a share of the mean:", round(float(error), 3))
+
+
+def test_parts_are_put_together_by_their_steps():
+    """win_04_group took a join for each binary digit of the number of bins; any cut into parts gives the bins of a fold."""
+    r = random.Random(3)
+    for trial in range(1500):
+        budget = r.choice([1, 5, 20, 1 << 63])
+        groups = [[r.choice([0, 0, 1, 2, 7, 25, 1 << 62 if trial % 9 == 0 else 3]) for _ in range(r.randint(1, 25))] for _ in range(r.randint(1, 3))]
+        rows = [(str(g), x) for g, sizes in enumerate(groups) for x in sizes]
+        cuts = sorted(r.sample(range(len(rows) + 1), min(len(rows), r.randint(0, 5))))
+        dealt = [p for lo, hi in zip([0, *cuts], [*cuts, len(rows)]) if (p := rows[lo:hi])]
+        import pyarrow as pa
+
+        said = []
+        for i, p in enumerate(dealt):
+            batch = pa.RecordBatch.from_arrays([pa.array([i] * len(p), pa.int32()), pa.array([k for k, _ in p]), pa.array([packing.Decimal(x) for _, x in p], pa.decimal128(38, 0))], names=["_part", "_key", "_z"])
+            said += [x for b in packing._summaries(budget)(iter([batch])) for x in b.to_pylist()]
+        entries, got = packing._entries(said, budget), []
+        for i, p in enumerate(dealt):
+            key, used, bins = entries[i]
+            for k, x in p:
+                if k != key:
+                    key, used, bins = k, 0, 0
+                (b,), used, bins = packing._pack([x], budget, used, bins)
+                got.append(b)
+        assert got == [b for sizes in groups for b in plain_bins(sizes, budget)]
+
+
+def test_many_steps_are_not_collected(spark):
+    df = spark.range(300).select(F.lit("a").alias("g"), F.col("id").alias("k"), (F.col("id") % 7).alias("n"))
+    got = packing.next_fit(df, "g", ["k"], "n", 10, most=0)
+    assert [r["bin"] for r in got.orderBy("k").collect()] == plain_bins([k % 7 for k in range(300)], 10)
