@@ -252,3 +252,33 @@ def test_calls_are_resolved_from_functions_sorted_once(spark):
     assert plan(edges).count("Window") < 8
     assert {tuple(r) for r in edges.collect()} == {("m.A.f", "m.g"), ("m.h", "m.g")}
     assert {tuple(r) for r in resolve.call_edges(e, F.col("id").startswith("m.A.")).collect()} == {("m.A.f", "m.g")}
+
+
+def test_statements_alone_make_the_tree_of_a_whole_parse(monkeypatch):
+    """prj_22 and all that parse: every module made the nodes of all its lines, though most lines repeat."""
+    import random
+
+    pieces = ["x = 1", "x = 1", "f(a)", "# c", "", "import os; y = 2", "from p import (q,\n  r)", "@d", "def f(a, b: int) -> str:", "class A(B, c.D):", "    '''t'''", '    """t', 'u"""', "    return g(x)", "    if x: y()", "    else:", "        pass", "  z", "async def k():", "    x = [", "    ]", "try: a()", "finally: b()", "match x:", "    case 1: h()", "def g(): return 1", "x = '\\", "\tp", "def h(): x:", "if x:\n    import b\n    def i(): j()", "class E: pass", "y = (", ")", "lambda:", "lambda: pass", "case (x): y", "a; b;", "0" * 200]
+    draw, made = random.Random(8), 0
+    for _ in range(4000):
+        source = "\n".join(draw.choice(pieces) for _ in range(draw.randint(1, 5)))
+        try:
+            whole = ast.parse(source)
+        except SyntaxError:
+            whole = None
+        odd = any(x in source for x in E._ODD) or source[-1:] == "\\"
+        try:
+            tree = None if odd else E._Pieces(source.split("\n")).tree()
+        except SyntaxError:
+            continue
+        if tree:
+            made += 1
+            assert whole and ast.dump(tree) == ast.dump(whole)
+            spot = lambda t: [(n.lineno, n.end_lineno) for n in ast.walk(t) if isinstance(n, (ast.Import, ast.ImportFrom, ast.ClassDef, ast.FunctionDef))]
+            assert spot(tree) == spot(whole)
+    assert made > 200
+    parsed, parse = [], ast.parse
+    monkeypatch.setattr(E.ast, "parse", lambda text: parsed.append(text) or parse(text))
+    source = "def f(a):\n" + "    a = a + 17\n" * 50 + "    return a\n"
+    assert [r["last_line"] for r in E.parse("m", source, frozenset(["function"]))] == [52]
+    assert "".join(parsed).count("a = a + 17") == 1
