@@ -179,3 +179,14 @@ def test_web_sources(spark):
     assert [r["link"] for r in found.collect()] == ["u1"]
     pages = web.fetched(spark.createDataFrame([("ok",), ("bad",)], "link string"), "link", lambda u: "<b>one two three</b>" if u == "ok" else 1 / 0)
     assert {r["link"]: r["content"] for r in pages.collect()} == {"ok": "one two three", "bad": ""}
+
+
+def test_words_and_marks_are_counted_not_listed(spark):
+    """prj_14_function: two thirds of its time went into lists of all words, made to be counted."""
+    import random
+
+    draw = random.Random(2)
+    texts = ["".join(draw.choice(["a", "Z_9", " ", "\n", "\t", "\x0b", "\x1c", " ", " ", "é", "😀", "⋮", ".", "$1", "\\", "\r\n"]) for _ in range(draw.randint(0, 30))) for _ in range(500)] + [None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.token_estimate(F.col("t")).alias("n"), F.regexp_count("t", F.lit(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")).alias("m"))
+    assert "regexp_extract_all" not in rows.select("n")._jdf.queryExecution().executedPlan().toString()
+    assert all(n == m for n, m in rows.collect())
