@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 K1, B, FUSION, WEIGHT = 1.5, 0.75, 60, 0.6
 
 
@@ -43,6 +45,7 @@ def bm25(docs: DataFrame, doc: str, text: str, queries: dict[int, str], k: int =
     terms = sorted({t for q in queries.values() for t in q.lower().split()})
     lexicon = F.array(*map(F.lit, terms))
     sized = docs.select(doc, words(F.col(text)).alias("_w")).select(doc, F.size("_w").alias("_len"), F.filter("_w", lambda x: F.array_contains(lexicon, x)).alias("_t"))
+    sized = durable(sized, "bm25-terms")  # read for statistics, for how many have a term and for scores: texts are split once
     stats = sized.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
     tf = sized.select(doc, "_len", F.explode("_t").alias("term")).groupBy(doc, "_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

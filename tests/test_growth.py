@@ -282,3 +282,13 @@ def test_statements_alone_make_the_tree_of_a_whole_parse(monkeypatch):
     source = "def f(a):\n" + "    a = a + 17\n" * 50 + "    return a\n"
     assert [r["last_line"] for r in E.parse("m", source, frozenset(["function"]))] == [52]
     assert "".join(parsed).count("a = a + 17") == 1
+
+
+def test_searched_texts_are_split_once(spark):
+    """ret_07: the words of all texts were made for statistics, for how many have a term, and for scores."""
+    from loomwright.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "run helper run"), (2, "a b c"), (3, "helper")], "id long, text string")
+    found = retrieval.bm25(docs, "id", "text", {0: "helper run"})
+    assert "regexp_extract_all" not in plan(found)
+    assert [r["id"] for r in found.orderBy("rank").collect()] == [1, 3]
