@@ -292,3 +292,27 @@ def test_searched_texts_are_split_once(spark):
     found = retrieval.bm25(docs, "id", "text", {0: "helper run"})
     assert "regexp_extract_all" not in plan(found)
     assert [r["id"] for r in found.orderBy("rank").collect()] == [1, 3]
+
+
+def test_lines_of_a_known_shape_are_not_parsed_again(monkeypatch):
+    """prj_06_12_txt_17 and all that parse: lines that differ in names alone were parsed for every module."""
+    import random
+
+    draw, lines = random.Random(3), ["import {0}", "from {0}.match import {1} as {2}, {3}", "{0}.{1} = {2}({3}, {1}={0}.{2}())", "{0} = lambda {1}, *{2}: {1}({3})", "if {0}: {1}()", "global {0}, {1}", "{0} = 0x1F + 1e5 if not {1} else None  # {2}", "print({0}); {1}[{2}:{3}]({0})"]
+    heads = ["def {0}({1}, {2}: {3}.{0} = {1}) -> {2}[{3}]:", "class {0}({1}, {2}.{3}, metaclass={0}):", "async def {0}(): pass", "def {0}(): {1}()"]
+    for _ in range(300):
+        name = lambda text: text.format(*[draw.choice("a b n0 n1 type _ e5 Match xor is_".split()) for _ in range(4)])
+        body = [x for _ in range(4) for head in [name(draw.choice(heads))] for x in [head, *([f"    {name(draw.choice(lines))}" for _ in range(3)] if head[-1] == ":" else [])]]
+        source = "\n".join([*body, *[name(x) for x in lines[:3]], "x = 1"])
+        tree, whole = E._Pieces(source.split("\n")).tree(), ast.parse(source)
+        assert ast.dump(tree) == ast.dump(whole)
+        spot = lambda t: [(n.lineno, n.end_lineno) for n in ast.walk(t) if isinstance(n, (ast.Import, ast.ImportFrom, ast.ClassDef, ast.FunctionDef))]
+        assert spot(tree) == spot(whole)
+    parsed, parse = [], ast.parse
+    monkeypatch.setattr(E.ast, "parse", lambda text, *more: parsed.append(text) or parse(text, *more))
+    for k in range(5):
+        rows = E.parse(f"m{k}", f"from p{k} import q{k}\nclass C{k}(B{k}):\n    def run{k}(self):\n        g{k}(self.h{k})\n" + "        z += 1\n" * 30)
+        assert [(r["id"], r["bases"]) for r in rows if r["kind"] == "class"] == [(f"m{k}.C{k}", [f"B{k}"])]
+        assert [(r["id"], [c["name"] for c in r["calls"]]) for r in rows if r["kind"] == "function"] == [(f"m{k}.C{k}.run{k}", [f"g{k}"])]
+        assert [(r["import_module"], r["import_name"], r["first_line"]) for r in rows if r["kind"] == "importfrom"] == [(f"p{k}", f"q{k}", 1)]
+    assert not any(f"{x}{k}" in "".join(parsed) for x in ("p", "C", "run", "g") for k in (2, 3, 4))
