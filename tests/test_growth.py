@@ -316,3 +316,16 @@ def test_lines_of_a_known_shape_are_not_parsed_again(monkeypatch):
         assert [(r["id"], [c["name"] for c in r["calls"]]) for r in rows if r["kind"] == "function"] == [(f"m{k}.C{k}.run{k}", [f"g{k}"])]
         assert [(r["import_module"], r["import_name"], r["first_line"]) for r in rows if r["kind"] == "importfrom"] == [(f"p{k}", f"q{k}", 1)]
     assert not any(f"{x}{k}" in "".join(parsed) for x in ("p", "C", "run", "g") for k in (2, 3, 4))
+
+
+def test_structures_come_without_joins(spark, parts):
+    """prj_11_13: three sorts of the stored rows and two joins put together what the ids of a class and its methods say."""
+    from loomwright.operators import views
+
+    assert "Join" not in plan(registry.queries()["prj_11_13"](spark, parts))
+    source = '"""D"""\nclass A:\n    "E\\nF"\n    def f(self): pass\n    def g(self, x: int):\n        "G"\ndef f(): pass\nclass B: pass\nclass A:\n    def f(self, y): pass\n'
+    got = views.structures(E.extract(spark.createDataFrame([("m", source), ("n", ""), ("o", "def f(:")], "module_id string, content string")))
+    text = "### Module: m\n'''D'''\n\nclass A:\n    def f(self, y):\n    def g(self, x: int):\n        # G\n\nclass B:\n    pass\n\ndef f():"
+    found = {r["module_id"]: r["structure"] for r in got.collect()}
+    assert sorted(found) == ["m", "n"] and found["n"] == "### Module: n"
+    assert sorted(found["m"].split("\n")) == sorted(text.split("\n")) and found["m"].index("class B") < found["m"].index("class A") < found["m"].index("def f():")
