@@ -329,3 +329,11 @@ def test_structures_come_without_joins(spark, parts):
     found = {r["module_id"]: r["structure"] for r in got.collect()}
     assert sorted(found) == ["m", "n"] and found["n"] == "### Module: n"
     assert sorted(found["m"].split("\n")) == sorted(text.split("\n")) and found["m"].index("class B") < found["m"].index("class A") < found["m"].index("def f():")
+
+
+def test_class_details_come_without_joins(spark, parts, monkeypatch):
+    """prj_14_class: the texts of all functions were stored, and classes joined with their methods."""
+    stored, keep = {}, X.durable
+    monkeypatch.setattr(X, "durable", lambda df, label: stored.setdefault(label, keep(df, label)))
+    assert "Join" not in plan(registry.queries()["prj_14_class"](spark, parts))
+    assert {r["kind"] for r in stored["entities"].filter("source is not null").select("kind").distinct().collect()} == {"class"}
