@@ -15,8 +15,11 @@ def _suffixes(functions: DataFrame) -> DataFrame:
     return functions.select("id", "ordinal", "module_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))).alias("suffix"))
 
 
-def call_edges(entities: DataFrame, callers: Column | None = None) -> DataFrame:
-    """src, dst: distinct resolved calls between functions, or the calls alone of functions that ``callers`` (of their id) names.
+def call_edges(entities: DataFrame, callers: Column | None = None, target: str | None = None) -> DataFrame:
+    """src, dst: distinct resolved calls between functions, or the calls alone of functions that ``callers`` (of their id) names,
+    or those alone from and to a ``target``, a function or a class with its methods.
+
+    Whatever the rule, a call resolves to a function whose last name is its own, so of the others only the target's matter.
 
     Simple names: the same module, the same class, its bases, then from-imports.  Attributes: a class of that name that
     has the method, then imported modules.  Nested attributes: the exact id, then the first function of that ending.
@@ -26,6 +29,11 @@ def call_edges(entities: DataFrame, callers: Column | None = None) -> DataFrame:
     functions = durable(functions.select("module_id", "class_id", "id", "ordinal", "calls"), "functions")
     calls = functions if callers is None else functions.filter(callers)
     calls = calls.select("module_id", "class_id", F.col("id").alias("src"), F.posexplode("calls").alias("pos", "c")).select("module_id", "class_id", "src", "pos", "c.*")
+    of_target = lambda c: (F.col(c) == target) | F.col(c).startswith(f"{target}.")
+    if target is not None:
+        last = lambda c: F.element_at(F.split(c, "[.]"), -1)
+        names = functions.filter(of_target("id")).select(last("id").alias("_last"), F.lit(True).alias("_named")).distinct()  # of one class
+        calls = calls.withColumn("_last", F.coalesce("name", "attribute", last("full_path"))).join(F.broadcast(names), "_last", "left").filter(of_target("src") | F.col("_named")).drop("_last", "_named")
     ids = functions.select("id")
     dot = lambda *x: F.concat_ws(".", *x)
     call = ["src", "pos"]
@@ -55,7 +63,8 @@ def call_edges(entities: DataFrame, callers: Column | None = None) -> DataFrame:
     found = found.unionByName(candidates(nested.join(endings, "full_path"), F.col("hit"), 8))
     # only functions that exist; of those the best rule, then order, then id
     real = found.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return real.groupBy(*call).agg(F.min(F.struct("rule", "ord", "dst"))["dst"].alias("dst")).select("src", "dst").distinct()
+    edges = real.groupBy(*call).agg(F.min(F.struct("rule", "ord", "dst"))["dst"].alias("dst")).select("src", "dst").distinct()
+    return edges if target is None else edges.filter(of_target("src") | of_target("dst"))
 
 
 def called_by(edges: DataFrame) -> DataFrame:

@@ -337,3 +337,16 @@ def test_class_details_come_without_joins(spark, parts, monkeypatch):
     monkeypatch.setattr(X, "durable", lambda df, label: stored.setdefault(label, keep(df, label)))
     assert "Join" not in plan(registry.queries()["prj_14_class"](spark, parts))
     assert {r["kind"] for r in stored["entities"].filter("source is not null").select("kind").distinct().collect()} == {"class"}
+
+
+def test_calls_of_a_target_are_those_of_all_calls(spark):
+    """jn_08: all calls of all modules were resolved for those from and to one class."""
+    from loomwright.operators import resolve
+
+    rows = [("m", "import n\nclass A:\n    def f(self): g()\ndef g():\n    A.f()\n    n.h()\n    x.m.A.f()\n    m.A.f()\n"), ("n", "from m import A, g as k\ndef h(): A.f(); g()\nclass B(m.A):\n    def i(self): f()\n"), ("p", "from n import h\ndef q(): h()\n")]
+    e = E.extract(spark.createDataFrame(rows, "module_id string, content string")).cache()
+    whole = {tuple(r) for r in resolve.call_edges(e).collect()}
+    for target in ("m.A", "m.A.f", "n.h", "n.B"):
+        own = lambda x: x == target or x.startswith(f"{target}.")  # noqa: E731, B023
+        got = {tuple(r) for r in resolve.call_edges(e, target=target).collect()}
+        assert got == {x for x in whole if own(x[0]) or own(x[1])} and got and got != whole
