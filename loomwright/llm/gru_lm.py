@@ -22,7 +22,7 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, repeat
 from operator import itemgetter
 
 import numpy as np
@@ -46,8 +46,9 @@ SHARD, ROUNDS, SUMS = 1 << 20, 4, 16
 HIDDEN, EMBEDDING = 24, 16
 WINDOW, EPOCHS, BATCH, RATE = 32, 4, 128, 0.01
 PRIOR = 0.1
-#: Bytes of text scored together, words counted before they are sent on, steps whose losses are computed together.
-BLOCK_BYTES, COUNTED, STEPS = 12 << 20, 1 << 20, 32
+#: Bytes of text scored together, words counted before they are sent on, the most steps and about the most states whose losses are
+#: computed together.
+BLOCK_BYTES, COUNTED, STEPS, STATES = 12 << 20, 1 << 20, 32, 1 << 14
 FOLDS = 10
 
 
@@ -60,16 +61,19 @@ def ending_symbol(word: bytes) -> int:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
+    np.maximum(x, -30, out=x)
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+def _log_softmax_at(z: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Log-probability of row ``to`` of each column (z is overwritten)."""
+    z -= z.max(axis=0)
+    own = z[to, np.arange(z.shape[1])]
+    np.exp(z, out=z)
+    return own - np.log(np.ones(len(z), np.float32) @ z)
 
 
 def _softmax_gradient(z: np.ndarray, to: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,15 +116,22 @@ class Network:
 
     def log_probabilities(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each symbol after each state."""
-        rows = np.arange(len(h))
-        klass, member = symbols // CLASS, symbols % CLASS
-        out = _log_softmax(h @ self.wc + self.bc)[rows, klass]
+        return self._log_probabilities(np.ascontiguousarray(h.T), symbols)
+
+    def _log_probabilities(self, h: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The same of states (units, states)."""
+        klass, member = np.divmod(symbols.astype(np.uint8), np.uint8(CLASS))
+        z = np.ascontiguousarray(self.wc.T) @ h
+        z += self.bc[:, None]
+        out = _log_softmax_at(z, klass)
         order = np.argsort(klass, kind="stable")
         cuts = np.searchsorted(klass[order], np.arange(SYMBOLS // CLASS + 1))
+        mine = np.take(h, order, axis=1)
         for k in range(SYMBOLS // CLASS):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                out[own] += _log_softmax(h[own] @ self.wm[k] + self.bm[k])[np.arange(len(own)), member[own]]
+            lo, hi = cuts[k], cuts[k + 1]
+            z[:, lo:hi] = self.wm[k].T @ mine[:, lo:hi]
+            z[:, lo:hi] += self.bm[k][:, None]
+        out[order] += _log_softmax_at(z, member[order])
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -130,20 +141,23 @@ class Network:
         total = np.zeros(len(texts))
         if not len(texts):
             return total
-        flat, begin = np.concatenate([texts[i] for i in order]).astype(np.int64), np.cumsum(sizes) - sizes
-        table = self.embed @ self.wx + self.b
-        h = np.zeros((len(texts), HIDDEN), np.float32)
-        for at in range(0, int(sizes[0]), STEPS):
+        flat, begin = np.concatenate([texts[i] for i in order]).astype(np.uint8), np.cumsum(sizes) - sizes
+        # inside, the units come first and the sequences second, so that the gates are whole blocks of memory
+        table, wh = self.embed @ self.wx + self.b, np.ascontiguousarray(self.wh.T)
+        h, at, longest = np.zeros((HIDDEN, len(texts)), np.float32), 0, int(sizes[0])
+        while at < longest:
             states, seen, owners = [], [], []
-            for t in range(at, min(at + STEPS, int(sizes[0]))):
-                live = int(np.searchsorted(-sizes, -t, side="left"))  # sequences longer than t come first
-                s = flat[begin[:live] + t]
-                h = h[:live]
+            while at < longest and len(owners) < STEPS and (not owners or sum(owners) < STATES):
+                live = int(np.searchsorted(-sizes, -at, side="left"))  # sequences longer than this come first
+                s = flat[begin[:live] + at]
+                if live < h.shape[1]:
+                    h = np.ascontiguousarray(h[:, :live])
                 states.append(h)
                 seen.append(s)
                 owners.append(live)
-                h = self._advance(h, table[s])
-            p = self.log_probabilities(np.concatenate(states), np.concatenate(seen))
+                h = self._advance(h, np.ascontiguousarray(table[s].T), wh)
+                at += 1
+            p = self._log_probabilities(np.concatenate(states, axis=1), np.concatenate(seen))
             lo = 0
             for live in owners:
                 total[:live] += p[lo : lo + live]
@@ -152,12 +166,17 @@ class Network:
         out[order] = total / np.log(10)
         return out
 
-    def _advance(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
-        u = h @ self.wh
-        gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        return n + z * (h - n)
+    def _advance(self, h: np.ndarray, x: np.ndarray, wh: np.ndarray) -> np.ndarray:
+        """The states (units, lanes) after a step; x: the input's part of the gates, wh: the transposed weights of the states."""
+        u = wh @ h
+        gates = _sigmoid(x[: 2 * HIDDEN] + u[: 2 * HIDDEN])
+        n = gates[HIDDEN:] * u[2 * HIDDEN :]
+        n += x[2 * HIDDEN :]
+        np.tanh(n, out=n)
+        h = h - n
+        h *= gates[:HIDDEN]
+        h += n
+        return h
 
     def _window(self, symbols: np.ndarray, mask: np.ndarray, h: np.ndarray, begins: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, float]:
         """Gradients of one window (T, B) from the state h, the state after it, and the summed loss.  Where ``begins`` is
@@ -206,27 +225,28 @@ class Network:
             np.matmul(dm[lo:hi], self.wm[k].T, out=dmine[lo:hi])
         dh_out[order] += dmine
         dh_out = np.ascontiguousarray(dh_out.reshape(steps, batch, HIDDEN).transpose(0, 2, 1))
-        dx, du = np.empty_like(xw), np.empty_like(xw)
+        dx = np.empty((steps, 4 * HIDDEN, batch), np.float32)  # by z, r, n with r, and n, so that the first three are those of the states
         by_n, by_z, by_r = (1 - zs) * (1 - ns * ns), (states - ns) * zs * (1 - zs), un * rs * (1 - rs)
         dh = np.zeros((HIDDEN, batch), np.float32)  # nothing comes back from later windows: truncated
         for t in range(steps - 1, -1, -1):
-            dn = dx[t, two:]
+            d = dx[t]
+            dn = d[3 * HIDDEN :]
             np.multiply(dh, by_n[t], out=dn)
-            np.multiply(dh, by_z[t], out=dx[t, :HIDDEN])
-            np.multiply(dn, by_r[t], out=dx[t, HIDDEN:two])
-            du[t, :two] = dx[t, :two]
-            np.multiply(dn, rs[t], out=du[t, two:])
+            np.multiply(dh, by_z[t], out=d[:HIDDEN])
+            np.multiply(dn, by_r[t], out=d[HIDDEN:two])
+            np.multiply(dn, rs[t], out=d[two : 3 * HIDDEN])
             dh = dh * zs[t]
-            dh += self.wh @ du[t]
+            dh += self.wh @ d[: 3 * HIDDEN]
             dh += dh_out[t]
             if not whole[t]:
                 dh *= keep[t]
         # what the rows of the table embed @ wx + b get, summed by symbol
         order = np.argsort(flat_s.astype(np.uint8), kind="stable")
         there, first = np.unique(flat_s[order], return_index=True)
-        table = np.zeros((SYMBOLS, 3 * HIDDEN), np.float32)
-        table[there] = np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-        dwh = flat_h.T @ du.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)
+        flat_d = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 4 * HIDDEN)
+        table, summed = np.zeros((SYMBOLS, 3 * HIDDEN), np.float32), np.add.reduceat(flat_d[order], first, axis=0)
+        table[there, :two], table[there, two:] = summed[:, :two], summed[:, 3 * HIDDEN :]
+        dwh = flat_h.T @ flat_d[:, : 3 * HIDDEN]
         return [table @ self.wx.T, self.embed.T @ table, table.sum(axis=0), dwh, flat_h.T @ dc, dc.sum(axis=0), wm, bm], h.T, loss
 
     def fit(self, texts: list[np.ndarray], seed: int = 10, epochs: int = EPOCHS) -> list[float]:
@@ -255,13 +275,14 @@ class Network:
         order, adam, loss, count = np.random.default_rng(seed).permutation(len(records)), Adam(self.weights()), 0.0, 0.0
         for lo in range(0, len(order), BATCH):
             rows = records[order[lo : lo + BATCH]]
-            h, symbols = np.zeros((len(rows), HIDDEN), np.float32), rows[:, 2:].astype(np.int64)
-            table = self.embed @ self.wx + self.b
+            h, symbols = np.zeros((HIDDEN, len(rows)), np.float32), rows[:, 2:].astype(np.int64)
+            before = np.ascontiguousarray((self.embed @ self.wx + self.b)[symbols[:, :WINDOW].T].transpose(0, 2, 1))
+            wh = np.ascontiguousarray(self.wh.T)
             for t in range(WINDOW):
-                h = self._advance(h, table[symbols[:, t]])
-            h[rows[:, 0] == 0] = 0  # a text begins here
+                h = self._advance(h, before[t], wh)
+            h[:, rows[:, 0] == 0] = 0  # a text begins here
             mask = (np.arange(WINDOW)[:, None] < rows[:, 1]).astype(np.float32)
-            grads, _, own = self._window(np.ascontiguousarray(symbols[:, WINDOW:].T), mask, h)
+            grads, _, own = self._window(np.ascontiguousarray(symbols[:, WINDOW:].T), mask, h.T)
             adam.take(grads, RATE * len(rows) / min(BATCH, len(order)))
             loss, count = loss + own, count + float(mask.sum())
         return loss / max(1.0, count)
@@ -316,7 +337,7 @@ class Model:
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, the end last; places, -1 for words that are not frequent)."""
         get = self.places.get
-        places = np.array([get(w, -1) for w in words], np.int64)
+        places = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         out = np.empty(len(words) + 1, np.int64)
         if len(words):
             out[:-1] = self.symbol[places] if len(self.symbol) else -1
@@ -532,7 +553,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _hold_memory()
-        for held in grouped(batches, "symbols", BLOCK_BYTES // 6):
+        for held in grouped(batches, "symbols", BLOCK_BYTES // 3):
             b = pa.Table.from_batches(held).combine_chunks()
             score = trained.value.score([np.frombuffer(s, np.uint8) for s in b.column("symbols").to_pylist()])
             yield from b.drop(["symbols", "mass"]).append_column("gain", pa.array(score - b.column("mass").to_numpy())).to_batches()

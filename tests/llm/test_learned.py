@@ -526,3 +526,28 @@ def test_every_window_is_learned_from():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "symbols": [bytes(range(1, 201)) * 5, b"abc"]})
     parts = [r for b in gru_lm._deal(gru_lm.SHARE, 4)(iter([batch])) for r in b.column(1).to_pylist()]
     assert sum(len(r) for r in parts) // (2 + 2 * gru_lm.WINDOW) == -(-1000 // gru_lm.WINDOW) + 1
+
+
+def test_long_and_short_texts_are_scored_by_plain_steps(monkeypatch):
+    """op7: states of a step were laid out by text, and losses put together over all texts at once, however many."""
+    from loomwright.llm import gru_lm
+
+    draw, net = np.random.default_rng(4), gru_lm.Network()
+    texts = [draw.integers(0, 256, n).astype(np.uint8) for n in (0, 1, 2, 33, 70, 300, 70)]
+
+    def plain(text):
+        h, total = np.zeros(gru_lm.HIDDEN), 0.0
+        for s in text.tolist():
+            k, m = divmod(s, gru_lm.CLASS)
+            for z, own in ((h @ net.wc + net.bc, k), (h @ net.wm[k] + net.bm[k], m)):
+                total += z[own] - np.log(np.exp(z).sum())
+            x, u = net.embed[s] @ net.wx + net.b, h @ net.wh
+            z, r = np.split(1 / (1 + np.exp(-(x + u)[: 2 * gru_lm.HIDDEN])), 2)
+            h = (1 - z) * np.tanh(x[2 * gru_lm.HIDDEN :] + r * u[2 * gru_lm.HIDDEN :]) + z * h
+        return total / np.log(10)
+
+    assert np.allclose(net.score(texts), [plain(t) for t in texts], rtol=1e-4)
+    seen, own = [], net._log_probabilities
+    monkeypatch.setattr(net, "_log_probabilities", lambda h, s: seen.append(len(s)) or own(h, s))
+    monkeypatch.setattr(gru_lm, "STATES", 8)
+    assert np.allclose(net.score(texts), [plain(t) for t in texts], rtol=1e-4) and max(seen) < 8 + len(texts)
